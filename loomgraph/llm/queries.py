@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import fingerprints, html_text, license_scan, line_dedup, mixing, near_dups, packing, quality
+from loomgraph.llm import fingerprints, html_text, license_scan, line_dedup, mixing, near_dups, packing, quality, repeats
 
-MODULES = (license_scan, html_text, line_dedup, packing, quality, near_dups, fingerprints, mixing)
+MODULES = (license_scan, html_text, line_dedup, packing, quality, repeats, near_dups, fingerprints, mixing)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: run for m in MODULES for name, run in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
