@@ -65,6 +65,10 @@ place aside heading words link words_before links_before words_after links_after
 0 0 0 60 0 7 0 80 0 1
 0 0 0 35 0.05 60 0 30 0 1
 0 0 0 90 0.1 2 1 0 0 1
+0 0 0 40 0 2 1 2 1 1
+0 0 0 24 0.1 1 1 1 1 1
+0 0 0 80 0 4 1 3 1 1
+0 0 0 16 0 3 1 2 1 1
 0 0 0 22 0.2 40 0 25 0 1
 0 0 0 5 0 50 0 60 0 1
 0 0 0 3 0 30 0 40 0.1 1
