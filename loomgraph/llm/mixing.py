@@ -72,19 +72,20 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, tempera
     ``broadcast_sources`` sources and joined by a shuffle where there are more. Empty in, empty out.
     """
     by_source = stored(rates(docs, weights, temperature), "rates")
+    by_source = by_source.toDF("_source", "_rate")
     if by_source.count() <= broadcast_sources:
         by_source = F.broadcast(by_source)
     keep = docs.columns
-    rated = docs.withColumn("source_key", source_key("source")).join(by_source, "source_key")
+    rated = docs.withColumn("_source", source_key("source")).join(by_source, "_source")
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / _PART).cast("int"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_rate") / _PART).cast("int"))
     drawn = F.aggregate(
         F.sequence(F.lit(1), parts), F.lit(0),
-        lambda n, i: n + _poisson(_uniform(doc, i, F.lit(seed)), F.col("rate") / parts),
+        lambda n, i: n + _poisson(_uniform(doc, i, F.lit(seed)), F.col("_rate") / parts),
     )
-    copies = rated.withColumn("mix_count", drawn).where("mix_count > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_count") - 1)))
+    copies = rated.withColumn("_count", drawn).where("_count > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
     order = F.md5(F.concat_ws(":", doc, F.col("mix_copy").cast("string"), F.lit(f"order{seed}")))
-    return copies.select(*keep, "mix_copy", F.col("rate").alias("mix_rate"), order.alias("mix_order")).orderBy("mix_order")
+    return copies.select(*keep, "mix_copy", F.col("_rate").alias("mix_rate"), order.alias("mix_order")).orderBy("mix_order")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +97,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_sql(documents: str, extra: str = "") -> str:
     """DuckDB SQL for ``mix`` with default weights over a table; ``extra`` names more columns to keep."""
     return f"""
-    docs AS (SELECT *, coalesce('s' || source, 'null') AS source_key, coalesce(doc_id::VARCHAR, 'null') AS id_text FROM {documents}),
+    docs AS (SELECT *, row_number() OVER () AS row_id, coalesce('s' || source, 'null') AS source_key, coalesce(doc_id::VARCHAR, 'null') AS id_text FROM {documents}),
     by_source AS (SELECT source_key, sum(length(coalesce(text, '')) + 1)::DOUBLE AS size, pow(sum(length(coalesce(text, '')) + 1)::DOUBLE, {TEMPERATURE}) AS wanted FROM docs GROUP BY 1),
     rates AS (SELECT source_key, wanted / sum(wanted) OVER () * sum(size) OVER () / size AS rate FROM by_source),
     parts AS (
@@ -104,13 +105,13 @@ def mix_sql(documents: str, extra: str = "") -> str:
              ('0x' || substr(md5(id_text || ':' || i || ':{SEED}'), 1, 13))::BIGINT::DOUBLE / {2.0**52!r} AS u
       FROM docs JOIN rates USING (source_key), range(1, 1 + greatest(1, ceil(rate / {_PART}))::BIGINT) r(i)),
     draws AS (
-      SELECT * EXCLUDE (i, mean, u), 0 AS mix_copy_0,
+      SELECT * EXCLUDE (i, mean, u),
              list_reduce(list_prepend({{n: 0::BIGINT, k: 0::BIGINT, term: exp(-mean), total: exp(-mean), u: u, mean: mean}},
                list_transform(range(1, {_TERMS} + 1), lambda k: {{n: 0::BIGINT, k: k, term: 0::DOUBLE, total: 0::DOUBLE, u: 0::DOUBLE, mean: 0::DOUBLE}})),
                lambda s, x: CASE WHEN s.total > s.u THEN s
                  ELSE {{n: s.n + 1, k: x.k, term: s.term * s.mean / x.k, total: s.total + s.term * s.mean / x.k, u: s.u, mean: s.mean}} END).n AS n
       FROM parts),
-    counted AS (SELECT doc_id, source, {extra} id_text, rate, sum(n)::BIGINT AS n FROM draws GROUP BY ALL),
+    counted AS (SELECT row_id, doc_id, source, {extra} id_text, rate, sum(n)::BIGINT AS n FROM draws GROUP BY ALL),
     mixed AS (SELECT doc_id, source, {extra} copy::INTEGER AS mix_copy, rate AS mix_rate, md5(id_text || ':' || copy || ':order{SEED}') AS mix_order
               FROM counted, range(0, n) c(copy))
     """
