@@ -31,7 +31,25 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/loomgraph/{label}-{uuid.uuid4().hex}"
     with shuffles_freed(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once all that is made of it is itself stored."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bucketed(df: DataFrame, label: str, *columns: str) -> DataFrame:
+    """``df`` as a table of its own in the warehouse, bucketed by ``columns``: grouping and joining by them needs no shuffle of it."""
+    spark = df.sparkSession
+    name = f"loomgraph_{label}_{uuid.uuid4().hex}"
+    with shuffles_freed(spark):
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *columns).format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
 @contextmanager
