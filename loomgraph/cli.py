@@ -5,11 +5,13 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import time
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.operators.usage import FAIL_PREFIXES
 from loomgraph.plans import report
 from loomgraph.plans.analyses import Analysis
 from loomgraph.sources.workspace import ALL_SCRIPTS, TS_ONLY, read_workspace
@@ -18,11 +20,13 @@ from loomgraph.sources.workspace import ALL_SCRIPTS, TS_ONLY, read_workspace
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="loomgraph")
     p.add_argument("-d", "--directory", default=".")
-    p.add_argument("-p", "--project", action="append", help="only these projects are read")
-    p.add_argument("-t", "--typescript-only", action="store_true")
+    p.add_argument("-v", "--verbose", action="store_true", help="counts of facts and time taken, to stderr")
+    p.add_argument("-p", "--projects", help="only these projects are read, by names apart by commas")
+    p.add_argument("-t", "--typescript-only", choices=("true", "false"), default="true")
+    p.add_argument("--rules", default="boundaries.json", help="file of boundary rules in the workspace's root")
     p.add_argument("--baseline")
     p.add_argument("--strict", action="store_true")
-    p.add_argument("--fail-on", choices=("unused", "cycles", "boundaries", "all"))
+    p.add_argument("--fail-on", default="", help="categories apart by commas: unused, cycles, boundaries, all")
     sub = p.add_subparsers(dest="command")
     for name in ("analyze", "html", "sarif", "baseline"):
         sub.add_parser(name).add_argument("-o", "--output", default={"html": "report.html", "sarif": "report.sarif"}.get(name, f"{name}.json"))
@@ -45,7 +49,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("loomgraph").getOrCreate()
     try:
-        a = Analysis(read_workspace(spark, args.directory, args.project, TS_ONLY if args.typescript_only else ALL_SCRIPTS))
+        categories = [c for c in args.fail_on.split(",") if c]
+        if wrong := set(categories) - {*FAIL_PREFIXES, "all"}:
+            raise ValueError(f"no such category: {', '.join(sorted(wrong))}")
+        began = time.monotonic()
+        only = args.projects.split(",") if args.projects else None
+        a = Analysis(read_workspace(spark, args.directory, only, TS_ONLY if args.typescript_only == "true" else ALL_SCRIPTS, args.rules))
+        if args.verbose:
+            counts = ", ".join(f"{df.count()} {name.replace('_', ' ')}" for name, df in a.f.items())
+            print(f"{counts}; {time.monotonic() - began:.1f} s", file=sys.stderr)
         lost = a.resolution_health()["unresolved_internal"]
         if not lost.isEmpty():
             print(report.text_table(lost, "Imports without a target", 10), file=sys.stderr)
@@ -54,7 +66,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             report.write_baseline(a, args.output)
             return 0
         show(a, command, args)
-        return report.policy(a, args.fail_on, args.baseline, args.strict)
+        return report.policy(a, categories, args.baseline, args.strict)
     except (OSError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

@@ -49,14 +49,14 @@ def single_consumers(uses: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def boundary_violations(deps: DataFrame, projects: DataFrame, rules: DataFrame) -> DataFrame:
-    """(from_project, to_project, source_tag) of dependencies that a rule of the source's tag doesn't allow.
+    """(from_project, to_project, source_tag, allowed, to_tags) of dependencies that a rule of the source's tag doesn't allow.
 
     ``projects`` is (name, tags), ``rules`` (source_tag, allowed). Tags are joined by equality; ``*``
     allows all. Of several rules for one tag each counts by itself.
     """
     tagged = deps.select("from_project", "to_project").distinct().join(projects.select(F.col("name").alias("from_project"), F.explode(F.array_distinct("tags")).alias("source_tag")), "from_project")
     ruled = tagged.join(rules, "source_tag").join(projects.select(F.col("name").alias("to_project"), F.col("tags").alias("to_tags")), "to_project")
-    return ruled.where(~(F.array_contains("allowed", "*") | F.arrays_overlap("allowed", "to_tags"))).select("from_project", "to_project", "source_tag")
+    return ruled.where(~(F.array_contains("allowed", "*") | F.arrays_overlap("allowed", "to_tags"))).select("from_project", "to_project", "source_tag", "allowed", "to_tags")
 
 
 def first_by_rank(candidates: DataFrame, keys: list[str], value: str, rank: str) -> DataFrame:

@@ -164,7 +164,7 @@ def boundary_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     deps = _uses(spark, sf_dir).where("l_quantity >= 50 and from_project <> to_project")
     projects = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("name"), F.array("r_name").alias("tags"))
     rules = spark.createDataFrame([(s, list(a)) for s, a in RULES], "source_tag string, allowed array<string>")
-    return usage.boundary_violations(deps, projects, rules)
+    return usage.boundary_violations(deps, projects, rules).select("from_project", "to_project", "source_tag")
 
 
 FINDINGS_SQL = """

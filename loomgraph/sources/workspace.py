@@ -48,7 +48,7 @@ def read_workspace(spark: SparkSession, root: str, only: list[str] | None = None
     config = _scan(spark, root, "*.json").where(~paths.in_ignored_dir(F.col("path")))
     parsed = config.where(paths.basename(F.col("path")) == "project.json").select(paths.dirname(F.col("path")).alias("root"), F.from_json(strip_jsonc(F.col("content")), _PROJECT).alias("c")).where("c is not null")
     dir_name = F.nullif(paths.basename(F.col("root")), F.lit(""))
-    routed = config.where((paths.basename(F.col("path")) == "package.json") & F.col("content").rlike(r'"(next|expo-router)"\s*:')).select(paths.dirname(F.col("path")).alias("root"), F.lit(True).alias("routed"))
+    routed = config.where((paths.basename(F.col("path")) == "package.json") & F.col("content").contains('"expo-router"')).select(paths.dirname(F.col("path")).alias("root"), F.lit(True).alias("routed"))
     entry_dirs = F.when(F.col("routed"), F.transform(F.array(*map(F.lit, ENTRY_DIRS)), lambda d: F.concat_ws("/", F.nullif("root", F.lit("")), d))).otherwise(F.array().cast("array<string>"))
     projects = parsed.join(routed, "root", "left").select(
         F.coalesce("c.name", dir_name, F.lit("unknown")).alias("name"), "root", F.coalesce("c.tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("c.projectType", F.lit("")).alias("project_type"), entry_dirs.alias("entry_dirs"),

@@ -101,7 +101,7 @@ def test_division_and_boundaries(spark):
     deps = spark.createDataFrame([("x", "y"), ("x", "z"), ("y", "z")], "from_project string, to_project string")
     projects = spark.createDataFrame([("x", ["s:a", "t:ui"]), ("y", ["s:b"]), ("z", ["s:a"])], "name string, tags array<string>")
     rules = spark.createDataFrame([("s:a", ["s:a"]), ("t:ui", ["*"]), ("s:b", [])], "source_tag string, allowed array<string>")
-    assert {tuple(r) for r in usage.boundary_violations(deps, projects, rules).collect()} == {("x", "y", "s:a"), ("y", "z", "s:b")}
+    assert {tuple(r)[:3] for r in usage.boundary_violations(deps, projects, rules).collect()} == {("x", "y", "s:a"), ("y", "z", "s:b")}
 
 
 def test_barrels_in_depth_first_order(spark):

@@ -121,15 +121,15 @@ def test_reports_and_policy(a, tmp_path):
     report.write_baseline(a, base)
     keys = json.loads(open(base).read())["findings"]
     assert keys == sorted(keys) and "orphan:libs/util/src/lib/orphan.ts" in keys
-    assert [report.policy(a, "unused"), report.policy(a, "all", base), report.policy(a, None, None, True), report.policy(a)] == [2, 0, 3, 0]
+    assert [report.policy(a, ["unused"]), report.policy(a, ["all"], base), report.policy(a, None, None, True), report.policy(a)] == [2, 0, 3, 0]
     page = report.html(a)
     assert "</script" in page and page.count("<script>") == 1
 
 
 def test_command_line(spark, root, tmp_path, capsys):
     out = tmp_path / "full.json"
-    assert cli.main(["-d", root, "analyze", "-o", str(out)], spark) == 0
+    assert cli.main(["-d", root, "-t", "false", "-p", "shop,ui,util", "analyze", "-o", str(out)], spark) == 0
     assert json.loads(out.read_text())["unused"]["orphan_files"]
-    assert cli.main(["-d", root, "--fail-on", "cycles", "cycles"], spark) == 2
+    assert cli.main(["-d", root, "--fail-on", "cycles,boundaries", "cycles"], spark) == 2
     assert "helper.ts" in capsys.readouterr().out
     assert cli.main(["-d", root, "graph", "--level", "file"], spark) == 1
