@@ -1,38 +1,13 @@
-"""What several corpus operators share: scratch tables, keys of rows and connected components."""
+"""What several corpus operators share: keys of texts and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from loomgraph.scratch import shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a session without that setting, as in tests on one machine, gets a temporary folder.
-    """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("loomgraph.scratch.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("loomgraph.scratch.dir", configured)
-    return configured.rstrip("/")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again.
-
-    This cuts the lineage: a lost executor costs no recomputation from before this point, and what
-    several later steps use is computed once. The shuffles behind it are of no more use; a garbage
-    collection of the driver lets Spark's cleaner delete their files now and not some time later.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomgraph/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["components", "shared_dir", "stored", "text_key"]
 
 
 def text_key(text: Column) -> Column:
