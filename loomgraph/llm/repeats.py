@@ -8,8 +8,8 @@ all but the first of them are removed. Three things keep that small:
   hash among its ``GRAM``-byte strings. Equal windows choose alike, so a run of some dozens of
   windows shares one representative, and only that is dealt out.
 * A digit whose group has one member has no repeated window; it drops out before the next pass.
-  The digits are the representative's gram, then all bytes that its run of windows spans, and, where
-  both leave more than one kind, each window by itself.
+  The digits are the representative's gram; then, where a gram's runs of windows don't span equal bytes
+  throughout, the bytes that ``BLOCK`` neighbouring windows have in common; then single windows.
 * Equal texts are one text from the start.
 
 Counts and firsts are aggregated before they are shuffled, so a passage in a third of all documents
@@ -19,7 +19,6 @@ is a few rows from each task. Texts are stored once, bucketed, and joined withou
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,9 +28,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import stored, text_key
+from loomgraph.scratch import bucketed, discard
 
 WINDOW = 100
 GRAM = 32
+BLOCK = 8
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
@@ -117,11 +118,8 @@ def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     base = F.broadcast(spark.createDataFrame(starts, "part long, start long").repartition(1))
     order = placed.join(base, part == F.col("part")).select("key", "first_id", (F.col("start") + F.col("place").bitwiseAND((1 << 33) - 1)).alias("tid"))
     texts = keyed.groupBy("key").agg(F.first("text").alias("text")).join(order.select("key", "tid"), "key").select("tid", "text")
-    name = f"loomgraph_texts_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts.repartition(buckets, "tid").write.bucketBy(buckets, "tid").format("parquet").saveAsTable(name)
-    spark.sparkContext._jvm.System.gc()
-    return order, spark.table(name)
+    return order, bucketed(texts.repartition(buckets, "tid"), "texts", "tid")
 
 
 def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -143,6 +141,8 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 "at": np.concatenate([(t << bits) | r[1] for t, r in found]),
             })
 
+    names = ("h", "core", "whole", "at", "off", "n")
+
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
@@ -152,36 +152,55 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 mine = np.isin(at, places)
                 h, at, first, last = h[mine], at[mine], first[mine], last[mine]
                 whole = Ranges(data, _BASES[1])(first, last + window) ^ (((at - first) << 8) | (last - first)).astype(np.uint64)
-                out.append(pd.DataFrame({"h": h.view(np.int64), "whole": whole.view(np.int64), "at": (t << bits) | first, "n": (last - first + 1).astype(np.int32)}))
-            if out:
-                yield pd.concat(out)
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for t, text, open_runs in zip(b["tid"], b["text"], b["open_runs"]):
-                hashed = Ranges(_bytes(text), _BASES[1])
-                for r in open_runs:
-                    s = np.arange(r["start"], r["start"] + r["n"])
-                    out.append((np.full(len(s), r["h"]), hashed(s, s + window).view(np.int64), (t << bits) | s))
+                out.append((h.view(np.int64), np.zeros(len(h), np.int64), whole.view(np.int64), (t << bits) | first, at - first, last - first + 1))
             if out:
-                yield pd.DataFrame({k: np.concatenate([x[i] for x in out]) for i, k in enumerate(("h", "whole", "at"))})
+                yield pd.DataFrame({k: np.concatenate([x[i] for x in out]) for i, k in enumerate(names)})
+
+    def pieces(size: int):
+        """Runs cut into pieces of at most ``size`` windows, at the same places by their representatives."""
+
+        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out = []
+                for t, text, h, start, off, n in zip(b["tid"], b["text"], b["hs"], b["starts"], b["offs"], b["ns"]):
+                    hashed = Ranges(_bytes(text), _BASES[1])
+                    lowest, highest = -off // size, (n - 1 - off) // size
+                    many = highest - lowest + 1
+                    run = np.repeat(np.arange(len(many)), many)
+                    rep = (start + off)[run]
+                    low = rep + size * (lowest[run] + np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many))
+                    first, last = np.maximum(low, start[run]), np.minimum(low + size, (start + n)[run]) - 1
+                    core = hashed(low + size - 1, low + window) ^ (low - rep).astype(np.uint64)  # in every window of the piece
+                    whole = hashed(first, last + window) ^ (first - rep).astype(np.uint64)
+                    out.append((h[run], core.view(np.int64), whole.view(np.int64), (t << bits) | first, rep - first, last - first + 1))
+                if out:
+                    yield pd.DataFrame({k: np.concatenate([x[i] for x in out]) for i, k in enumerate(names)})
+
+        return cut
 
     def later(rows: DataFrame) -> DataFrame:
         """Rows that are not the first of their (h, whole)."""
         firsts = rows.groupBy("h", "whole").agg(F.min("at").alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
-        return rows.join(firsts, ["h", "whole"]).where("at > first").drop("first")
+        return rows.join(firsts, ["h", "whole"]).where("at > first").select("at", "n")
 
     inside = F.col("at").bitwiseAND((1 << bits) - 1)
     reps = stored(texts.select("tid", "text").mapInPandas(representatives, "h long, at long"), "representatives")
     digits = reps.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
     places = reps.join(digits, "h").groupBy(tid("at").alias("tid")).agg(F.collect_list(inside).alias("places"))
-    spread = stored(texts.join(places, "tid").select("tid", "text", "places").mapInPandas(contexts, "h long, whole long, at long, n int"), "contexts")
-    kinds = spread.groupBy("h", "whole").agg(F.min("at").alias("at"), F.min("n").alias("n"))
-    several = kinds.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-    opened = kinds.join(several, "h").groupBy(tid("at").alias("tid")).agg(F.collect_list(F.struct("h", inside.alias("start"), "n")).alias("open_runs"))
-    single = stored(texts.join(opened, "tid").select("tid", "text", "open_runs").mapInPandas(windows, "h long, whole long, at long"), "windows")
-    spans = later(spread).select("at", "n").unionByName(later(single).select("at", F.lit(1).alias("n")))
+    kind = "h long, core long, whole long, at long, off long, n long"
+    rows = stored(texts.join(places, "tid").select("tid", "text", "places").mapInPandas(contexts, kind), "contexts")
+    discard(reps)
+    spans = stored(later(rows), "spans")
+    for size in (BLOCK, 1):
+        kinds = rows.groupBy("h", "core", "whole").agg(F.min("at").alias("at"), F.min("off").alias("off"), F.min("n").alias("n"))
+        several = kinds.groupBy("h", "core").agg(F.count("*").alias("m")).where("m > 1").select("h", "core")
+        runs_of = F.collect_list(F.struct("h", inside.alias("start"), "off", "n"))
+        opened = kinds.join(several, ["h", "core"]).groupBy(tid("at").alias("tid")).agg(runs_of.alias("r")).select("tid", F.col("r.h").alias("hs"), F.col("r.start").alias("starts"), F.col("r.off").alias("offs"), F.col("r.n").alias("ns"))
+        cut = stored(texts.join(opened, "tid").select("tid", "text", "hs", "starts", "offs", "ns").mapInPandas(pieces(size), kind), "pieces")
+        discard(rows)
+        rows = cut
+        spans = spans.unionByName(stored(later(rows), "spans"))
+    discard(rows)
     return spans.groupBy(tid("at").alias("tid")).agg(F.collect_list(F.struct(inside.alias("start"), (inside + F.col("n") - 1 + window).alias("end"))).alias("spans"))
 
 
