@@ -16,13 +16,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import components, stored, text_key
+from loomgraph.scratch import bucketed
 
 CHARS = 8
 SIMILARITY = 0.8
 SLOTS = 12
 #: Every slot is in two bands. A pair at 0.8 shares one in 99.5 % of cases; unrelated lines all but never do.
 BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 3, 6), (1, 4, 9), (2, 7, 10), (5, 8, 11))
+#: A candidate pair shares so many slots. At 0.8 a pair has fewer once in 1,700 times.
+LEAST_SLOTS = 5
 BLOCK = 32
+#: Across components, lines whose sampled shingles, an eighth of all, are less alike than this are not compared in full:
+#: with 24 or more, a pair at 0.8 falls below once in some thousands of times, far less often than banding misses one.
+SKETCH = 0.45
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -39,9 +45,14 @@ def doc_key() -> Column:
 
 def shingle_hashes(line: Column) -> Column:
     """The distinct shingles of a line, hashed; a line below ``CHARS`` characters is one shingle."""
-    wide = F.encode(line, "UTF-32")
-    last = F.greatest(F.lit(1), F.char_length(line) - CHARS + 1)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(wide, 4 * i - 3, F.lit(4 * CHARS)))))
+
+
+    def hashes(wide: Column) -> Column:
+        last = F.greatest(F.lit(1), F.shiftright(F.octet_length(wide), 2) - CHARS + 1)
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(wide, 4 * i - 3, F.lit(4 * CHARS)))))
+
+    # as the variable of a lambda the line is encoded once, not for each place
+    return F.element_at(F.transform(F.array(F.encode(line, "UTF-32")), hashes), 1)
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -50,15 +61,18 @@ def signatures(lines: DataFrame) -> DataFrame:
     Slot i keeps the hash nearest to a constant of its own, by exclusive or: for random hashes that is
     as random a choice among a line's shingles as the smallest of a hash of its own.
     """
-    wide = F.encode("line", "UTF-32")
-    places = lines.select("h1", "h2", wide.alias("wide"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("line") - CHARS + 1))).alias("i"))
+    wide = lines.select("h1", "h2", F.encode("line", "UTF-32").alias("wide"))
+    # counting by the encoded line makes generated code encode before its loop over places, not in it
+    last = F.greatest(F.lit(1), F.shiftright(F.octet_length("wide"), 2) - CHARS + 1)
+    places = wide.select("h1", "h2", "wide", F.explode(F.sequence(F.lit(1), last)).alias("i"))
     hashed = places.select("h1", "h2", F.hash(F.substring("wide", 4 * F.col("i") - 3, F.lit(4 * CHARS))).alias("h"))
     constants = [(i * 2654435761 + 97) % 2**32 - 2**31 for i in range(1, SLOTS + 1)]
     return hashed.groupBy("h1", "h2").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"s{i}") for i, c in enumerate(constants)])
 
 
-def _id(h1: str = "h1", h2: str = "h2") -> Column:
-    return F.unhex(F.concat(F.lpad(F.hex(h1), 16, "0"), F.lpad(F.hex(h2), 16, "0")))
+def _id() -> Column:
+    """A line's name: both hashes."""
+    return F.struct("h1", "h2")
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -76,19 +90,26 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     lines = lines_of(docs)
     hashed = lines.select("doc_id", "doc_key", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "doc_key", "line_no")
-    distinct = stored(hashed.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.first("line").alias("line")), "lines")
+    distinct = bucketed(hashed.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.first("line").alias("line")), "lines", "h1", "h2")
 
-    signed = signatures(distinct)
-    buckets = signed.select(_id().alias("id"), F.explode(F.array(*[F.xxhash64(F.lit(b), *[f"s{i}" for i in band]) for b, band in enumerate(BANDS)])).alias("bucket"))
+    slots = F.array(*[f"s{i}" for i in range(SLOTS)]).alias("slots")
+    signed = stored(signatures(distinct).select(_id().alias("id"), slots), "line-signatures")
+    keys = F.array(*[F.xxhash64(F.lit(b), *[F.get("slots", F.lit(i)) for i in band]) for b, band in enumerate(BANDS)])
+    buckets = signed.select("id", F.explode(keys).alias("bucket"))
     first = F.first("id").over(Window.partitionBy("bucket").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    star = buckets.select(F.col("id").alias("a"), first.alias("b")).where("a <> b").distinct()
+    met = stored(buckets.select(F.col("id").alias("a"), first.alias("b")).where("a <> b").distinct(), "line-met")
+    # unrelated lines that share one band share few slots besides; they would chain families together
+    equal = F.aggregate(F.zip_with("x", "y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, e: n + e)
+    star = met.join(signed.toDF("a", "x"), "a").join(signed.toDF("b", "y"), "b").where(equal >= LEAST_SLOTS).select("a", "b")
     star = stored(star, "line-star")
     wanted = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
-    texts = stored(distinct.select(_id().alias("id"), "line").join(wanted, "id", "left_semi").select("id", shingle_hashes(F.col("line")).alias("set")), "line-sets")
-    near = (
-        star.join(texts.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-        .where(similarity(F.col("x"), F.col("y")) >= SIMILARITY).select("a", "b")
-    )
+    texts = distinct.join(wanted.select("id.h1", "id.h2"), ["h1", "h2"], "left_semi")
+    texts = stored(texts.select(_id().alias("id"), "line"), "line-texts")
+    # lines travel as text and become sets where they are compared: sets are several times as large
+    pairs = star.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
+    both = F.struct(shingle_hashes(F.col("x")).alias("x"), shingle_hashes(F.col("y")).alias("y"))
+    alike = F.element_at(F.transform(F.array(both), lambda s: similarity(s.x, s.y)), 1)  # a variable, so that each set is made once
+    near = pairs.where(alike >= SIMILARITY).select("a", "b")
     found = components(near, "line-classes")
     across = stored(_across(components(star, "line-families"), found, texts), "line-across")
     if not across.isEmpty():
@@ -110,13 +131,21 @@ def _across(families: DataFrame, found: DataFrame, texts: DataFrame) -> DataFram
     mixed = members.groupBy("family").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y and n > 2")
     blocks = members.join(mixed.select("family", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "family")
     blocks = blocks.withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = blocks.join(texts, "id").select("family", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.struct("id", "root", "set").alias("line"))
-    pairs = dealt.groupBy("family", "lo", "hi").agg(F.array_sort(F.collect_list("line"), lambda p, q: F.when(p.id < q.id, -1).when(p.id > q.id, 1).otherwise(0)).alias("lines"))
-    links = F.flatten(
-        F.transform("lines", lambda p: F.transform(
-            F.filter("lines", lambda q: (q.id > p.id) & (q.root != p.root) & (similarity(p.set, q.set) >= SIMILARITY)), lambda q: F.struct(p.id.alias("a"), q.id.alias("b")),
-        )),
-    )
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    line = F.struct("id", "root", "line", side.alias("side"))
+    dealt = blocks.join(texts, "id").select("family", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), line.alias("line"))
+    with_set = lambda x: F.struct(x.id.alias("id"), x.root.alias("root"), x.side.alias("side"), shingle_hashes(x.line).alias("set"))
+    with_both = lambda x: F.struct(x.id.alias("id"), x.root.alias("root"), x.side.alias("side"), x.set.alias("set"), F.filter(x.set, lambda h: h % 8 == 0).alias("some"))
+    pairs = dealt.groupBy("family", "lo", "hi").agg(F.collect_list("line").alias("lines"))
+    pairs = pairs.select(F.transform(F.transform("lines", with_set), with_both).alias("lines"))
+
+    def alike(p: Column, q: Column) -> Column:
+        apart = (q.id > p.id) & (q.root != p.root) & ((q.side != p.side) | (q.side == 2))
+        sizes = (F.size(p.set) >= SIMILARITY * F.size(q.set)) & (F.size(q.set) >= SIMILARITY * F.size(p.set))
+        few = (F.size(p.some) < 24) | (F.size(q.some) < 24)
+        return F.when(apart & sizes, F.when(few | (similarity(p.some, q.some) >= SKETCH), similarity(p.set, q.set) >= SIMILARITY)).otherwise(False)
+
+    links = F.flatten(F.transform("lines", lambda p: F.transform(F.filter("lines", lambda q: alike(p, q)), lambda q: F.struct(p.id.alias("a"), q.id.alias("b")))))
     return pairs.select(F.inline(links))
 
 
@@ -127,15 +156,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     texts stay null, with one line that stays. Of rows with the same id and text the first keeps its
     lines, and the others keep blank lines only. Other columns are handed on.
     """
-    keyed = docs.withColumn("doc_key", doc_key()).join(dropped_lines(docs), "doc_key", "left")
-    copy = F.row_number().over(Window.partitionBy("doc_key").orderBy("doc_key"))
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    keyed = keyed.withColumn("copy", copy).withColumn("lines", lines).withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    kept = F.when(F.col("copy") > 1, F.filter("lines", lambda x: ~x.rlike(r"\S"))).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)))
-    keyed = keyed.withColumn("kept", F.when((F.size("gone") == 0) & (F.col("copy") == 1), F.col("lines")).otherwise(kept))
-    text = F.when(F.col("text").isNotNull(), F.array_join("kept", "\n"))
-    others = [c for c in docs.columns if c != "text"]
-    return keyed.select(*others, text.alias("text"), F.size("lines").cast("long").alias("n_lines"), F.size("kept").cast("long").alias("n_kept")).select(*docs.columns, "n_lines", "n_kept")
+    lost = dropped_lines(docs).toDF("_key", "_gone")
+    keyed = docs.withColumn("_key", doc_key()).join(lost, "_key", "left")
+    keyed = keyed.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
+    keyed = keyed.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n")).withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
+    blank = F.filter("_lines", lambda x: ~x.rlike(r"\S"))
+    kept = F.when(F.col("_copy") > 1, blank).when(F.size("_gone") == 0, F.col("_lines")).otherwise(F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i)))
+    keyed = keyed.withColumn("_kept", kept)
+    text = F.when(F.col("text").isNotNull(), F.array_join("_kept", "\n"))
+    return keyed.select(*[text.alias("text") if c == "text" else c for c in docs.columns], F.size("_lines").cast("long").alias("n_lines"), F.size("_kept").cast("long").alias("n_kept"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
