@@ -6,8 +6,10 @@ shingles. Overlapping bands of three slots find candidates with high recall; exa
 of the whole lines verifies them; connected components over what is verified say which lines are one,
 and of each component the line that comes first in the corpus stays.
 
-A bucket is not expanded into pairs: its members are verified against its smallest. Families of
-candidates that this leaves in several components are compared across, in blocks of bounded size.
+A bucket is not expanded into pairs at first: its members are verified against its smallest. Where this
+leaves a bucket's members in several components, those outside its largest component are compared with all
+of the bucket, so that no candidate pair goes unseen unless it is in one component already. Families, which
+are what alike signatures link, are compared in the same way: that finds pairs that share no band.
 """
 
 from __future__ import annotations
@@ -23,12 +25,10 @@ SIMILARITY = 0.8
 SLOTS = 12
 #: Every slot is in two bands. A pair at 0.8 shares one in 99.5 % of cases; unrelated lines all but never do.
 BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 3, 6), (1, 4, 9), (2, 7, 10), (5, 8, 11))
-#: A candidate pair shares so many slots. At 0.8 a pair has fewer once in 1,700 times.
+#: A bucket's line is compared with the first if they share so many slots. At 0.8 a pair has fewer once in 1,700 times.
 LEAST_SLOTS = 5
-BLOCK = 32
-#: Across components, lines whose sampled shingles, an eighth of all, are less alike than this are not compared in full:
-#: with 24 or more, a pair at 0.8 falls below once in some thousands of times, far less often than banding misses one.
-SKETCH = 0.45
+#: The same for every other pair across components, which has fewer once in 16,000 times.
+LEAST_ACROSS = 4
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -97,21 +97,14 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.get("slots", F.lit(i)) for i in band]) for b, band in enumerate(BANDS)])
     buckets = signed.select("id", F.explode(keys).alias("bucket"))
     first = F.first("id").over(Window.partitionBy("bucket").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = stored(buckets.select(F.col("id").alias("a"), first.alias("b")).where("a <> b").distinct(), "line-met")
-    # unrelated lines that share one band share few slots besides; they would chain families together
-    equal = F.aggregate(F.zip_with("x", "y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, e: n + e)
-    star = met.join(signed.toDF("a", "x"), "a").join(signed.toDF("b", "y"), "b").where(equal >= LEAST_SLOTS).select("a", "b")
-    star = stored(star, "line-star")
-    wanted = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
-    texts = distinct.join(wanted.select("id.h1", "id.h2"), ["h1", "h2"], "left_semi")
-    texts = stored(texts.select(_id().alias("id"), "line"), "line-texts")
-    # lines travel as text and become sets where they are compared: sets are several times as large
-    pairs = star.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
-    both = F.struct(shingle_hashes(F.col("x")).alias("x"), shingle_hashes(F.col("y")).alias("y"))
-    alike = F.element_at(F.transform(F.array(both), lambda s: similarity(s.x, s.y)), 1)  # a variable, so that each set is made once
-    near = pairs.where(alike >= SIMILARITY).select("a", "b")
+    met = stored(buckets.select("bucket", F.col("id").alias("a"), first.alias("b")).where("a <> b"), "line-met")
+    star = met.select("a", "b").distinct().join(signed.toDF("a", "x"), "a").join(signed.toDF("b", "y"), "b").where(_equal("x", "y") >= LEAST_SLOTS)
+    star = stored(star.select("a", "b"), "line-star")
+    near = stored(_near(star, distinct), "line-near")
     found = components(near, "line-classes")
-    across = stored(_across(components(star, "line-families"), found, texts), "line-across")
+    in_buckets = met.select("bucket", F.col("a").alias("id")).unionByName(met.select("bucket", F.col("b").alias("id")).distinct())
+    in_families = components(star, "line-families").select(F.xxhash64("root").alias("bucket"), "id")
+    across = stored(_near(stored(_across(in_buckets.unionByName(in_families), found, signed), "line-across"), distinct), "line-near")
     if not across.isEmpty():
         found = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(across), "line-classes")
 
@@ -125,28 +118,35 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_key").agg(F.collect_set("line_no").alias("gone"))
 
 
-def _across(families: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between components within families of candidates, found block by block."""
-    members = families.select("id", F.col("root").alias("family")).join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = members.groupBy("family").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y and n > 2")
-    blocks = members.join(mixed.select("family", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "family")
-    blocks = blocks.withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    line = F.struct("id", "root", "line", side.alias("side"))
-    dealt = blocks.join(texts, "id").select("family", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), line.alias("line"))
-    with_set = lambda x: F.struct(x.id.alias("id"), x.root.alias("root"), x.side.alias("side"), shingle_hashes(x.line).alias("set"))
-    with_both = lambda x: F.struct(x.id.alias("id"), x.root.alias("root"), x.side.alias("side"), x.set.alias("set"), F.filter(x.set, lambda h: h % 8 == 0).alias("some"))
-    pairs = dealt.groupBy("family", "lo", "hi").agg(F.collect_list("line").alias("lines"))
-    pairs = pairs.select(F.transform(F.transform("lines", with_set), with_both).alias("lines"))
-
-    def alike(p: Column, q: Column) -> Column:
-        apart = (q.id > p.id) & (q.root != p.root) & ((q.side != p.side) | (q.side == 2))
-        sizes = (F.size(p.set) >= SIMILARITY * F.size(q.set)) & (F.size(q.set) >= SIMILARITY * F.size(p.set))
-        few = (F.size(p.some) < 24) | (F.size(q.some) < 24)
-        return F.when(apart & sizes, F.when(few | (similarity(p.some, q.some) >= SKETCH), similarity(p.set, q.set) >= SIMILARITY)).otherwise(False)
-
-    links = F.flatten(F.transform("lines", lambda p: F.transform(F.filter("lines", lambda q: alike(p, q)), lambda q: F.struct(p.id.alias("a"), q.id.alias("b")))))
-    return pairs.select(F.inline(links))
+def _equal(x: str, y: str) -> Column:
+    """How many slots two signatures share; unrelated lines that share one band share few besides."""
+    return sum((F.get(x, F.lit(i)) == F.get(y, F.lit(i))).cast("int") for i in range(SLOTS))
+
+
+def _near(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose lines, found in ``distinct`` (h1, h2, line), are alike."""
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = distinct.join(wanted.select("id.h1", "id.h2"), ["h1", "h2"], "left_semi")
+    texts = stored(texts.select(_id().alias("id"), "line"), "line-texts")
+    # lines travel as text and become sets where they are compared: sets are several times as large
+    lines = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
+    both = F.struct(shingle_hashes(F.col("x")).alias("x"), shingle_hashes(F.col("y")).alias("y"))
+    alike = F.element_at(F.transform(F.array(both), lambda s: similarity(s.x, s.y)), 1)  # a variable, so that each set is made once
+    return lines.where(alike >= SIMILARITY).select("a", "b")
+
+
+def _across(groups: DataFrame, found: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs (a, b) with alike signatures within ``groups`` (bucket, id) that are in different components.
+
+    One line of such a pair is outside the group's largest component, so only those lines are joined with the whole group.
+    """
+    held = groups.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sizes = held.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    held = stored(held.join(mixed.select("bucket", F.col("most.root").alias("most")), "bucket").join(signed, "id"), "line-mixed")
+    p = held.where("root <> most").select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("slots").alias("x"))
+    q = held.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("slots").alias("y"), (F.col("root") == F.col("most")).alias("main"))
+    return p.join(q, "bucket").where("ra <> rb and (main or a < b)").where(_equal("x", "y") >= LEAST_ACROSS).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
