@@ -156,16 +156,23 @@ def _block(pair: pd.DataFrame) -> pd.DataFrame:
     plain = np.array([bool((w == 1).all()) for _, w in sets])
     _, column = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
     row = np.repeat(np.arange(len(sets)), sizes)
+    share = np.concatenate([w / w.sum() for _, w in sets if len(w)] or [np.empty(0)]).astype(np.float32)
     shared = np.zeros((len(sets), len(sets)), np.float32)
+    covered = np.zeros_like(shared)  # which share of a row's weight is on shingles that the column's text has
     for start in range(0, int(column.max(initial=-1)) + 1, 4096):
         here = (column >= start) & (column < start + 4096)
         holds = np.zeros((len(sets), 4096), np.float32)
         holds[row[here], column[here] - start] = 1
         shared += holds @ holds.T
+        if not plain.all():
+            weighs = np.zeros_like(holds)
+            weighs[row[here], column[here] - start] = share[here]
+            covered += weighs @ holds.T
     alike = shared / np.maximum(1, sizes[:, None] + sizes[None] - shared)
     both_plain = plain[:, None] & plain[None]
     roots, sides = pd.factorize(pair["root"])[0], pair["side"].to_numpy()
-    maybe = np.where(both_plain, alike >= SIMILARITY, shared >= 0.4 * np.minimum(sizes[:, None], sizes[None]))
+    # x's term of J_P is at most min(a_x / sum a, b_x / sum b), as both sums over y are at least these; so J_P is at most what either covers
+    maybe = np.where(both_plain, alike >= SIMILARITY, np.minimum(covered, covered.T) >= SIMILARITY - 0.001)
     maybe &= (roots[:, None] != roots[None]) & ((sides[:, None] != sides[None]) | (sides[:, None] == 2))
     up = list(range(len(sets)))
 

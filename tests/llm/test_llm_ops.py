@@ -348,6 +348,21 @@ def test_near_dups_of_one_family_in_blocks(spark):
     assert classes == {top(i) for i in range(len(texts))}
 
 
+def test_near_dups_of_heavy_shingles_in_a_block():
+    """Texts that a repeated passage makes alike are linked, however few of their distinct shingles they share."""
+    rng = random.Random(14)
+    texts = []
+    for times in (1000, 1000, 300, 150, 100, 20, 1):
+        for _ in range(2):
+            texts.append(" ".join(["again"] * (times + 4) + [f"w{rng.randrange(10**9)}" for _ in range(100)]))
+    texts += ["again " * 400, " ".join(sentences(15, 1, 30)[0].split() * 30), ""]
+    near = near_pairs(texts)
+    assert (0, 1) in near and len(near) > 1
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = pd.DataFrame({"id": [b"%03d" % i, b"%03d" % j], "root": [b"%03d" % i, b"%03d" % j], "side": [2, 2], "text": [texts[i], texts[j]]})
+        assert len(near_dups._block(both)) == ((i, j) in near), (i, j)
+
+
 def test_probability_jaccard_and_its_estimate():
     rng = np.random.default_rng(2)
     for _ in range(5):
