@@ -1,13 +1,13 @@
-"""What several corpus operators share: keys of texts and connected components."""
+"""What several corpus operators share: keys of texts, columns of rows and connected components."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from loomgraph.scratch import shared_dir, stored
+from loomgraph.scratch import discard, shared_dir, stored
 
-__all__ = ["components", "shared_dir", "stored", "text_key"]
+__all__ = ["components", "own_columns", "row_of", "shared_dir", "stored", "text_key"]
 
 
 def text_key(text: Column) -> Column:
@@ -16,6 +16,19 @@ def text_key(text: Column) -> Column:
     return F.concat(F.lpad(F.hex(F.xxhash64(filled)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(7), filled)), 16, "0"))
 
 
+def row_of(docs: DataFrame) -> Column:
+    """All columns of ``docs`` in one struct, so that a column of theirs can't clash with one of ours."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def own_columns(docs: DataFrame, **new: Column) -> list[Column]:
+    """The columns of ``docs`` again out of a struct ``row``; those in ``new`` replace the ones of the same name or follow."""
+    names = {c.lower() for c in docs.columns}
+    lower = {n.lower(): c for n, c in new.items()}
+    kept = [lower.get(c.lower(), F.col("row").getField(c)).alias(c) for c in docs.columns]
+    return kept + [c.alias(n) for n, c in new.items() if n.lower() not in names]
+
+
 def components(links: DataFrame, label: str = "components", max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``links`` (a, b) as (id, root), root the smallest id.
 
@@ -37,7 +50,8 @@ def components(links: DataFrame, label: str = "components", max_rounds: int = 60
         large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(lowest, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        edges, now = kept(small.unionByName(lowest.select("a", F.col("low").alias("b"))).where("a <> b").distinct())
+        last, (edges, now) = edges, kept(small.unionByName(lowest.select("a", F.col("low").alias("b"))).where("a <> b").distinct())
+        discard(last)
         if now == before:
             break
         before = now

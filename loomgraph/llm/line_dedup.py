@@ -1,15 +1,15 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations alone.
 
 Lines are sets of shingles of eight characters. Equal lines are one from the start; each distinct line
-gets a MinHash signature, ``SLOTS`` minima of shingle hashes, from one streaming aggregate over its
-shingles. Overlapping bands of three slots find candidates with high recall; exact Jaccard similarity
-of the whole lines verifies them; connected components over what is verified say which lines are one,
-and of each component the line that comes first in the corpus stays.
-
-A bucket is not expanded into pairs at first: its members are verified against its smallest. Where this
-leaves a bucket's members in several components, those outside its largest component are compared with all
-of the bucket, so that no candidate pair goes unseen unless it is in one component already. Families, which
-are what alike signatures link, are compared in the same way: that finds pairs that share no band.
+gets a MinHash signature, ``SLOTS`` minima of shingle hashes, from one aggregate over the shingles where
+the texts are, so that signatures are shuffled and texts are not. Overlapping bands of three slots find
+candidates with high recall; exact Jaccard similarity of the whole lines verifies them; connected
+components over what is verified say which lines are one, and of each component the line that comes
+first in the corpus stays.
+
+A bucket is never expanded into its pairs. Its members are verified against its first, whatever their
+signatures say. Where that leaves members of a bucket in several components, ``settled`` finds the links
+between these exactly, by prefixes of what lines differ in.
 """
 
 from __future__ import annotations
@@ -17,25 +17,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import components, stored, text_key
-from loomgraph.scratch import bucketed
+from loomgraph.llm.common import components, own_columns, row_of, stored, text_key
+from loomgraph.scratch import discard
 
 CHARS = 8
 SIMILARITY = 0.8
 SLOTS = 12
-#: Every slot is in two bands. A pair at 0.8 shares one in 99.5 % of cases; unrelated lines all but never do.
+#: Every slot is in two bands. A pair at 0.8 shares one in 99.5 % of cases.
+#: With so many of its members the others of a group are compared in a round.
+FIRSTS = 32
 BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 3, 6), (1, 4, 9), (2, 7, 10), (5, 8, 11))
-#: A bucket's line is compared with the first if they share so many slots. At 0.8 a pair has fewer once in 1,700 times.
-LEAST_SLOTS = 5
-#: The same for every other pair across components, which has fewer once in 16,000 times.
-LEAST_ACROSS = 4
-
-
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc_key, line_no, line) of all lines that are not blank; ``doc_key`` names id and text."""
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("doc_key"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return keyed.where("line rlike '\\\\S'")
 
 
 def doc_key() -> Column:
@@ -43,20 +34,26 @@ def doc_key() -> Column:
     return F.unhex(text_key(F.concat_ws(":", F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))))
 
 
-def shingle_hashes(line: Column) -> Column:
-    """The distinct shingles of a line, hashed; a line below ``CHARS`` characters is one shingle."""
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(h1, h2, line) of all lines that are not blank: two hashes name a line."""
+    lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).where("line rlike '\\\\S'")
+    return lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "line")
+
 
+def places_of(docs: DataFrame) -> DataFrame:
+    """(h1, h2, place) of all lines that are not blank; places are in the order of the corpus."""
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("doc_key"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "doc_key", "line_no")
+    return lines.where("line rlike '\\\\S'").select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), place.alias("place"))
 
-    def hashes(wide: Column) -> Column:
-        last = F.greatest(F.lit(1), F.shiftright(F.octet_length(wide), 2) - CHARS + 1)
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(wide, 4 * i - 3, F.lit(4 * CHARS)))))
 
-    # as the variable of a lambda the line is encoded once, not for each place
-    return F.element_at(F.transform(F.array(F.encode(line, "UTF-32")), hashes), 1)
+def shingles(line: Column) -> Column:
+    """The shingles of a line, repeated ones too; a line below ``CHARS`` characters is one shingle."""
+    return F.when(F.char_length(line) < CHARS, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{CHARS}}}))."), F.lit(1)))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(id, s0, s1, ...) of distinct ``lines`` (h1, h2, line): minima of the shingles' hashes.
+    """(h1, h2, s0, s1, ...) of the distinct ``lines`` (h1, h2, line): minima of the shingles' hashes.
 
     Slot i keeps the hash nearest to a constant of its own, by exclusive or: for random hashes that is
     as random a choice among a line's shingles as the smallest of a hash of its own.
@@ -70,15 +67,83 @@ def signatures(lines: DataFrame) -> DataFrame:
     return hashed.groupBy("h1", "h2").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"s{i}") for i, c in enumerate(constants)])
 
 
-def _id() -> Column:
-    """A line's name: both hashes."""
-    return F.struct("h1", "h2")
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose lines, found in ``texts`` (id, line), are alike: Jaccard of distinct shingles."""
+    lines = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y"))
+    return lines.where(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")) >= SIMILARITY).select("a", "b")
+
 
+def settled(groups: DataFrame, found: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``found`` (id, root) with every link of ``similarity`` between members of one of ``groups`` (g, id) added.
 
-def similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two arrays of distinct values."""
-    shared = F.size(F.array_intersect(a, b))
-    return shared / (F.size(a) + F.size(b) - shared)
+    Groups that have members of several components form families, each with a pivot p from its largest
+    component. A line x then is what it differs from the pivot in, D(x) = S(x) xor S(p), which is short.
+    Lines x and y are alike if |D(x) xor D(y)| <= (|x| + |y|) (1 - t) / (1 + t), at threshold t. So they are both
+    alike to the pivot, which D shows at once, or share an element, and with both D in one order,
+    rarest first, the first shared one is among the first |x| (1 - t) / (1 + t) + 1 of x and the first
+    |y| (1 - t) / t + 1 of y, or the other way round. Lines that share such an element are a group of the
+    next round. Its members are verified against its first; what is still in several components goes
+    on, without pivots and firsts, so that rounds end; elements that one line alone has lead nowhere.
+    Nothing is missed, and no group is expanded into pairs.
+    """
+    while True:
+        held = groups.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        mixed = held.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("id").alias("first")).where("x < y").select("g", "first")
+        held = stored(held.join(mixed, "g").select("id", "root", "first").distinct(), "line-mixed")
+        if held.isEmpty():
+            return found
+        families = components(held.select(F.col("id").alias("a"), F.col("first").alias("b")), "line-families")
+        members = stored(held.select("id", "root").distinct().join(families.select("id", F.col("root").alias("family")), "id"), "line-members")
+        largest = members.groupBy("family", "root").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).groupBy("family").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
+        pivots = largest.join(texts.toDF("pivot", "pivot_line"), "pivot")
+        beside = members.join(texts, "id").join(pivots, "family").where("id <> pivot").select("family", "id", "root", "pivot", shingles(F.col("line")).alias("x"), shingles(F.col("pivot_line")).alias("p"))
+        apart = F.concat(F.array_except("x", "p"), F.array_except("p", "x"))
+        beside = beside.select("family", "id", "root", "pivot", F.size(F.array_distinct("x")).alias("n"), F.size(F.array_except("x", "p")).alias("added"), F.transform(apart, lambda s: F.xxhash64(s)).alias("apart"))
+        beside = stored(beside, "line-apart")
+        removed = F.size("apart") - F.col("added")
+        links = beside.where((F.col("n") - F.col("added")) / (F.col("n") + removed) >= similarity).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+
+        each = beside.select("family", "id", "root", "n", F.size("apart").alias("all"), F.explode("apart").alias("token"))
+        shared = each.groupBy("family", "token").agg(F.count("*").alias("m")).where("m > 1")
+        ordered = each.join(shared, ["family", "token"]).groupBy("family", "id", "root", "n", "all").agg(F.sort_array(F.collect_list(F.struct("m", "token"))).alias("shared"))
+        alone = F.col("all") - F.size("shared")  # these come first
+        half, full = (F.col("n") * x + 1e-9 for x in ((1 - similarity) / (1 + similarity), (1 - similarity) / similarity))
+        prefix = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.floor(full).cast("int") + 1 - alone))
+        dealt = ordered.select("family", "id", "root", (half - alone).alias("half"), F.posexplode(prefix).alias("at", "e"))
+        dealt = stored(dealt.select(F.xxhash64("family", "e.token").alias("g"), "id", "root", (F.col("half") - F.col("at")).alias("slack")), "line-prefixes")
+        most = dealt.groupBy("g").agg(F.max("slack").alias("most")).where("most >= 0")
+        dealt_on = dealt.join(most, "g").where("slack + most >= 0").drop("most")
+        several = dealt_on.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("g")
+        met = stored(dealt_on.join(several, "g"), "line-met")
+        firsts = met.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.col("slack").desc(), "id"))).where(F.col("rank") <= FIRSTS)
+        firsts = stored(firsts.select("g", F.col("id").alias("first"), F.col("root").alias("first_root"), F.col("slack").alias("first_slack")), "line-firsts")
+        pairs = met.join(firsts, "g").where("root <> first_root and slack + first_slack >= 0").select(F.greatest("id", "first").alias("a"), F.least("id", "first").alias("b"))
+        links = links.unionByName(verified(pairs.distinct(), texts))
+        links = stored(links, "line-near")
+        groups = met.select("g", "id").join(firsts.select("g", F.col("first").alias("id")), ["g", "id"], "left_anti")
+        if not links.isEmpty():
+            found = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(links), "line-classes")
+        for table in (held, members, beside, dealt):
+            discard(table)
+
+
+def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two tables: (id, h1, h2, slots) of the distinct lines, and (id, root) of those that are alike to others."""
+    slots = F.array(*[f"s{i}" for i in range(SLOTS)]).alias("slots")
+    signed = stored(signatures(lines_of(docs)).select(F.monotonically_increasing_id().alias("id"), "h1", "h2", slots), "line-signatures")
+    keys = F.array(*[F.xxhash64(F.lit(b), *[F.get("slots", F.lit(i)) for i in band]) for b, band in enumerate(BANDS)])
+    buckets = signed.select("id", F.explode(keys).alias("g"))
+    firsts = stored(buckets.groupBy("g").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("g", "first"), "line-firsts")
+    met = stored(buckets.join(firsts, "g").where("id <> first"), "line-met")
+    star = stored(met.select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "line-star")
+    wanted = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
+    named = stored(wanted.join(signed, "id").select("id", "h1", "h2"), "line-wanted")
+    texts = stored(lines_of(docs).join(named, ["h1", "h2"]).groupBy("id").agg(F.min("line").alias("line")), "line-texts")
+    near = stored(verified(star, texts), "line-near")
+    found = settled(met.select("g", "id"), components(near, "line-classes"), texts)
+    for table in (firsts, met, star, named, texts, near):
+        discard(table)
+    return signed, found
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -87,66 +152,19 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     Lines compare in whole, case and white space included, across all documents and within one. The
     line that stays is the first by doc_id (nulls last), doc_key and number. Blank lines always stay.
     """
-    lines = lines_of(docs)
-    hashed = lines.select("doc_id", "doc_key", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "doc_key", "line_no")
-    distinct = bucketed(hashed.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.first("line").alias("line")), "lines", "h1", "h2")
-
-    slots = F.array(*[f"s{i}" for i in range(SLOTS)]).alias("slots")
-    signed = stored(signatures(distinct).select(_id().alias("id"), slots), "line-signatures")
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.get("slots", F.lit(i)) for i in band]) for b, band in enumerate(BANDS)])
-    buckets = signed.select("id", F.explode(keys).alias("bucket"))
-    first = F.first("id").over(Window.partitionBy("bucket").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = stored(buckets.select("bucket", F.col("id").alias("a"), first.alias("b")).where("a <> b"), "line-met")
-    star = met.select("a", "b").distinct().join(signed.toDF("a", "x"), "a").join(signed.toDF("b", "y"), "b").where(_equal("x", "y") >= LEAST_SLOTS)
-    star = stored(star.select("a", "b"), "line-star")
-    near = stored(_near(star, distinct), "line-near")
-    found = components(near, "line-classes")
-    in_buckets = met.select("bucket", F.col("a").alias("id")).unionByName(met.select("bucket", F.col("b").alias("id")).distinct())
-    in_families = components(star, "line-families").select(F.xxhash64("root").alias("bucket"), "id")
-    across = stored(_near(stored(_across(in_buckets.unionByName(in_families), found, signed), "line-across"), distinct), "line-near")
-    if not across.isEmpty():
-        found = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(across), "line-classes")
-
-    placed = distinct.select(_id().alias("id"), "place").join(found, "id")
-    winners = placed.groupBy("root").agg(F.min("place").alias("place"))
-    losers = placed.join(winners.withColumnRenamed("place", "winner"), "root").select("id", "winner")
-    occurrences = hashed.select(_id().alias("id"), "doc_key", "line_no", place.alias("own"))
-    singles = distinct.select(_id().alias("id"), F.col("place").alias("winner"))
-    best = singles.join(losers.withColumnRenamed("winner", "other"), "id", "left").select("id", F.coalesce("other", "winner").alias("winner"))
-    gone = occurrences.join(best, "id").where("own <> winner")
-    return gone.groupBy("doc_key").agg(F.collect_set("line_no").alias("gone"))
-
-
-def _equal(x: str, y: str) -> Column:
-    """How many slots two signatures share; unrelated lines that share one band share few besides."""
-    return sum((F.get(x, F.lit(i)) == F.get(y, F.lit(i))).cast("int") for i in range(SLOTS))
-
-
-def _near(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose lines, found in ``distinct`` (h1, h2, line), are alike."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = distinct.join(wanted.select("id.h1", "id.h2"), ["h1", "h2"], "left_semi")
-    texts = stored(texts.select(_id().alias("id"), "line"), "line-texts")
-    # lines travel as text and become sets where they are compared: sets are several times as large
-    lines = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
-    both = F.struct(shingle_hashes(F.col("x")).alias("x"), shingle_hashes(F.col("y")).alias("y"))
-    alike = F.element_at(F.transform(F.array(both), lambda s: similarity(s.x, s.y)), 1)  # a variable, so that each set is made once
-    return lines.where(alike >= SIMILARITY).select("a", "b")
-
-
-def _across(groups: DataFrame, found: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) with alike signatures within ``groups`` (bucket, id) that are in different components.
-
-    One line of such a pair is outside the group's largest component, so only those lines are joined with the whole group.
-    """
-    held = groups.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    sizes = held.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
-    held = stored(held.join(mixed.select("bucket", F.col("most.root").alias("most")), "bucket").join(signed, "id"), "line-mixed")
-    p = held.where("root <> most").select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("slots").alias("x"))
-    q = held.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("slots").alias("y"), (F.col("root") == F.col("most")).alias("main"))
-    return p.join(q, "bucket").where("ra <> rb and (main or a < b)").where(_equal("x", "y") >= LEAST_ACROSS).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    signed, found = line_classes(docs)
+    root = signed.select(F.col("id").alias("root"), F.struct("h1", "h2").alias("class"))
+    moved = stored(found.where("id <> root").join(root, "root").join(signed.select("id", "h1", "h2"), "id").select("h1", "h2", "class"), "line-roots")
+    discard(signed)
+    firsts = places_of(docs).groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("n"))
+    firsts = stored(firsts.join(moved, ["h1", "h2"], "left").withColumn("class", F.coalesce("class", F.struct("h1", "h2"))), "line-firsts")
+    several = firsts.groupBy("class").agg(F.min("place").alias("winner"), F.sum("n").alias("n")).where("n > 1").select("class", "winner")
+    winners = stored(firsts.select("h1", "h2", "class").join(several, "class").select("h1", "h2", "winner"), "line-winners")
+    discard(firsts)
+    gone = places_of(docs).join(winners, ["h1", "h2"]).where("place <> winner").select("place.doc_key", "place.line_no")
+    gone = stored(gone.groupBy("doc_key").agg(F.collect_set("line_no").alias("gone")), "line-gone")
+    discard(winners)
+    return gone
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -154,21 +172,21 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     The lines that stay are joined by a newline again. A text that loses nothing stays as it is; null
     texts stay null, with one line that stays. Of rows with the same id and text the first keeps its
-    lines, and the others keep blank lines only. Other columns are handed on.
+    lines, and the others keep blank lines only. Other columns are handed on, whatever their names;
+    columns called n_lines and n_kept are replaced. Empty in, empty out.
     """
-    lost = dropped_lines(docs).toDF("_key", "_gone")
-    keyed = docs.withColumn("_key", doc_key()).join(lost, "_key", "left")
-    keyed = keyed.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
-    keyed = keyed.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n")).withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
-    blank = F.filter("_lines", lambda x: ~x.rlike(r"\S"))
-    kept = F.when(F.col("_copy") > 1, blank).when(F.size("_gone") == 0, F.col("_lines")).otherwise(F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i)))
-    keyed = keyed.withColumn("_kept", kept)
-    text = F.when(F.col("text").isNotNull(), F.array_join("_kept", "\n"))
-    return keyed.select(*[text.alias("text") if c == "text" else c for c in docs.columns], F.size("_lines").cast("long").alias("n_lines"), F.size("_kept").cast("long").alias("n_kept"))
+    lost = dropped_lines(docs)
+    keyed = docs.select(row_of(docs).alias("row"), doc_key().alias("doc_key"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines")).join(lost, "doc_key", "left")
+    keyed = keyed.withColumn("copy", F.row_number().over(Window.partitionBy("doc_key").orderBy("doc_key"))).withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    blank = F.filter("lines", lambda x: ~x.rlike(r"\S"))
+    kept = F.when(F.col("copy") > 1, blank).when(F.size("gone") == 0, F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)))
+    keyed = keyed.withColumn("kept", kept)
+    text = F.when(F.col("row.text").isNotNull(), F.array_join("kept", "\n"))
+    return keyed.select(*own_columns(docs, text=text, n_lines=F.size("lines").cast("long"), n_kept=F.size("kept").cast("long")))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's lines and what stays of them."""
+    """Each document's lines and what stays of them; nulls, copies and empty tables as in ``deduplicated``."""
     kept = deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
     return kept.select("doc_id", "n_lines", "n_kept", F.char_length(text).cast("long").alias("n_chars"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))

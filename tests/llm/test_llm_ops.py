@@ -177,44 +177,38 @@ def test_line_dedup_blocks_join_components(spark):
     assert sorted(r["doc_id"] for r in out if r["text"]) == [0]
 
 
-def test_line_dedup_buckets_with_an_unrelated_first_line(spark):
-    """Two near lines meet although the smallest line of each bucket they share is like neither."""
-    a = sentences(6, 1, 40)[0]
-    b = a + " end"
+@pytest.mark.parametrize("seed", [1, 2])
+def test_line_dedup_settles_whole_groups(spark, seed):
+    """One group of edited, cut and unrelated lines, a stranger first and nothing linked yet, against all pairs."""
+    rng = random.Random(seed)
+    lines = sentences(seed + 50, 4, 25)
+    for base in sentences(seed + 60, 3, 30):
+        for _ in range(45):
+            w = base.split()
+            for _ in range(rng.randrange(7)):
+                w[rng.randrange(len(w))] = rng.choice(["same", f"w{rng.randrange(40)}", ""])
+            lines.append(" ".join(w[rng.choice([0, 0, 0, 4]) : rng.choice([30, 30, 22])]))
+    lines = list(dict.fromkeys(lines))
+    sets = [{x[k : k + 8] for k in range(len(x) - 7)} for x in lines]
+    up = list(range(len(lines)))
 
-    def signed(lines):
-        from pyspark.sql import functions as F
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
 
-        df = spark.createDataFrame([(x,) for x in lines], "line string")
-        df = df.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "line")
-        rows = line_dedup.signatures(df).join(df, ["h1", "h2"]).collect()
-        return {r["line"]: ((r["h1"], r["h2"]), [r[f"s{i}"] for i in range(line_dedup.SLOTS)]) for r in rows}
-
-    grams = [a[i : i + 8] for i in range(len(a) - 7)]
-    signatures = signed([a, b, *grams])
-    gram_of = {signatures[g][1][i]: g for g in grams for i in range(line_dedup.SLOTS)}
-    (id_a, of_a), (id_b, of_b) = signatures[a], signatures[b]
-    bands = [band for band in line_dedup.BANDS if all(of_a[i] == of_b[i] for i in band)]
-    assert bands
-    rng = random.Random(13)
-    made = {}
-    for band in bands:
-        for _ in range(150):
-            made["".join(gram_of[of_a[i]] + rng.choice("0123456789") for i in band)] = band
-    firsts = {}
-    for x, (id_x, of_x) in signed(list(made)).items():
-        alike = sum(p == q for p, q in zip(of_x, of_a))
-        if id_x < min(id_a, id_b) and all(of_x[i] == of_a[i] for i in made[x]) and alike < line_dedup.LEAST_SLOTS:
-            firsts[made[x]] = min(firsts.get(made[x], (id_x, x)), (id_x, x))
-    assert set(firsts) == set(bands)
-    rows = [(i, t, "s") for i, t in enumerate([a, b, *(x for _, x in firsts.values())])]
-    gone = brute_lines(rows)
-    assert 1 in gone
-    out = {r["doc_id"]: r["n_kept"] for r in line_dedup.deduplicated(documents(spark, rows)).collect()}
-    assert out == {i: 1 - len(gone.get(i, ())) for i, _, _ in rows}
+    for i, j in itertools.combinations(range(len(lines)), 2):
+        if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+            a, b = sorted((top(i), top(j)))
+            up[b] = a
+    groups = spark.createDataFrame([(7, i) for i in range(len(lines))], "g long, id long")
+    nothing = spark.createDataFrame([], "id long, root long")
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    found = {r["id"]: r["root"] for r in line_dedup.settled(groups, nothing, texts).collect()}
+    assert {i: found.get(i, i) for i in range(len(lines))} == {i: top(i) for i in range(len(lines))}
+    assert 20 < len({top(i) for i in range(len(lines))}) < len(lines) - 20
 
 
-@pytest.mark.parametrize("capacity", [7, 64])
 def test_packing(spark, capacity):
     rng = random.Random(capacity)
     texts = sentences(6, 60, 20)
