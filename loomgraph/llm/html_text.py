@@ -18,31 +18,55 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Elements whose content is never text of the page.
-_RAW = "script|style|title|textarea|noscript|template|iframe|svg|math|object|select|audio|video|canvas"
+#: Elements whose content is text, not markup, up to their end tag; none of it is text of the page.
+_RAW = "script|style|title|textarea|iframe|xmp|noembed|noframes"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + _RAW + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+|[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr q ruby rp rt s samp small span strike strong sub sup time tt u var wbr meta link".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr q ruby rp rt s samp small span strike strong sub sup time tt u var wbr meta link svg math noscript mi mo mn ms mrow mfrac msup msub msqrt mtext semantics annotation g path tspan".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_ASIDE = frozenset("nav footer aside form menu dialog button head".split())
+_ASIDE = frozenset("nav footer aside form menu dialog button head select template".split())
 _MAIN = frozenset("article main".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_BAD_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|cookies?|consent|notice|alert|popup|modal"
-    r"|newsletter|subscribe|share|social|related|comments?|reply|replies|disqus|respond|login|search|complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
+#: Elements of single texts: what their names hint at is weak.
+_TEXTS = _HEADINGS | frozenset("p li dt dd td th blockquote pre figcaption span a em strong".split())
+_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+#: Words of which class names, ids and roles of boilerplate consist. Those of ``_REPLIES`` hold even around articles.
+_REPLIES = frozenset("comment comments reply replies respond disqus related".split())
+_BAD = _REPLIES | frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar widget menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies"
+    " consent notice alert popup modal newsletter subscribe share sharing social login search complementary contentinfo".split()
 )
+_STATES = frozenset("has no with without is not".split())
+_OF_TEXT = frozenset("post entry article story title page section".split())
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
+
+def _hinted(attrs: str, in_main: bool) -> str | None:
+    """The word of boilerplate that an element's class names, id or role consist of, if any.
+
+    Whole names count, and parts of class names that aren't states (has-sidebar) or parts of a text
+    (post-header); a header within an article is its own. An id counts in whole, without its number.
+    """
+    for kind, value in _NAMES.findall(attrs):
+        for name in value.strip("\"'").lower().split():
+            parts = [x for x in re.split(r"[-_]+", name) if x and not x.isdigit()]
+            if not parts or parts[0] in _STATES or (kind.lower() != "class" and len(parts) > 1 and not parts[-1] in _BAD):
+                continue
+            for x in parts:
+                if x in _BAD and not (x in ("header", "notice", "search") and (in_main or parts[0] in _OF_TEXT) and (len(parts) > 1 or x == "header")):
+                    return x
+    return None
+
+
 FEATURES = ("place", "aside", "heading", "words", "link_density", "words_before", "links_before", "words_after", "links_after")
 
 #: Labelled blocks. place: 1 in an article or main element, -1 outside one that the page has, 0 on a
-#: page without; aside: in a menu, header, footer, form, advert, notice or comment element. A number
-#: of words stands for all around it, as training adds the neighbours within a tenth.
+#: page without; aside: 1 in a menu, header, footer, form, advert, notice or comment element, 0.5 if only
+#: the name of the text's own element says so. A number of words stands for all around it, as training
+#: adds the neighbours within a tenth.
 LABELLED = """
 place aside heading words link words_before links_before words_after links_after content
 1 0 1 8 0 0 0 60 0 1
@@ -55,6 +79,30 @@ place aside heading words link words_before links_before words_after links_after
 1 0 0 150 0.1 90 0 0 0 1
 1 0 0 25 0.3 2 1 5 0 1
 1 0 0 6 0 6 1 0 0 1
+1 0 0 2 0 0 0 0 0 1
+1 0 0 3 0 3 0 3 0 1
+1 0 0 1 0 20 0 0 0 1
+1 0 0 6 0 8 0 120 0 1
+1 0 0 8 0 20 0 20 0 1
+1 0 0 5 1 60 0 3 1 1
+1 0 0 8 0 60 0 60 0 1
+1 0 0 4 0 0 0 8 0 1
+1 0 1 4 0 0 0 6 0 1
+1 0 1 6 0 4 0 0 0 1
+1 0 0 30 0.8 30 0 3 1 1
+1 0 0 30 0.1 3 1 3 1 1
+1 0 0 3 0 60 0 60 0 1
+1 0 0 2 1 60 0 2 0.5 1
+1 0.5 0 40 0 60 0 60 0 1
+1 0.5 0 30 0.1 8 0 25 0 1
+1 0.5 0 25 0 60 0 0 0 1
+1 0.5 1 4 0 0 0 60 0 1
+1 0.5 1 6 0 40 0 80 0 1
+1 0.5 0 3 0 60 0 60 0 0
+1 0.5 0 8 0 20 0 20 0 0
+1 0.5 0 5 1 60 0 3 1 0
+1 0.5 0 30 0.8 30 0 3 1 0
+1 0.5 0 30 0.1 3 1 3 1 0
 1 1 0 9 0 60 0 60 0 0
 1 1 0 3 1 60 0 3 1 0
 1 1 0 40 0 20 0 20 0 0
@@ -84,6 +132,14 @@ place aside heading words link words_before links_before words_after links_after
 0 0 0 18 0.6 3 1 40 0 0
 0 0 0 7 0 0 0 2 1 0
 0 0 1 2 0 3 1 2 1 0
+0 0 1 1 0 2 1 30 0 1
+0 0 1 4 0 2 1 60 0 1
+0 0 1 2 0 40 0 40 0 1
+0 0.5 0 60 0 60 0 60 0 1
+0 0.5 1 5 0 2 1 60 0 1
+0 0.5 0 30 0.1 3 1 3 1 0
+0 0.5 0 8 0 60 0 60 0 0
+0 0.5 0 4 1 3 1 3 1 0
 0 1 0 50 0 40 0 10 0 0
 0 1 0 10 0 60 0 60 0 0
 0 1 0 3 1 3 1 3 1 0
@@ -112,7 +168,7 @@ def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
     return rows[:, :-1], rows[:, -1]
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 7):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9):
     """A decision tree by Gini impurity: a leaf is the share of label 1, a node (feature, cut, left, right)."""
     if depth == 0 or y.min() == y.max():
         return float(y.mean())
@@ -142,12 +198,44 @@ def _share(tree, row) -> float:
     return tree
 
 
+class _Element:
+    """An open element: what is known of the text in it."""
+
+    __slots__ = ("tag", "up", "main", "heading", "link", "bad", "weak", "around")
+
+    def __init__(self, tag: str, up: _Element | None, attrs: str):
+        self.tag, self.up = tag, up
+        self.main = tag in _MAIN or (up is not None and up.main)
+        self.heading = tag in _HEADINGS or (up is not None and up.heading)
+        self.link = tag == "a" or (up is not None and up.link)
+        self.bad = self.weak = False
+        self.around = False  # whether an article or main element in it makes it no boilerplate
+        inside = up is not None and up.main
+        if tag in _ASIDE or (tag == "header" and not inside) or _HIDDEN.search(attrs):
+            self.bad, self.around = True, tag == "form"
+        elif "=" in attrs and tag not in ("html", "body"):
+            word = _hinted(attrs, inside or tag in _MAIN)
+            if word and tag in _MAIN:
+                self.bad = word in _REPLIES or word.startswith(("ad", "sponsor", "promo"))
+            elif word and tag in _TEXTS:
+                self.weak = True
+            elif word:
+                self.bad, self.around = True, word not in _REPLIES
+
+    def aside(self) -> float:
+        at, weak = self, False
+        while at is not None:
+            if at.bad:
+                return 1.0
+            weak, at = weak or at.weak, at.up
+        return 0.5 if weak else 0.0
+
+
 def blocks(page: str | None) -> list[tuple[str, list[float]]]:
     """The page's flat text blocks in page order, each with its features."""
     page = page or ""
-    found: list[list] = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, aside, in main, in heading, in link
-    now = ("", False, False, False, False)
+    found: list[tuple[str, _Element | None, int, float]] = []
+    stack: list[_Element] = []
     parts: list[str] = []
     linked = 0
     any_main = False
@@ -157,7 +245,7 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
         text = " ".join("".join(parts).split())
         if text:
             words = text.count(" ") + 1
-            found.append([text, now[2], now[1], now[3], words, min(1.0, linked / words)])
+            found.append((text, stack[-1] if stack else None, words, min(1.0, linked / words)))
         parts.clear()
         linked = 0
 
@@ -166,7 +254,7 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
         if text:
             text = html.unescape(text) if "&" in text else text
             parts.append(text)
-            if now[4]:
+            if stack and stack[-1].link:
                 linked += len(text.split())
 
     at = 0
@@ -177,44 +265,36 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
         if not tag:
             continue
         tag = tag.lower()
-        inline = tag in _INLINE
         if tag == "br":
             parts.append(" ")
-        if not inline:
+        if tag not in _INLINE:
             close()
         if m["end"]:
             depth = len(stack) - 1
-            while depth >= 0 and stack[depth][0] != tag:
+            while depth >= 0 and stack[depth].tag != tag:
                 depth -= 1
             if depth >= 0:
                 del stack[depth:]
-                now = stack[-1] if stack else ("", False, False, False, False)
         elif tag not in _VOID:
             attrs = m["attrs"] or ""
-            aside, main = now[1], now[2]
-            if tag in _MAIN and not aside:
-                main = any_main = True
-            if tag in _ASIDE or (tag == "header" and not main):
-                aside = True
-            elif tag not in ("html", "body", "main"):
-                hints = " ".join(x.strip("\"'") for x in _HINT.findall(attrs)) if "=" in attrs else ""
-                if (hints and _BAD_HINT.search(hints)) or _HIDDEN.search(attrs):
-                    aside = True
-            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
+            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1].tag == tag:
                 stack.pop()
-            now = (tag, aside, main, now[3] or tag in _HEADINGS, now[4] or tag == "a")
-            stack.append(now)
-            if not attrs.endswith("/") or tag in ("a", "p", "div", "span"):
+            if attrs.endswith("/") and tag not in ("a", "p", "div", "span"):
                 continue
-            stack.pop()
-            now = stack[-1] if stack else ("", False, False, False, False)
+            element = _Element(tag, stack[-1] if stack else None, attrs)
+            if tag in _MAIN and not element.bad:
+                for outer in stack:
+                    outer.bad = outer.bad and not outer.around
+                any_main = any_main or not element.aside()
+            stack.append(element)
     add(page[at:])
     close()
+    known = [(e is not None and e.main, e.aside() if e is not None else 0.0, e is not None and e.heading, words, links) for _, e, words, links in found]
+    edge = (0, 0, 0, 0, 0.0)
     out = []
-    edge = [None, False, False, False, 0, 0.0]
-    for i, (text, main, aside, heading, words, links) in enumerate(found):
-        before, after = found[i - 1] if i else edge, found[i + 1] if i + 1 < len(found) else edge
-        out.append((text, [1.0 if main else -1.0 if any_main else 0.0, float(aside), float(heading), words, links, before[4], before[5], after[4], after[5]]))
+    for i, (main, aside, heading, words, links) in enumerate(known):
+        before, after = known[i - 1] if i else edge, known[i + 1] if i + 1 < len(known) else edge
+        out.append((found[i][0], [1.0 if main else -1.0 if any_main else 0.0, aside, float(heading), words, links, *before[3:], *after[3:]]))
     return out
 
 

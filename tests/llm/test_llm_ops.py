@@ -72,6 +72,12 @@ def test_license_scan(spark, tmp_path):
         ("<article><p>a < b &lt; c &#233; &nosuch; </p><script>var t='</p>';</script><style>p{}</style><!-- no --><form>f</form><p hidden>h</p></article>", "a < b < c é &nosuch;"),
         ("<article><p>cut &am", "cut &am"), ("<article><p>kept</p><div class=ad>Buy</div><p class='lead'>too</p><p", "kept\n\ntoo"),
         ("<article><header><h1>Title</h1></header><p>Text.</p><article class=comment><p>no</p></article></article>", "Title\n\nText."),
+        ("<div class='page has-sidebar'><article><p>In it.</p></article></div>", "In it."), ("<article class='post no-comments'><p>short one</p></article>", "short one"),
+        ("<article><section id='search-algorithms'><p>On search.</p></section></article>", "On search."), ("<article><div class='post-header'><h1>Title</h1></div><p>Text.</p></article>", "Title\n\nText."),
+        (f"<article><p>Text.</p><p class='notice'>{'word ' * 30}</p></article>", "Text.\n\n" + ("word " * 30).strip()), ("<article><p>one <svg class=x/> two</p><p>last</p></article>", "one two\n\nlast"),
+        ("<noscript><article><p>Without scripts.</p></article>", "Without scripts."), ("<form><main><p>Text of it.</p><select><option>no</option></select></main></form>", "Text of it."),
+        ("<article><p>x <math><mi>y</mi></math></p></article>", "x y"), ("<div class=sidebar><article><p>T</p><div id=comments><article class=reply>no</article></div></article></div>", "T"),
+        ("<div id='header'><p>Site name here</p></div><div class='cookie-notice'>We use cookies</div><main>Yes.</main>", "Yes."), ("<article>" + "<p>long</p>" * 20_000 + "</article>", "\n\n".join(["long"] * 20_000)),
     ],
 )
 def test_html_text(page, text):
@@ -92,6 +98,13 @@ def test_html_tree_and_query(spark, tmp_path):
     assert sorted(r["n_chars"] for r in out) == [0, 0, len(paragraph.strip())]
 
 
+def test_html_neighbours_decide_on_pages_without_article():
+    """Blocks of the same words and links are content between paragraphs and boilerplate between links."""
+    text, links, line = "<div>" + "word " * 50 + "</div>", "<div><a href=1>some</a> <a href=2>links</a></div>", "<div>just five words of it</div>"
+    for around in (text, links):
+        assert ("just five" in html_text.main_text(around * 2 + line + around * 2)) == (around == text)
+
+
 def test_quality(spark, tmp_path):
     good, bad = sentences(1, 120), [" | ".join(t.upper().split()[:20]) + "!!" for t in sentences(2, 120)]
     rows = [(i, t, "s") for i, t in enumerate(good + bad)] + [(None, None, None), (900, "", "s"), (0, good[0], "s")]
