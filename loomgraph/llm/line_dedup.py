@@ -8,8 +8,9 @@ components over what is verified say which lines are one, and of each component
 first in the corpus stays.
 
 A bucket is never expanded into its pairs. Its members are verified against its first, whatever their
-signatures say. Where that leaves members of a bucket in several components, ``settled`` finds the links
-between these exactly, by prefixes of what lines differ in.
+signatures say. Where that leaves them in several components, those of the smallest are compared with all by
+what they differ from the first in, and if there are many such, ``settled`` finds the links between
+components exactly, by prefixes of these differences.
 """
 
 from __future__ import annotations
@@ -18,14 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import components, own_columns, row_of, stored, text_key
+from loomgraph.llm.families import FIRSTS, settled
 from loomgraph.scratch import discard
 
 CHARS = 8
 SIMILARITY = 0.8
 SLOTS = 12
 #: Every slot is in two bands. A pair at 0.8 shares one in 99.5 % of cases.
-#: With so many of its members the others of a group are compared in a round.
-FIRSTS = 32
 BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 3, 6), (1, 4, 9), (2, 7, 10), (5, 8, 11))
 
 
@@ -68,63 +68,55 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose lines, found in ``texts`` (id, line), are alike: Jaccard of distinct shingles."""
+    """Those of ``pairs`` (a, b) whose lines, found in ``texts`` (id, text), are alike: Jaccard of distinct shingles."""
     lines = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y"))
     return lines.where(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")) >= SIMILARITY).select("a", "b")
 
 
-def settled(groups: DataFrame, found: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``found`` (id, root) with every link of ``similarity`` between members of one of ``groups`` (g, id) added.
+def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, near, n, apart) of ``pairs`` (a, b): whether they are alike, a's shingles, and hashes of those that one of them has."""
+    sets = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y"))
+    sizes = sets.select("a", "b", F.size(F.array_union("x", "y")).alias("all"), F.array_except("x", "y").alias("x"), F.array_except("y", "x").alias("y"))
+    shared = F.col("all") - F.size("x") - F.size("y")
+    return sizes.select("a", "b", (shared / F.col("all") >= SIMILARITY).alias("near"), (F.col("all") - F.size("y")).alias("n"), F.transform(F.concat("x", "y"), lambda s: F.hash(s)).alias("apart"))
 
-    Groups that have members of several components form families, each with a pivot p from its largest
-    component. A line x then is what it differs from the pivot in, D(x) = S(x) xor S(p), which is short.
-    Lines x and y are alike if |D(x) xor D(y)| <= (|x| + |y|) (1 - t) / (1 + t), at threshold t. So they are both
-    alike to the pivot, which D shows at once, or share an element, and with both D in one order,
-    rarest first, the first shared one is among the first |x| (1 - t) / (1 + t) + 1 of x and the first
-    |y| (1 - t) / t + 1 of y, or the other way round. Lines that share such an element are a group of the
-    next round. Its members are verified against its first; what is still in several components goes
-    on, without pivots and firsts, so that rounds end; elements that one line alone has lead nowhere.
-    Nothing is missed, and no group is expanded into pairs.
+
+def within(met: DataFrame, beside: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different components that may be alike, and what groups are left to settle (g, id).
+
+    ``met`` (g, id, first) are groups and ``beside`` tells what their members differ from the first in. Of
+    each group that is still in several components, ``FIRSTS`` members, those of its smallest components,
+    are compared with all others by these differences alone, which is exact but for collisions of hashes,
+    and those get two elements' room; groups with more such members are left.
+    """
+    held = met.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    several = held.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("g")
+    held = stored(held.join(several, "g").join(beside.select(F.col("a").alias("id"), F.col("b").alias("first"), "n", "apart"), ["id", "first"]), "line-held")
+    sizes = held.groupBy("g", "root").agg(F.count("*").alias("m"))
+    rank = F.row_number().over(Window.partitionBy("g").orderBy("m", "root", "id"))
+    firsts = stored(held.select("g", "id", "root").join(sizes, ["g", "root"]).withColumn("rank", rank).where(F.col("rank") <= FIRSTS).select("g", "id"), "line-firsts")
+    some = held.join(firsts, ["g", "id"]).select("g", F.col("id").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("b_n"), F.col("apart").alias("b_apart"))
+    differ = F.size("apart") + F.size("b_apart") - 2 * F.size(F.array_intersect("apart", "b_apart"))
+    alike = differ <= (F.col("n") + F.col("b_n")) * (1 - SIMILARITY) / (1 + SIMILARITY) + 2
+    pairs = held.join(some, "g").where("root <> b_root").where(alike).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+    pairs = stored(pairs, "line-pairs")
+    left = stored(held.select("g", "id").join(firsts, ["g", "id"], "left_anti"), "line-left")
+    discard(held)
+    discard(firsts)
+    return pairs, left
+
+
+def compared(beside: DataFrame) -> DataFrame:
+    """What lines and their pivots differ in, for ``settled``.
+
+    Lines x and y are alike if and only if they differ in at most (|x| + |y|) (1 - t) / (1 + t) shingles, at
+    threshold t. If they share none of D, then |D(x)| + |D(y)| is at most that, so each is alike to the pivot.
     """
-    while True:
-        held = groups.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        mixed = held.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("id").alias("first")).where("x < y").select("g", "first")
-        held = stored(held.join(mixed, "g").select("id", "root", "first").distinct(), "line-mixed")
-        if held.isEmpty():
-            return found
-        families = components(held.select(F.col("id").alias("a"), F.col("first").alias("b")), "line-families")
-        members = stored(held.select("id", "root").distinct().join(families.select("id", F.col("root").alias("family")), "id"), "line-members")
-        largest = members.groupBy("family", "root").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).groupBy("family").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
-        pivots = largest.join(texts.toDF("pivot", "pivot_line"), "pivot")
-        beside = members.join(texts, "id").join(pivots, "family").where("id <> pivot").select("family", "id", "root", "pivot", shingles(F.col("line")).alias("x"), shingles(F.col("pivot_line")).alias("p"))
-        apart = F.concat(F.array_except("x", "p"), F.array_except("p", "x"))
-        beside = beside.select("family", "id", "root", "pivot", F.size(F.array_distinct("x")).alias("n"), F.size(F.array_except("x", "p")).alias("added"), F.transform(apart, lambda s: F.xxhash64(s)).alias("apart"))
-        beside = stored(beside, "line-apart")
-        removed = F.size("apart") - F.col("added")
-        links = beside.where((F.col("n") - F.col("added")) / (F.col("n") + removed) >= similarity).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-
-        each = beside.select("family", "id", "root", "n", F.size("apart").alias("all"), F.explode("apart").alias("token"))
-        shared = each.groupBy("family", "token").agg(F.count("*").alias("m")).where("m > 1")
-        ordered = each.join(shared, ["family", "token"]).groupBy("family", "id", "root", "n", "all").agg(F.sort_array(F.collect_list(F.struct("m", "token"))).alias("shared"))
-        alone = F.col("all") - F.size("shared")  # these come first
-        half, full = (F.col("n") * x + 1e-9 for x in ((1 - similarity) / (1 + similarity), (1 - similarity) / similarity))
-        prefix = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.floor(full).cast("int") + 1 - alone))
-        dealt = ordered.select("family", "id", "root", (half - alone).alias("half"), F.posexplode(prefix).alias("at", "e"))
-        dealt = stored(dealt.select(F.xxhash64("family", "e.token").alias("g"), "id", "root", (F.col("half") - F.col("at")).alias("slack")), "line-prefixes")
-        most = dealt.groupBy("g").agg(F.max("slack").alias("most")).where("most >= 0")
-        dealt_on = dealt.join(most, "g").where("slack + most >= 0").drop("most")
-        several = dealt_on.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("g")
-        met = stored(dealt_on.join(several, "g"), "line-met")
-        firsts = met.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.col("slack").desc(), "id"))).where(F.col("rank") <= FIRSTS)
-        firsts = stored(firsts.select("g", F.col("id").alias("first"), F.col("root").alias("first_root"), F.col("slack").alias("first_slack")), "line-firsts")
-        pairs = met.join(firsts, "g").where("root <> first_root and slack + first_slack >= 0").select(F.greatest("id", "first").alias("a"), F.least("id", "first").alias("b"))
-        links = links.unionByName(verified(pairs.distinct(), texts))
-        links = stored(links, "line-near")
-        groups = met.select("g", "id").join(firsts.select("g", F.col("first").alias("id")), ["g", "id"], "left_anti")
-        if not links.isEmpty():
-            found = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(links), "line-classes")
-        for table in (held, members, beside, dealt):
-            discard(table)
+    sets = beside.select("family", "id", "root", "pivot", shingles(F.col("text")).alias("x"), shingles(F.col("pivot_text")).alias("p"))
+    n, added, apart = F.size(F.array_distinct("x")), F.size(F.array_except("x", "p")), F.concat(F.array_except("x", "p"), F.array_except("p", "x"))
+    rows = sets.select("family", "id", "root", "pivot", n.alias("n"), added.alias("added"), F.transform(apart, lambda s: F.xxhash64(s)).alias("apart"))
+    near = (F.col("n") - F.col("added")) / (F.col("n") - F.col("added") + F.size("apart")) >= SIMILARITY
+    return rows.select("family", "id", "root", "pivot", near.alias("near"), (F.col("n") * (1 - SIMILARITY) / (1 + SIMILARITY)).alias("room"), "apart")
 
 
 def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -138,10 +130,17 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     star = stored(met.select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "line-star")
     wanted = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
     named = stored(wanted.join(signed, "id").select("id", "h1", "h2"), "line-wanted")
-    texts = stored(lines_of(docs).join(named, ["h1", "h2"]).groupBy("id").agg(F.min("line").alias("line")), "line-texts")
-    near = stored(verified(star, texts), "line-near")
-    found = settled(met.select("g", "id"), components(near, "line-classes"), texts)
-    for table in (firsts, met, star, named, texts, near):
+    texts = stored(lines_of(docs).join(named, ["h1", "h2"]).groupBy("id").agg(F.min("line").alias("text")), "line-texts")
+    beside = stored(measured(star, texts), "line-beside")
+    near = beside.where("near").select("a", "b")
+    found = components(near, "line-classes")
+    pairs, left = within(met, beside, found)
+    discard(beside)
+    links = stored(verified(pairs, texts), "line-near")
+    if not links.isEmpty():
+        found = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(links), "line-classes")
+    found = settled(left, found, texts, compared, verified, "line", SIMILARITY)
+    for table in (firsts, met, star, named, texts, pairs, left, links):
         discard(table)
     return signed, found
 

@@ -11,10 +11,10 @@ Arrivals stop mattering once they are later than every register, which ends the
 takes a few arrivals more than it has shingles. Bands of registers then give candidates, and J_P of
 the whole texts verifies them.
 
-Equal texts (of words) are one class from the start. A bucket is never expanded into its pairs: all its
-members are verified against its first, which leaves whole groups of copies in few components. Only
-where buckets still hold several components are those compared across, in blocks of bounded size
-that Spark deals out, with one link for each pair of components found alike.
+Equal texts are one from the start. A bucket is never expanded into its pairs: all its members are
+verified against its first, which leaves whole groups of copies in few components. Families of
+candidates that are still in several are settled exactly (see ``families``): small ones each within a task,
+larger ones by what their members differ in from a pivot.
 """
 
 from __future__ import annotations
@@ -27,12 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import components, stored, text_key
+from loomgraph.llm.common import components, own_columns, row_of, stored, text_key
+from loomgraph.llm.families import LAST, settled
+from loomgraph.scratch import discard
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6  # a pair at 0.8 is missed once in 16,000 times; unrelated texts all but never meet
-BLOCK = 128
+BLOCK = 128  # a family of so many texts is linked within one task
 _WORD = re.compile(r"\w+")
 
 
@@ -146,7 +148,7 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _block(pair: pd.DataFrame) -> pd.DataFrame:
-    """Links between components among the texts of two blocks, one link for each two that are alike."""
+    """Links between components among the few texts of a family, one link for each two that are alike."""
     none = pd.DataFrame({"a": [], "b": []}, dtype=object)
     if pair["root"].nunique() < 2:
         return none
@@ -170,10 +172,10 @@ def _block(pair: pd.DataFrame) -> pd.DataFrame:
             covered += weighs @ holds.T
     alike = shared / np.maximum(1, sizes[:, None] + sizes[None] - shared)
     both_plain = plain[:, None] & plain[None]
-    roots, sides = pd.factorize(pair["root"])[0], pair["side"].to_numpy()
+    roots = pd.factorize(pair["root"])[0]
     # x's term of J_P is at most min(a_x / sum a, b_x / sum b), as both sums over y are at least these; so J_P is at most what either covers
     maybe = np.where(both_plain, alike >= SIMILARITY, np.minimum(covered, covered.T) >= SIMILARITY - 0.001)
-    maybe &= (roots[:, None] != roots[None]) & ((sides[:, None] != sides[None]) | (sides[:, None] == 2))
+    maybe &= roots[:, None] != roots[None]
     up = list(range(len(sets)))
 
     def top(x: int) -> int:
@@ -190,6 +192,28 @@ def _block(pair: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"], dtype=object) if links else none
 
 
+def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What texts and their pivots differ in, for ``settled``: shingles that one of them has.
+
+    Let A and B be the sets of shingles of a and b, and e(a) what a's count of shingles exceeds |A| by. A
+    term of J_P is at most max(a_x, b_x) over the sum of max(a_y, b_y), so J_P >= t means that the
+    unshared shingles are at most (1 - t) / t of the sum of max over the shared ones, which is at most |A and B| +
+    e(a) + e(b). Hence |A xor B| <= (1 - t) / (1 + t) (|A| + 2 e(a) + |B| + 2 e(b)).
+    """
+    for b in batches:
+        known: dict[str, tuple] = {}
+        near, room, apart = [], [], []
+        for x, p in zip(b["text"], b["pivot_text"]):
+            if p not in known:
+                known = known if len(known) < 16 else {}
+                known[p] = shingles(p)
+            a, c = shingles(x), known[p]
+            near.append(probability_jaccard(a, c) >= SIMILARITY)
+            room.append((2 * a[1].sum() - len(a[0])) * (1 - SIMILARITY) / (1 + SIMILARITY))
+            apart.append(np.append(np.setxor1d(a[0], c[0], assume_unique=True).view(np.int64), LAST))
+        yield b[["family", "id", "root", "pivot"]].assign(near=near, room=np.array(room, float), apart=apart)
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """(key, class_key, class_id) of the texts of ``docs`` (doc_id, text): the class of each distinct text.
 
@@ -204,42 +228,47 @@ def near_classes(docs: DataFrame) -> DataFrame:
     pivots = buckets.groupBy("bucket").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b < last").select("bucket", "b")
     star = stored(buckets.join(pivots, "bucket").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "star")
     wanted = star.select(F.col("a").alias("key")).unionByName(star.select(F.col("b").alias("key"))).distinct()
-    texts = keyed.select("key", "text").join(wanted.hint("merge"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    texts = stored(texts, "texts")
-    pairs = star.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    links = stored(pairs.select("a", "b", "text_a", "text_b").mapInPandas(_verify, "a binary, b binary"), "links")
-    found = components(links, "classes")
-    families = components(star, "families").select("id", F.col("root").alias("family"))
-    members = families.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = members.groupBy("family").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y and n > 2")
-    blocks = members.join(mixed.select("family", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "family")
-    blocks = blocks.withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    dealt = blocks.select("id", "root", "family", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"))
-    dealt = dealt.join(texts.withColumnRenamed("key", "id"), "id")
-    across = dealt.groupBy("family", "lo", "hi").applyInPandas(lambda p: _block(p), "a binary, b binary")
-    across = stored(across, "across")
-    if not across.isEmpty():
-        found = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(across), "classes")
+    texts = keyed.select("key", "text").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    texts = stored(texts.withColumnRenamed("key", "id"), "texts")
+    links = stored(_verified(star, texts), "links")
+    families = components(star, "families").select(F.xxhash64("root").alias("g"), "id")
+    found = settled(families, components(links, "classes"), texts, lambda beside: beside.mapInPandas(_compared, APART), _verified, "near", SIMILARITY, _linked, BLOCK)
+    for table in (signed, star, texts, links):
+        discard(table)
     joined = firsts.join(found.withColumnRenamed("id", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = joined.where("root <> key or first_id is null").select("root").distinct()  # only these need a look at others
     lowest = joined.join(named, "root", "left_semi").groupBy("root").agg(F.min("first_id").alias("lowest"))
     return joined.join(lowest, "root", "left").select("key", F.col("root").alias("class_key"), F.coalesce("lowest", "first_id").alias("class_id"))
 
 
+APART = "family binary, id binary, root binary, pivot binary, near boolean, room double, apart array<long>"
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts, found in ``texts`` (id, text), are alike."""
+    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInPandas(_verify, "a binary, b binary")
+
+
+def _linked(members: DataFrame) -> DataFrame:
+    """Links within families of at most ``BLOCK`` members (family, id, root, text)."""
+    return members.groupBy("family").applyInPandas(lambda p: _block(p), "a binary, b binary")
+
+
 def key_of(text: str):
     """The 128-bit name of a column's text."""
     return F.unhex(text_key(F.col(text)))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of each near-duplicate class: that of the smallest doc_id, all columns of ``docs`` kept.
+    """One row of each near-duplicate class: that of the smallest doc_id, all columns of ``docs`` kept, whatever their names.
 
-    Of several rows with that id one stays, as of rows without ids in a class without ids.
+    Of several rows with that id one stays, as of rows without ids in a class without ids. Null texts
+    are empty ones, and all texts without words are one class. Empty in, empty out.
     """
-    classes = near_classes(docs).select(F.col("key").alias("near_key"), F.col("class_key").alias("near_class"), F.col("class_id").alias("near_id"))
-    kept = docs.withColumn("near_key", key_of("text")).join(classes, "near_key").where("near_id is null or doc_id = near_id")
-    return kept.dropDuplicates(["near_class"]).select(*docs.columns)
+    rows = docs.select(row_of(docs).alias("row"), key_of("text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
+    kept = rows.join(near_classes(docs), "key").where("class_id is null or doc_id = class_id")
+    return kept.dropDuplicates(["class_key"]).select(*own_columns(docs))
 
 
 def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from loomgraph.llm import common, fingerprints, html_text, license_scan, line_dedup, mixing, near_dups, neighbours, packing, quality, repeats
+from loomgraph.llm import common, families, fingerprints, html_text, license_scan, line_dedup, mixing, near_dups, neighbours, packing, quality, repeats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -216,8 +216,9 @@ def test_line_dedup_settles_whole_groups(spark, seed):
             up[b] = a
     groups = spark.createDataFrame([(7, i) for i in range(len(lines))], "g long, id long")
     nothing = spark.createDataFrame([], "id long, root long")
-    texts = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
-    found = {r["id"]: r["root"] for r in line_dedup.settled(groups, nothing, texts).collect()}
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, text string")
+    found = families.settled(groups, nothing, texts, line_dedup.compared, line_dedup.verified, "line", line_dedup.SIMILARITY)
+    found = {r["id"]: r["root"] for r in found.collect()}
     assert {i: found.get(i, i) for i in range(len(lines))} == {i: top(i) for i in range(len(lines))}
     assert 20 < len({top(i) for i in range(len(lines))}) < len(lines) - 20
 
@@ -366,10 +367,41 @@ def test_near_dups_of_heavy_shingles_in_a_block():
     near = near_pairs(texts)
     assert (0, 1) in near and len(near) > 1
     for i, j in itertools.combinations(range(len(texts)), 2):
-        both = pd.DataFrame({"id": [b"%03d" % i, b"%03d" % j], "root": [b"%03d" % i, b"%03d" % j], "side": [2, 2], "text": [texts[i], texts[j]]})
+        both = pd.DataFrame({"id": [b"%03d" % i, b"%03d" % j], "root": [b"%03d" % i, b"%03d" % j], "text": [texts[i], texts[j]]})
         assert len(near_dups._block(both)) == ((i, j) in near), (i, j)
 
 
+def test_near_dups_settle_heavy_and_plain_texts(spark):
+    """One group of edited texts, some of which repeat a phrase often, too large to be linked at once, against all pairs."""
+    rng = random.Random(16)
+    texts = []
+    for base in sentences(17, 3, 60):
+        for _ in range(30):
+            w = base.split()
+            for _ in range(rng.randrange(5)):
+                w[rng.randrange(len(w))] = f"v{rng.randrange(6)}"
+            w += w[5:15] * rng.choice([0, 0, 1, 2, 30])
+            texts.append(" ".join(w))
+    texts = list(dict.fromkeys(texts)) + ["", "  ", "one two"]
+    up = list(range(len(texts)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in near_pairs(texts):
+        a, b = sorted((top(i), top(j)))
+        up[b] = a
+    key = lambda i: b"%04d" % i
+    groups = spark.createDataFrame([(7, key(i)) for i in range(len(texts))], "g long, id binary")
+    nothing = spark.createDataFrame([], "id binary, root binary")
+    known = spark.createDataFrame([(key(i), t) for i, t in enumerate(texts)], "id binary, text string")
+    found = families.settled(groups, nothing, known, lambda rows: rows.mapInPandas(near_dups._compared, near_dups.APART), near_dups._verified, "near", near_dups.SIMILARITY)
+    found = {bytes(r["id"]): bytes(r["root"]) for r in found.collect()}
+    assert {i: found.get(key(i), key(i)) for i in range(len(texts))} == {i: key(top(i)) for i in range(len(texts))}
+
+
 def test_probability_jaccard_and_its_estimate():
     rng = np.random.default_rng(2)
     for _ in range(5):
@@ -404,6 +436,11 @@ def test_neighbours(spark, tmp_path):
         assert all(r["score"] == pytest.approx(s[r["vec_id"]], abs=1e-12) for r in got)
     assert hits / total >= 0.95 and {r["query_id"] for r in out} == set(range(0, 3000, 50))
     assert [r["vec_id"] for r in sorted((r for r in out if r["query_id"] == 200), key=lambda r: r["rank"])] == [100, 101, 102, 103, 104]
+    mixed = [(i, v.tolist(), 0) for i, v in enumerate(x[:200])] + [(1000 + i, v[:2].tolist(), 0) for i, v in enumerate(x[:40])] + [(2000, [3.0], 0)]
+    write(spark.createDataFrame(mixed, "vec_id long, embedding array<float>, label int"), tmp_path, "embeddings")
+    out = neighbours.op8_neighbours(spark, str(tmp_path)).collect()
+    assert {r["query_id"]: sum(o["query_id"] == r["query_id"] for o in out) for r in out} == {q: 5 for q in (0, 50, 100, 150, 1000)}
+    assert all((r["query_id"] < 1000) == (r["vec_id"] < 1000) for r in out)
     write(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"), tmp_path, "embeddings")
     assert neighbours.op8_neighbours(spark, str(tmp_path)).count() == 0
 
