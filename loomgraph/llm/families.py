@@ -31,6 +31,18 @@ def mixed(groups: DataFrame, found: DataFrame, label: str) -> DataFrame:
     return stored(held.join(several, "g").select("g", "id", "root", "low"), f"{label}-mixed")
 
 
+def _partnered(dealt: DataFrame) -> DataFrame:
+    """Those of ``dealt`` (g, id, root, main, slack, lo, hi) that may have a partner in their group."""
+    other = lambda f, c: f(F.when(~F.col("main"), F.col(c)))
+    known = dealt.groupBy("g").agg(
+        F.count("*").alias("n"), F.max("slack").alias("slack_any"), F.min("lo").alias("lo_any"), F.max("hi").alias("hi_any"),
+        other(F.max, "slack").alias("slack_out"), other(F.min, "lo").alias("lo_out"), other(F.max, "hi").alias("hi_out"),
+    ).where("n > 1 and slack_any >= 0")
+    of = lambda c: F.when(F.col("main"), F.col(f"{c}_out")).otherwise(F.col(f"{c}_any"))
+    fits = (F.col("slack") + of("slack") >= 0) & (of("lo") <= F.col("hi")) & (of("hi") >= F.col("lo"))
+    return dealt.join(known, "g").where(fits).select(*dealt.columns)
+
+
 Step = Callable[[DataFrame], DataFrame]
 
 
@@ -46,6 +58,8 @@ def settled(groups: DataFrame, found: DataFrame, texts: DataFrame, compare: Step
     both D in one order, rarest first, no more elements than that come before the first shared one.
     Texts that share an element meet in a group of the next round if so; what one member alone has comes
     first and leads nowhere. Alike texts that share none must both be alike to the pivot, or share ``LAST``.
+    Nor can the sizes of their D differ by more than both rooms. Members without a partner in the
+    group by these bounds leave it; what is in the largest component needs one outside of it.
 
     Of each group made so the ``FIRSTS`` members with most room left are verified against all, and what is
     still in several components goes on without them, so rounds end. No link is missed and no group is expanded into its pairs. With ``small``,
@@ -59,7 +73,7 @@ def settled(groups: DataFrame, found: DataFrame, texts: DataFrame, compare: Step
         families = components(held.select(F.col("id").alias("a"), F.col("low").alias("b")), f"{label}-families")
         members = stored(held.select("id", "root").distinct().join(families.select("id", F.col("root").alias("family")), "id"), f"{label}-members")
         by_root = members.groupBy("family", "root").agg(F.count("*").alias("n"), F.min("id").alias("pivot"))
-        pivots = by_root.groupBy("family").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"), F.sum("n").alias("n"))
+        pivots = by_root.groupBy("family").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"), F.max_by("root", F.struct("n", "pivot")).alias("main"), F.sum("n").alias("n"))
         pivots = stored(pivots, f"{label}-pivots")
         links = None
         if small is not None:
@@ -77,17 +91,21 @@ def settled(groups: DataFrame, found: DataFrame, texts: DataFrame, compare: Step
         ordered = shared.groupBy("family", "id", "root", "room", "all").agg(F.sort_array(F.collect_list(F.struct("m", "token"))).alias("shared"))
         alone = F.col("all") - F.size("shared")  # what one member alone has comes first
         prefix = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.floor(F.col("room") * (1 + 1 / similarity) + 1e-9).cast("int") + 1 - alone))
-        dealt = ordered.select("family", "id", "root", (F.col("room") + 1e-9 - alone).alias("room"), F.posexplode(prefix).alias("at", "e"))
-        dealt = stored(dealt.select(F.xxhash64("family", "e.token").alias("g"), "id", "root", (F.col("room") - F.col("at")).alias("slack")), f"{label}-prefixes")
-        most = dealt.groupBy("g").agg(F.max("slack").alias("most")).where("most >= 0")
-        dealt_on = dealt.join(most, "g").where("slack + most >= 0").drop("most")
+        dealt = ordered.select("family", "id", "root", "all", "room", alone.alias("alone"), F.posexplode(prefix).alias("at", "e")).join(pivots.select("family", "main"), "family")
+        dealt = dealt.select(
+            F.xxhash64("family", "e.token").alias("g"), "id", "root", (F.col("root") == F.col("main")).alias("main"), (F.col("room") + 1e-9 - F.col("alone") - F.col("at")).alias("slack"),
+            (F.col("all") - F.col("room") - 1e-9).alias("lo"), (F.col("all") + F.col("room")).alias("hi"),
+        )
+        dealt = stored(_partnered(dealt), f"{label}-prefixes")
+        dealt_on = _partnered(dealt)
         several = dealt_on.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("g")
         met = stored(dealt_on.join(several, "g"), f"{label}-met")
-        firsts = met.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.col("slack").desc(), "id"))).where(F.col("rank") <= FIRSTS)
-        firsts = stored(firsts.select("g", F.col("id").alias("first"), F.col("root").alias("first_root"), F.col("slack").alias("first_slack")), f"{label}-firsts")
-        pairs = met.join(firsts, "g").where("root <> first_root and slack + first_slack >= 0").select(F.greatest("id", "first").alias("a"), F.least("id", "first").alias("b"))
+        firsts = met.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("main", F.col("slack").desc(), "id"))).where(F.col("rank") <= FIRSTS)
+        firsts = stored(firsts.select("g", *[F.col(c).alias(f"first_{c}") for c in ("id", "root", "slack", "lo", "hi")]), f"{label}-firsts")
+        pairs = met.join(firsts, "g").where("root <> first_root and slack + first_slack >= 0 and lo <= first_hi and first_lo <= hi")
+        pairs = pairs.select(F.greatest("id", "first_id").alias("a"), F.least("id", "first_id").alias("b"))
         links = stored(links.unionByName(verified(pairs.distinct(), texts)), f"{label}-near")
-        last, groups = groups, stored(met.select("g", "id").join(firsts.select("g", F.col("first").alias("id")), ["g", "id"], "left_anti"), f"{label}-groups")
+        last, groups = groups, stored(met.select("g", "id").join(firsts.select("g", F.col("first_id").alias("id")), ["g", "id"], "left_anti"), f"{label}-groups")
         if not links.isEmpty():
             found = components(_edges(found).unionByName(links), f"{label}-classes")
         for table in (held, members, pivots, beside, dealt, met, firsts, links):
@@ -95,3 +113,30 @@ def settled(groups: DataFrame, found: DataFrame, texts: DataFrame, compare: Step
         if hasattr(last, "stored_at") and f"{label}-groups" in last.stored_at:
             discard(last)
 
+
+
+def settled_by_firsts(groups: DataFrame, found: DataFrame, alike: Step, label: str) -> DataFrame:
+    """``found`` with every link between members of one of ``groups`` (g, id) added, for groups of few components.
+
+    In each round the ``FIRSTS`` members of a group's smallest components are compared with all others by
+    ``alike``, which keeps the alike ones of pairs (a, b); the group goes on without them while
+    it is in several components. So a group takes as many rounds as it has members outside its largest component, over ``FIRSTS``.
+    """
+    while True:
+        held = mixed(groups, found, label)
+        if held.isEmpty():
+            discard(held)
+            return found
+        sizes = held.groupBy("g", "root").agg(F.count("*").alias("n"))
+        rank = F.row_number().over(Window.partitionBy("g").orderBy("n", "root", "id"))
+        firsts = held.join(sizes, ["g", "root"]).withColumn("rank", rank).where(F.col("rank") <= FIRSTS)
+        firsts = stored(firsts.select("g", F.col("id").alias("first"), F.col("root").alias("first_root")), f"{label}-firsts")
+        pairs = held.join(firsts, "g").where("root <> first_root").select(F.greatest("id", "first").alias("a"), F.least("id", "first").alias("b")).distinct()
+        links = stored(alike(pairs), f"{label}-near")
+        if not links.isEmpty():
+            found = components(_edges(found).unionByName(links), f"{label}-classes")
+        last, groups = groups, stored(held.select("g", "id").join(firsts.select("g", F.col("first").alias("id")), ["g", "id"], "left_anti"), f"{label}-groups")
+        for table in (held, firsts, links):
+            discard(table)
+        if f"{label}-groups" in getattr(last, "stored_at", ""):
+            discard(last)

@@ -48,8 +48,9 @@ def places_of(docs: DataFrame) -> DataFrame:
 
 
 def shingles(line: Column) -> Column:
-    """The shingles of a line, repeated ones too; a line below ``CHARS`` characters is one shingle."""
-    return F.when(F.char_length(line) < CHARS, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{CHARS}}}))."), F.lit(1)))
+    """64-bit names of a line's shingles, repeated ones too; a line below ``CHARS`` characters is one shingle."""
+    cut = F.when(F.char_length(line) < CHARS, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{CHARS}}}))."), F.lit(1)))
+    return F.transform(cut, lambda s: F.xxhash64(s))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -74,11 +75,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, near, n, apart) of ``pairs`` (a, b): whether they are alike, a's shingles, and hashes of those that one of them has."""
+    """(a, b, near, n, apart) of ``pairs`` (a, b): whether they are alike, a's number of shingles, and 31 bits of those that one of them has."""
     sets = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y"))
     sizes = sets.select("a", "b", F.size(F.array_union("x", "y")).alias("all"), F.array_except("x", "y").alias("x"), F.array_except("y", "x").alias("y"))
     shared = F.col("all") - F.size("x") - F.size("y")
-    return sizes.select("a", "b", (shared / F.col("all") >= SIMILARITY).alias("near"), (F.col("all") - F.size("y")).alias("n"), F.transform(F.concat("x", "y"), lambda s: F.hash(s)).alias("apart"))
+    return sizes.select("a", "b", (shared / F.col("all") >= SIMILARITY).alias("near"), (F.col("all") - F.size("y")).alias("n"), F.transform(F.concat("x", "y"), lambda s: s.bitwiseAND(2**31 - 1).cast("int")).alias("apart"))
 
 
 def within(met: DataFrame, beside: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -114,7 +115,7 @@ def compared(beside: DataFrame) -> DataFrame:
     """
     sets = beside.select("family", "id", "root", "pivot", shingles(F.col("text")).alias("x"), shingles(F.col("pivot_text")).alias("p"))
     n, added, apart = F.size(F.array_distinct("x")), F.size(F.array_except("x", "p")), F.concat(F.array_except("x", "p"), F.array_except("p", "x"))
-    rows = sets.select("family", "id", "root", "pivot", n.alias("n"), added.alias("added"), F.transform(apart, lambda s: F.xxhash64(s)).alias("apart"))
+    rows = sets.select("family", "id", "root", "pivot", n.alias("n"), added.alias("added"), apart.alias("apart"))
     near = (F.col("n") - F.col("added")) / (F.col("n") - F.col("added") + F.size("apart")) >= SIMILARITY
     return rows.select("family", "id", "root", "pivot", near.alias("near"), (F.col("n") * (1 - SIMILARITY) / (1 + SIMILARITY)).alias("room"), "apart")
 
