@@ -2,9 +2,11 @@
 
 Every rolling word k-gram of every whole text is joined, by hash, to its positions in a small set of
 license templates. Hits of a document and template vote for an offset diagonal (position in the text
-less position in the template); neighbouring diagonals, apart by a few inserted or lost words, merge
-into spans, and a span counts once enough of the template's k-grams are in it in a short enough
-stretch. Hits are compared word by word, so a hash collision gives none.
+less position in the template), which is a place: all its hits lie within the template's length. A
+diagonal merges with its neighbours, apart by a few inserted or lost words, whatever votes lie elsewhere, and
+the span is verified by aligning: as many of the template's k-grams as are in it in the template's order
+count. Of neighbouring diagonals the one that explains most gives the span. Hits are compared word by
+word, so a hash collision gives none.
 """
 
 from __future__ import annotations
@@ -40,6 +42,23 @@ NOTICES = (
     ("cc by sa 4 0", "cc-by-sa-4.0"),
     ("cc by 4 0", "cc-by-4.0"),
     ("this work is licensed under a creative commons attribution", "cc"),
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+        " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished"
+        " to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "mit",
+    ),
+    (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org"
+        " licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions"
+        " of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        "apache-2.0",
+    ),
+    (
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright"
+        " notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "bsd",
+    ),
     ("to the extent possible under law the author has waived all copyright and related or neighboring rights", "cc0"),
 )
 
@@ -62,13 +81,26 @@ def templates(spark: SparkSession, base=BASE, notices=NOTICES, k: int = 2) -> Da
     return t.withColumn("hash", F.xxhash64(*[F.col("gram")[i] for i in range(k)]))
 
 
+def _in_order(hits: str, grams: Column) -> Column:
+    """How many of ``hits`` (pos, less), sorted, can stand in order: positions and template positions (-less) both ascending.
+
+    The state holds, for each template position, the longest chain that ends there or before.
+    """
+
+    def step(longest: Column, hit: Column) -> Column:
+        chain = F.when(hit["less"] == 0, F.lit(1)).otherwise(F.get(longest, -hit["less"] - 1) + 1)
+        return F.transform(longest, lambda n, at: F.when(at >= -hit["less"], F.greatest(n, chain)).otherwise(n))
+
+    return F.aggregate(hits, F.array_repeat(F.lit(0), grams), step, lambda longest: F.element_at(longest, -1))
+
+
 def spans(docs: DataFrame, k: int = 2, drift: int = 3, covered: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Verified license spans, one array per document.
 
     Returns id, copies (rows that share this id and text), n_words, and spans: an array of (label,
     is_base, first, last, coverage), ``first`` and ``last`` being the span's word positions.
-    ``drift`` is how far neighbouring diagonals of a span may lie apart, ``covered`` the share of
-    a long template's k-grams that a span needs; base phrases need all of them on one diagonal.
+    ``drift`` is how far from a span's diagonal others may lie that merge with it, ``covered`` the share of
+    a long template's k-grams that a span needs in order; base phrases need all of them on one diagonal.
     Null and empty texts have no words; rows with the same id and text are one document with copies,
     rows with the same id and other texts are documents of their own; other columns are ignored.
     """
@@ -87,20 +119,25 @@ def spans(docs: DataFrame, k: int = 2, drift: int = 3, covered: float = 0.8, id_
     doc = ["id", "text_hash"]
     votes = hits.groupBy(*doc, "template", "diagonal").agg(
         F.first("n_words").alias("n_words"), F.first("label").alias("label"), F.first("is_base").alias("is_base"), F.first("grams").alias("grams"),
-        F.collect_set("at").alias("at"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.sum((F.col("pos") < 0).cast("long")).alias("copies"),
+        F.collect_set("at").alias("at"), F.sum((F.col("pos") < 0).cast("long")).alias("copies"),
     )
-    in_order = Window.partitionBy(*doc, "template").orderBy("lo", "diagonal")
-    step = (F.col("diagonal") - F.lag("diagonal").over(in_order), F.col("lo") - F.lag("hi").over(in_order))
-    fresh = F.col("is_base") | step[0].isNull() | (F.abs(step[0]) > drift) | (step[1] > F.col("grams"))
-    votes = votes.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn("span", F.sum("fresh").over(in_order))
-    merged = votes.groupBy(*doc, "template", "span").agg(
-        F.first("n_words").alias("n_words"), F.first("label").alias("label"), F.first("is_base").alias("is_base"), F.first("grams").alias("grams"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_at"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("copies").alias("copies"),
+    exact = F.col("is_base") | (F.col("grams") < SHORT)
+    needed = F.when(exact, F.col("grams")).otherwise(F.ceil(F.lit(covered) * F.col("grams")))
+    around = lambda far: Window.partitionBy(*doc, "template").orderBy("diagonal").rangeBetween(-far, far)
+    n_around = F.when(F.col("is_base"), F.size("at")).otherwise(F.sum(F.size("at")).over(around(2 * drift)))
+    votes = votes.withColumn("hopeful", F.coalesce(n_around >= needed, F.lit(False)))  # all that a span with enough votes may merge
+    near = F.when(F.col("hopeful") & ~F.col("is_base"), F.flatten(F.collect_list(F.when(F.col("hopeful"), F.transform("at", lambda at: F.struct((F.col("diagonal") + at).alias("pos"), (-at).alias("less"))))).over(around(drift))))
+    own = F.transform("at", lambda at: F.struct((F.col("diagonal") + at).alias("pos"), (-at).alias("less")))
+    merged = votes.withColumn("hits", F.when(F.col("hopeful"), F.array_sort(F.coalesce(near, own)))).withColumn("in_order", F.when(F.col("hopeful"), _in_order("hits", F.col("grams"))))
+    rank = F.struct("in_order", (-F.col("diagonal")).alias("less"))
+    best = F.col("is_base") | F.max(rank).over(around(drift)).eqNullSafe(rank)
+    merged = merged.withColumn("best", F.coalesce(best, F.lit(False)))
+    coverage = F.col("in_order") / F.col("grams")
+    verified = F.col("hopeful") & F.col("best") & (F.col("in_order") >= needed)
+    span = F.struct(
+        "label", "is_base", F.element_at("hits", 1)["pos"].cast("long").alias("first"),
+        (F.element_at("hits", -1)["pos"] + k - 1).cast("long").alias("last"), coverage.alias("coverage"),
     )
-    coverage = F.col("n_at") / F.col("grams")
-    short = F.col("hi") - F.col("lo") < F.col("grams") + 2 * drift
-    verified = F.when(F.col("is_base") | (F.col("grams") < SHORT), coverage == 1).otherwise((coverage >= covered) & short)
-    span = F.struct("label", "is_base", F.col("lo").cast("long").alias("first"), (F.col("hi") + k - 1).cast("long").alias("last"), coverage.alias("coverage"))
     found = merged.groupBy(*doc).agg(
         F.max("n_words").alias("n_words"), F.max("copies").alias("copies"),
         F.array_sort(F.collect_list(F.when(verified, span))).alias("spans"),

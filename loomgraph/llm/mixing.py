@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import stored
+from loomgraph.llm.common import own_columns, row_of, stored
 
 TEMPERATURE = 0.5
 SEED = 17
@@ -67,25 +67,24 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, tempera
     """Documents replicated towards the target weights, in one global random order.
 
     Returns the documents' columns, each document as many times as drawn, none included, with
-    mix_copy (0 and up), mix_rate and mix_order. A null source is a source of its own. Rows that share
+    mix_copy (0 and up), mix_rate and mix_order, which replace columns of these names. A null source is a source of its own. Rows that share
     an id share a draw; null ids draw as one id. The rates are broadcast where there are at most
     ``broadcast_sources`` sources and joined by a shuffle where there are more. Empty in, empty out.
     """
     by_source = stored(rates(docs, weights, temperature), "rates")
-    by_source = by_source.toDF("_source", "_rate")
+    by_source = by_source.select(F.col("source_key"), F.col("rate"))
     if by_source.count() <= broadcast_sources:
         by_source = F.broadcast(by_source)
-    keep = docs.columns
-    rated = docs.withColumn("_source", source_key("source")).join(by_source, "_source")
-    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_rate") / _PART).cast("int"))
+    rated = docs.select(row_of(docs).alias("row"), source_key("source").alias("source_key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("doc")).join(by_source, "source_key")
+    doc, rate = F.col("doc"), F.col("rate")
+    parts = F.greatest(F.lit(1), F.ceil(rate / _PART).cast("int"))
     drawn = F.aggregate(
         F.sequence(F.lit(1), parts), F.lit(0),
-        lambda n, i: n + _poisson(_uniform(doc, i, F.lit(seed)), F.col("_rate") / parts),
+        lambda n, i: n + _poisson(_uniform(doc, i, F.lit(seed)), rate / parts),
     )
-    copies = rated.withColumn("_count", drawn).where("_count > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
-    order = F.md5(F.concat_ws(":", doc, F.col("mix_copy").cast("string"), F.lit(f"order{seed}")))
-    return copies.select(*keep, "mix_copy", F.col("_rate").alias("mix_rate"), order.alias("mix_order")).orderBy("mix_order")
+    copies = rated.withColumn("n", drawn).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    order = F.md5(F.concat_ws(":", doc, F.col("copy").cast("string"), F.lit(f"order{seed}")))
+    return copies.select(*own_columns(docs, mix_copy=F.col("copy"), mix_rate=rate, mix_order=order)).orderBy("mix_order")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ never holds two pieces of one source or of one duplicate cluster. Bins are order
 them, and each carries a bitmap of its sources and one of its clusters; the search starts at the
 tightest bin with room and goes on to the next until one is compatible, else it opens a bin.
 
-Documents are dealt to shards of about ``shard_rows`` pieces by hash, whatever their source or
-cluster, and Spark packs the shards in parallel; their number grows with the corpus.
+Pieces are dealt to shards of about ``shard_rows`` by hash, whatever their source or cluster, repeated
+rows too, and Spark packs the shards in parallel; their number grows with the corpus.
 """
 
 from __future__ import annotations
@@ -18,34 +18,46 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import text_key
+from loomgraph.llm.common import stored, text_key
 
 CAPACITY = 2048
 SHARD_ROWS = 8192
 
 
 def best_fit(lengths: list[int], sources: list[object], clusters: list[object], capacity: int) -> list[tuple[int, int]]:
-    """(bin, slot) of each piece, pieces being taken in the given order; none is longer than ``capacity``."""
+    """(bin, slot) of each piece, pieces being taken in the given order; none is longer than ``capacity``.
+
+    Bins with the same sources are one list by room, so that those which hold a piece's source are
+    passed over together, however many they are.
+    """
     source_bit = {s: 1 << i for i, s in enumerate(dict.fromkeys(sources))}
     repeated = [c for c, n in Counter(clusters).items() if n > 1]  # others can't conflict
     cluster_bit = {c: 1 << i for i, c in enumerate(repeated)}
-    left: list[tuple[int, int]] = []  # (room, bin), ascending
-    held: list[list[int]] = []  # of each bin: sources, clusters, pieces
+    by_sources: dict[int, list[tuple[int, int]]] = {}  # (room, bin), ascending
+    held: list[list[int]] = []  # of each bin: clusters, pieces
     out = []
     for length, source, cluster in zip(lengths, sources, clusters):
         s, c = source_bit[source], cluster_bit.get(cluster, 0)
-        at = bisect_left(left, (length, -1))
-        while at < len(left) and (held[left[at][1]][0] & s or held[left[at][1]][1] & c):
-            at += 1
-        if at < len(left):
-            room, b = left.pop(at)
+        best = None
+        for bits, left in by_sources.items():
+            if bits & s:
+                continue
+            at = bisect_left(left, (length, -1))
+            while at < len(left) and held[left[at][1]][0] & c and (best is None or left[at] < best[0]):
+                at += 1
+            if at < len(left) and (best is None or left[at] < best[0]):
+                best = left[at], bits, at
+        if best is not None:
+            (room, b), bits, at = best
+            by_sources[bits].pop(at)
+            if not by_sources[bits]:
+                del by_sources[bits]
         else:
-            room, b = capacity, len(held)
-            held.append([0, 0, 0])
-        h = held[b]
-        out.append((b, h[2]))
-        held[b] = [h[0] | s, h[1] | c, h[2] + 1]
-        insort(left, (room - length, b))
+            room, b, bits = capacity, len(held), 0
+            held.append([0, 0])
+        out.append((b, held[b][1]))
+        held[b] = [held[b][0] | c, held[b][1] + 1]
+        insort(by_sources.setdefault(bits | s, []), (room - length, b))
     return out
 
 
@@ -61,13 +73,15 @@ def pack(docs: DataFrame, cluster: str | None = None, capacity: int = CAPACITY,
     text = F.coalesce("text", F.lit(""))
     words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
     key = text_key(text) if cluster is None else F.coalesce(F.col(cluster).cast("string"), F.concat(F.lit("own:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text_key(text)))
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("cluster"), words.alias("words"))
-    shards = max(1, -(-docs.count() // shard_rows))
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("cluster"), words.alias("words"), F.monotonically_increasing_id().alias("row"))
+    rows = stored(rows, "lengths")  # without texts: the number of pieces and the pieces come from it
+    pieces = rows.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("words") / capacity)))).first()[0] or 0
+    shards = max(1, -(-pieces // shard_rows))
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("words") - 1) / capacity).cast("int")))))
     rows = rows.select(
         "doc_id", "source", "cluster", "piece", (F.col("piece") * capacity).cast("long").alias("first_word"),
         F.least(F.lit(capacity), F.col("words") - F.col("piece") * capacity).cast("long").alias("n_words"),
-        F.pmod(F.xxhash64("doc_id", "cluster", "piece"), F.lit(shards)).cast("int").alias("shard"),
+        F.pmod(F.xxhash64("doc_id", "cluster", "piece", "row"), F.lit(shards)).cast("int").alias("shard"),
     )
 
     def packed(p: pd.DataFrame) -> pd.DataFrame:

@@ -119,7 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, sample_r
     """Fit on at most ``sample_rows`` labelled documents, those whose hashed ids are smallest.
 
     With ``held_out`` set, rows whose crc32(doc_id) mod 5 equals it are never learnt from. Labels
-    without a document, or with null fields, don't count; without labels the model scores 0.5.
+    without a document, or with null fields, don't count; without labels the model scores 0.5. However often
+    rows of an id repeat, at most ``sample_rows`` of all, those of the smallest hashes, reach the driver.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     if held_out is not None:
@@ -127,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, sample_r
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
-        .select("text", "y").mapInPandas(_features_of, "x array<double>, y int").toPandas()
+        .select("text", "y").mapInPandas(_features_of, "x array<double>, y int").orderBy(F.xxhash64("x", "y")).limit(sample_rows).toPandas()
     )
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
     order = np.lexsort(x.T)  # the fit does not depend on the order in which Spark returns the rows
@@ -135,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, sample_r
 
 
 def score(docs: DataFrame, model: Trees, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with each whole text's score added as column ``name``; every row stays, in place."""
+    """``docs`` with each whole text's score added as column ``name``, which replaces one of that name; every row stays, in place; null texts are empty."""
 
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -226,7 +226,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pd.DataFrame(rows, columns=["tid", "n_bytes", "n_removed", "n_spans", "kept"])
 
     cuts = texts.join(spans, "tid", "left").select("tid", "text", "spans").mapInPandas(cut, "tid long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return cuts.join(order, "tid").drop("tid")
+    out = cuts.join(order, "tid").drop("tid")
+    out.made_of = texts  # the bucketed texts, to be discarded once this is stored
+    return out
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,7 +239,9 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids come last.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    by_text = without_repeats(docs).select("key", "first_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha"))
+    cuts = without_repeats(docs)
+    by_text = stored(cuts.select("key", "first_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")), "cuts")
+    discard(cuts.made_of)
     rows = docs.select("doc_id", F.unhex(text_key(F.col("text"))).alias("key")).join(by_text, "key")
     again = ~F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("n_bytes") >= WINDOW)
     return rows.select(
@@ -247,5 +251,20 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Brute force: all windows, by their bytes in hex.
+SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, row_number() OVER (ORDER BY doc_id) AS o FROM documents),
+w AS (SELECT o, i, substr(h, 2 * i + 1, {2 * WINDOW}) AS g FROM (SELECT o, h, unnest(range(0, greatest(0, length(h) // 2 - {WINDOW - 1}))) AS i FROM d)),
+later AS (SELECT o, i FROM (SELECT o, i, row_number() OVER (PARTITION BY g ORDER BY o, i) AS k FROM w) WHERE k > 1),
+runs AS (SELECT o, i, sum(fresh) OVER (PARTITION BY o ORDER BY i) AS run
+  FROM (SELECT o, i, CASE WHEN i <= lag(i) OVER (PARTITION BY o ORDER BY i) + {WINDOW} THEN 0 ELSE 1 END AS fresh FROM later)),
+spans AS (SELECT o, min(i) AS s, max(i) + {WINDOW} AS e FROM runs GROUP BY o, run),
+gaps AS (SELECT o, s, e, coalesce(lag(e) OVER (PARTITION BY o ORDER BY s), 0) AS p FROM spans),
+cut AS (SELECT o, sum(e - s) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * p + 1, 2 * (s - p)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS kept
+  FROM gaps JOIN d USING (o) GROUP BY o)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (o)
+"""
+
 QUERIES = {"op6_repeats": op6_repeats}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_repeats": SQL}

@@ -63,6 +63,23 @@ def test_license_scan(spark, tmp_path):
     assert license_scan.op1_license_scan(spark, str(tmp_path)).count() == 0
 
 
+def test_license_notices_with_an_edit_at_any_place(spark):
+    """A long notice with one word inserted, changed or lost at any place, strays around it, keeps its label."""
+    rows, want = [], {}
+    for phrase, label in license_scan.NOTICES:
+        words = phrase.split()
+        if not license_scan.SHORT < len(words) < 60:
+            continue
+        for at in range(1, len(words)):
+            for edited in (words[:at] + ["zzz"] + words[at:], words[:at] + ["zzz"] + words[at + 1 :], words[:at] + words[at + 1 :]):
+                grams = set(zip(words, words[1:]))
+                if len(grams & set(zip(edited, edited[1:]))) / len(words[1:]) >= 0.9:
+                    want[len(rows)] = label
+                    rows.append((len(rows), "you may the license " * 3 + "x " + " ".join(edited) + " the license you may of the", "s"))
+    out = {r["id"]: {s["label"] for s in r["spans"]} for r in license_scan.spans(documents(spark, rows)).collect()}
+    assert len(want) > 200 and [i for i in want if want[i] not in out[i]] == []
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
