@@ -77,7 +77,7 @@ def test_license_notices_with_an_edit_at_any_place(spark):
                     want[len(rows)] = label
                     rows.append((len(rows), "you may the license " * 3 + "x " + " ".join(edited) + " the license you may of the", "s"))
     out = {r["id"]: {s["label"] for s in r["spans"]} for r in license_scan.spans(documents(spark, rows)).collect()}
-    assert len(want) > 200 and [i for i in want if want[i] not in out[i]] == []
+    assert len(want) > 150 and [i for i in want if want[i] not in out[i]] == []
 
 
 @pytest.mark.parametrize(
@@ -240,6 +240,7 @@ def test_line_dedup_settles_whole_groups(spark, seed):
     assert 20 < len({top(i) for i in range(len(lines))}) < len(lines) - 20
 
 
+@pytest.mark.parametrize("capacity", [7, 64])
 def test_packing(spark, capacity):
     rng = random.Random(capacity)
     texts = sentences(6, 60, 20)
@@ -528,6 +529,21 @@ def test_mixing(spark, tmp_path):
     assert mixing.mix(documents(spark, [])).count() == 0
 
 
+def test_columns_of_clashing_names_keep_their_values(spark):
+    """Operators that hand on columns give back whatever the user called them."""
+    from pyspark.sql import functions as F
+
+    clashes = ("near_id", "near_class", "near_key", "key", "class_id", "_key", "_gone", "gone", "_copy", "copy", "row", "lines", "kept", "_source", "_rate", "rate", "n", "doc", "source_key", "doc_key", "id", "g", "root", "a.b")
+    df = documents(spark, [(1, "one line\nand more of it", "s"), (2, "one line\nand more of it", "t"), (None, None, None)])
+    for c in clashes:
+        df = df.withColumn(c, F.concat_ws(":", F.lit(c), F.col("doc_id").cast("string")))
+    df = df.withColumn("n_kept", F.lit("mine"))
+    for out in (line_dedup.deduplicated(df), near_dups.deduplicated(df), mixing.mix(df, temperature=1.0)):
+        assert out.columns[: len(df.columns)] == df.columns
+        for r in out.collect():
+            assert all(r[c] == (f"{c}:{r['doc_id']}" if r["doc_id"] is not None else c) for c in clashes)
+
+
 def test_components(spark):
     rng = random.Random(16)
     links = [(a, a + 1) for a in range(0, 60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(300, k) for k in range(301, 340)] + [(None, 1), (7, 7)]
