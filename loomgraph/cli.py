@@ -35,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--project", dest="shown")
         if name == "unused":
             s.add_argument("--kind", action="append", default=[])
+    sub.add_parser("crosscheck", help="unused findings that a search of texts contradicts")
     s = sub.add_parser("usages")
     s.add_argument("symbol")
     s.add_argument("--from", dest="from_project")
@@ -59,6 +60,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             counts = ", ".join(f"{df.count()} {name.replace('_', ' ')}" for name, df in a.f.items())
             print(f"{counts}; {time.monotonic() - began:.1f} s", file=sys.stderr)
         lost = a.resolution_health()["unresolved_internal"]
+        for r in a.ws.skipped.orderBy("path").collect():
+            print(f"warning: {r['path']} can't be parsed and is skipped", file=sys.stderr)
         if not lost.isEmpty():
             print(report.text_table(lost, "Imports without a target", 10), file=sys.stderr)
         command = args.command or "analyze"
@@ -102,6 +105,9 @@ def show(a: Analysis, command: str, args: argparse.Namespace) -> None:
         print(report.text_table(moves if not args.shown else moves.where((F.col("home") == args.shown) | (F.col("to_project") == args.shown)), "Move candidates"))
     elif command == "boundaries":
         print(report.text_table(a.boundaries(), "Boundary violations"))
+    elif command == "crosscheck":
+        for name, df in a.text_mentions().items():
+            print(report.text_table(df, f"Unused {name} that other files mention"))
     elif command == "usages":
         print(json.dumps({k: report.rows(v) for k, v in a.symbol_usages(args.symbol, args.from_project).items()}, indent=2))
     elif command == "graph":

@@ -94,4 +94,4 @@ def package_of(specifier: Column) -> Column:
 
 def subpath_of(specifier: Column) -> Column:
     """What follows the package in a specifier, null if nothing does."""
-    return F.nullif(F.regexp_extract(specifier, r"^(?:@[^/]+/[^/]+|[^/]+)/(.+)$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(specifier, r"^(?:@[^/]+/[^/]+|[^@/][^/]*)/(.+)$", 1), F.lit(""))

@@ -1,11 +1,18 @@
-"""Graph operators over edges (src, dst): neighbours, reachability, cycles."""
+"""Graph operators over edges (src, dst): neighbours, reachability, cycles.
+
+What takes rounds expands by several edges in each, so that a round's write and job are paid for once
+in ``STEPS`` edges of the longest path; only counts and checksums reach the driver.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from loomgraph.scratch import stored
+from loomgraph.scratch import discard, stored
+
+#: Edges that a round follows.
+STEPS = 4
 
 
 def edge_set(edges: DataFrame) -> DataFrame:
@@ -21,52 +28,91 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, seeds: DataFrame, include_seeds: bool = False, max_rounds: int = 10_000) -> DataFrame:
     """(node) that can be reached from any of ``seeds`` (node) by one edge or more.
 
-    A frontier of new nodes is joined with the edges each round; what was seen is written once and
-    only read again. Seeds count when a path leads back to them, or with ``include_seeds``.
+    A frontier of new nodes is followed along ``STEPS`` edges each round. What was seen is kept in a few
+    tables, which are merged before they become many. Seeds count when a path leads back to them, or
+    with ``include_seeds``.
     """
     edges = stored(edge_set(edges), "edges")
-    start = seeds.select("node").where("node is not null").distinct()
-    seen = frontier = stored(start if include_seeds else start.limit(0), "seen")
-    frontier = start if not include_seeds else frontier
+    frontier = seeds.select("node").where("node is not null").distinct()
+    seen = [stored(frontier if include_seeds else frontier.limit(0), "seen")]
     for _ in range(max_rounds):
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = stored(step.join(seen, "node", "left_anti"), "frontier")
+        step, found = frontier, None
+        for _ in range(STEPS):
+            step = step.join(edges, step["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+            found = step if found is None else found.unionByName(step)
+        for table in seen:
+            found = found.join(table, "node", "left_anti")
+        frontier = stored(found.distinct(), "frontier")
         if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
+            discard(edges)
+            return _union(seen)
+        seen.append(frontier)
+        if len(seen) > 6:
+            merged = stored(_union(seen), "seen")
+            for table in seen[:-1]:
+                discard(table)
+            seen = [merged]
     raise RuntimeError("reachability did not settle")
 
 
-def closure(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """All (src, dst) with a path of one edge or more, by doubling path lengths each round.
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
-    Its size is that of the answer, so it is for graphs with small closures: ``scc`` trims first.
-    """
-    paths = stored(edge_set(edges), "closure")
-    before = paths.count()
+
+def _spread(labels: DataFrame, along: DataFrame, label: str, max_rounds: int = 10_000) -> DataFrame:
+    """``labels`` (node, label) with the smallest label that leads to each node along edges (src, dst, group); null groups match none but edges without groups."""
+    before = None
     for _ in range(max_rounds):
-        longer = paths.select("src", F.col("dst").alias("mid")).join(paths.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        paths = stored(paths.unionByName(longer).distinct(), "closure")
-        now = paths.count()
+        new = labels
+        for _ in range(STEPS):
+            moved = new.join(along, new["node"] == along["src"]).select(F.col("dst").alias("node"), "label")
+            new = new.unionByName(moved).groupBy("node").agg(F.min("label").alias("label"))
+        seen = Observation()
+        new = stored(new.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("node", "label").cast("decimal(38,0)")).alias("check")), label)
+        now = (seen.get["n"], seen.get["check"])
+        if before is not None:
+            discard(labels)
         if now == before:
-            return paths
-        before = now
-    raise RuntimeError("closure did not settle")
+            return new
+        labels, before = new, now
+    raise RuntimeError(f"{label} did not settle")
 
 
-def scc(edges: DataFrame, trim_rounds: int = 3) -> DataFrame:
+def scc(edges: DataFrame) -> DataFrame:
     """(node, component) of every node on a cycle, ``component`` the smallest node that it shares cycles with.
 
-    These are the strongly connected components of more than one node or with an edge to itself.
-    Edges into dead ends and out of sources lie on no cycle and are trimmed for a few rounds first.
+    These are the strongly connected components of more than one node or with an edge to itself. They
+    are found by colouring: a node's colour is the smallest node that leads to it, and those of a colour
+    that lead back to the node that gave it are its component. What is found goes, and the rest is
+    coloured again; edges into dead ends and out of sources lie on no cycle and go first. Each
+    round is linear in the edges.
     """
     edges = stored(edge_set(edges), "scc")
-    for _ in range(trim_rounds):
-        targets, sources = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
-        edges = edges.join(targets, "src", "left_semi").join(sources, "dst", "left_semi").select("src", "dst")
-    paths = closure(edges)
-    back = paths.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
-    return paths.join(back, ["src", "dst"]).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"))
+    loops = edges.where("src = dst").select(F.col("src").alias("node"))
+    rest, found = edges, []
+    while True:
+        for _ in range(3):
+            targets, sources = rest.select(F.col("dst").alias("src")).distinct(), rest.select(F.col("src").alias("dst")).distinct()
+            rest = rest.join(targets, "src", "left_semi").join(sources, "dst", "left_semi").select("src", "dst")
+        rest = stored(rest, "scc-rest")
+        if rest.isEmpty():
+            break
+        nodes = rest.select(F.col("src").alias("node")).unionByName(rest.select(F.col("dst").alias("node"))).distinct()
+        colours = _spread(nodes.select("node", F.col("node").alias("label")), rest, "scc-colours")
+        of = lambda end: colours.select(F.col("node").alias(end), F.col("label").alias(f"{end}_colour"))
+        within = stored(rest.join(of("src"), "src").join(of("dst"), "dst").where("src_colour = dst_colour").select(F.col("dst").alias("src"), F.col("src").alias("dst")), "scc-within")
+        parts = _spread(colours.where("node = label"), within, "scc-parts")
+        found.append(parts)
+        gone = parts.select("node")
+        rest = rest.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+    if not found:
+        return loops.select("node", F.col("node").alias("component"))
+    parts = _union(found).select("node", F.col("label").alias("component"))
+    several = parts.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return parts.join(several, "component", "left_semi").unionByName(parts.join(several, "component", "left_anti").join(loops, "node", "left_semi")).select("node", "component")
 
 
 def cycle_groups(components: DataFrame) -> DataFrame:

@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from loomgraph.functions.paths import ancestors, dirname, normalize_path, package_of, subpath_of
 from loomgraph.scratch import stored
 
-#: Endings tried in turn, and the script endings that a compiled one stands for.
+#: Endings tried in turn, those tried last for what a file exports from another, and the script
+#: endings that a compiled one stands for.
 ENDINGS = ("", ".ts", ".tsx", ".d.ts", "/index.ts", "/index.tsx", "/index.d.ts")
+BARREL_ENDINGS = (".js", ".jsx", "/index.js", "/index.jsx")
 COMPILED = (("js", "ts"), ("js", "tsx"), ("js", "d.ts"), ("jsx", "tsx"), ("mjs", "mts"), ("cjs", "cts"))
 
 
-def file_candidates(base: Column) -> Column:
-    """Array of (path, step): the files that a base path may mean, in the order they are tried."""
+def file_candidates(base: Column, barrel: Column | None = None) -> Column:
+    """Array of (path, step): the files that a base path may mean, in the order they are tried; ``barrel`` tells where plain scripts count."""
     tried = [F.struct(base.alias("path"), F.lit(0).alias("step"))]
     tried += [F.when(F.endswith(base, F.lit(f".{js}")), F.struct(F.regexp_replace(base, rf"\.{js}$", f".{ts}").alias("path"), F.lit(1 + i).alias("step"))) for i, (js, ts) in enumerate(COMPILED)]
     tried += [F.struct(F.concat(base, F.lit(e)).alias("path"), F.lit(10 + i).alias("step")) for i, e in enumerate(ENDINGS[1:])]
+    if barrel is not None:
+        tried += [F.when(barrel, F.struct(F.concat(base, F.lit(e)).alias("path"), F.lit(20 + i).alias("step"))) for i, e in enumerate(BARREL_ENDINGS)]
     return F.array_compact(F.array(*tried))
 
 
@@ -29,14 +33,15 @@ def import_type(source: Column) -> Column:
 def resolve(wanted: DataFrame, files: DataFrame, aliases: DataFrame, packages: DataFrame) -> DataFrame:
     """(path, source, resolved, import_type, scope) of distinct ``wanted`` (path, source, project).
 
-    ``files`` is (path), ``aliases`` (project, alias, target, ord, base_url), ``packages`` (package,
-    entry) of workspace packages. Candidates carry their rank: exact aliases first, then the longest
+    ``wanted`` may tell in ``barrel`` what a file exports from another. ``files`` is (path), ``aliases``
+    (project, alias, target, ord, base_url), ``packages`` (package, dir, entry) of workspace packages. Candidates carry their rank: exact aliases first, then the longest
     wildcard, then workspace packages, then the nearest node_modules; the first that exists counts.
     ``resolved`` is null where none does; ``scope`` then says whether the workspace should have had it.
     """
-    asked = wanted.select("path", "source", "project").distinct().withColumn("type", import_type(F.col("source")))
+    reexported = F.col("barrel") if "barrel" in wanted.columns else F.lit(False)
+    asked = wanted.groupBy("path", "source", "project").agg(F.max(reexported).alias("barrel")).withColumn("type", import_type(F.col("source")))
     rank = lambda a, b=F.lit(0), c=F.lit(0): F.struct(F.lit(a).alias("a"), b.cast("int").alias("b"), c.cast("int").alias("c"))
-    keep = ["path", "source"]
+    keep = ["path", "source", "barrel"]
     direct = asked.where("type <> 'Bare'").select(
         *keep, F.col("type"), rank(0).alias("rank"),
         F.when(F.col("type") == "Relative", normalize_path(F.concat_ws("/", F.nullif(dirname(F.col("path")), F.lit("")), "source"))).otherwise(normalize_path(F.regexp_replace("source", "^/+", ""))).alias("base"),
@@ -49,34 +54,37 @@ def resolve(wanted: DataFrame, files: DataFrame, aliases: DataFrame, packages: D
     wild = known.where(F.col("alias").contains("*") & F.startswith(F.col("source"), prefix)).select(
         *keep, F.lit("Package").alias("type"), rank(2, -F.length("alias"), F.col("ord")).alias("rank"), normalize_path(F.concat_ws("/", F.nullif("base_url", F.lit("")), F.replace("target", F.lit("*"), suffix))).alias("base"),
     )
-    linked = bare.withColumn("package", package_of(F.col("source"))).join(packages, "package").where(subpath_of(F.col("source")).isNull())
-    linked = linked.select(*keep, F.lit("NodeModule").alias("type"), rank(3).alias("rank"), F.col("entry").alias("base"))
+    linked = bare.withColumn("package", package_of(F.col("source"))).join(packages, "package").withColumn("sub", subpath_of(F.col("source")))
+    folder = F.col("dir") if "dir" in packages.columns else F.lit("")
+    inner = F.when(F.col("sub").isNull(), F.col("entry")).otherwise(normalize_path(F.concat_ws("/", F.nullif(folder, F.lit("")), "sub")))
+    linked = linked.select(*keep, F.lit("NodeModule").alias("type"), rank(3).alias("rank"), inner.alias("base")).where("base is not null")
     steps = F.concat(ancestors(F.col("path")), F.array(F.lit("")))
     modules = bare.select(*keep, F.posexplode(steps).alias("up", "dir")).select(
         *keep, F.lit("NodeModule").alias("type"), rank(4, F.col("up")).alias("rank"), F.concat_ws("/", F.nullif("dir", F.lit("")), F.lit("node_modules"), "source").alias("base"),
     )
     bases = direct.unionByName(exact).unionByName(wild).unionByName(linked).unionByName(modules)
-    tried = bases.select(F.col("path").alias("from_path"), "source", "type", "rank", F.inline(file_candidates(F.col("base")))).withColumn("key", F.struct("rank", "step"))
+    tried = bases.select(F.col("path").alias("from_path"), "source", "type", "rank", F.inline(file_candidates(F.col("base"), F.col("barrel")))).withColumn("key", F.struct("rank", "step"))
     found = tried.join(files.select("path"), "path")
     first = found.groupBy("from_path", "source").agg(F.min_by(F.struct("path", "type"), "key").alias("hit"))
     matched = known.where((F.col("alias") == F.col("source")) | (F.col("alias").contains("*") & F.startswith(F.col("source"), F.regexp_extract("alias", r"^([^*]*)", 1)) & F.endswith(F.col("source"), F.regexp_extract("alias", r"^[^*]*\*(.*)$", 1))))
+    keep = ["path", "source"]
     internal = asked.where("type <> 'Bare'").select(*keep).unionByName(matched.select(*keep)).distinct().withColumn("inside", F.lit(True))
     out = asked.join(first.withColumnRenamed("from_path", "path"), keep, "left").join(internal, keep, "left")
     return out.select(*keep, F.col("hit.path").alias("resolved"), F.coalesce("hit.type", "type").alias("import_type"), F.when(F.coalesce("inside", F.lit(False)), "Internal").otherwise("External").alias("scope"))
 
 
-def follow_barrels(wanted: DataFrame, declared: DataFrame, forwarded: DataFrame, stars: DataFrame, max_rounds: int = 50) -> DataFrame:
+def follow_barrels(wanted: DataFrame, declared: DataFrame, forwarded: DataFrame, stars: DataFrame) -> DataFrame:
     """(file, name, target): the file that declares what ``file`` exports as ``name``, ``file`` itself where none is found.
 
     ``declared`` is (file, name), ``forwarded`` (file, name, original, source), ``stars`` (file, ord,
     source). All searches go one step each round; the order of a depth-first search is kept as an
-    array of ordinals by which the first hit is taken, and a search enters a file once.
+    array of ordinals by which the first hit is taken, and a search enters a file once, so rounds end.
     """
     query = F.struct("file", "name")
     front = stored(wanted.select("file", "name").distinct().select(query.alias("q"), "file", "name", F.array().cast("array<int>").alias("prio")), "barrel-front")
     seen = front.select("q", "file")
     hits = None
-    for _ in range(max_rounds):
+    while hits is None or not front.isEmpty():
         hit = front.join(declared.distinct(), ["file", "name"], "left_semi").select("q", F.col("file").alias("target"), "prio")
         hits = hit if hits is None else hits.unionByName(hit)
         rest = front.join(declared.distinct(), ["file", "name"], "left_anti")
@@ -84,8 +92,6 @@ def follow_barrels(wanted: DataFrame, declared: DataFrame, forwarded: DataFrame,
         by_star = rest.where("name <> 'default'").join(stars, "file").select("q", F.col("source").alias("file"), "name", F.concat("prio", F.array((F.col("ord") + 1).cast("int"))).alias("prio"))
         step = by_name.unionByName(by_star).join(seen, ["q", "file"], "left_anti").groupBy("q", "file").agg(F.min(F.struct("prio", "name")).alias("x")).select("q", "file", "x.name", "x.prio")
         front = stored(step, "barrel-front")
-        if front.isEmpty():
-            break
         seen = seen.unionByName(front.select("q", "file"))
     best = hits.groupBy("q").agg(F.min_by("target", "prio").alias("target"))
     return wanted.select("file", "name").distinct().join(best.select("q.file", "q.name", "target"), ["file", "name"], "left").withColumn("target", F.coalesce("target", "file"))

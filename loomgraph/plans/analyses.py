@@ -32,7 +32,8 @@ class Analysis:
 
     def _resolve(self) -> None:
         f, projects = self.f, self.ws.files.select("path", "project").distinct()
-        specifiers = f["imports"].select("path", "source").unionByName(f["dynamic_imports"]).unionByName(f["exports"].where("from_module is not null").select("path", F.col("from_module").alias("source")))
+        barrels = f["exports"].where("from_module is not null").select("path", F.col("from_module").alias("source"), F.lit(True).alias("barrel"))
+        specifiers = f["imports"].select("path", "source").unionByName(f["dynamic_imports"].select("path", "source")).withColumn("barrel", F.lit(False)).unionByName(barrels)
         r = stored(resolve(specifiers.distinct().join(projects, "path"), self.ws.all_paths, self.ws.aliases, self.ws.packages), "resolved")
         self.resolution = r
         target = r.where("resolved is not null").select("path", "source", F.col("resolved").alias("file"))
@@ -55,6 +56,20 @@ class Analysis:
         original = reexports.join(found.select(F.col("file").alias("src"), F.col("name").alias("original"), "target"), ["src", "original"], "left")
         self.reexport_edges = original.select(F.col("path").alias("src"), F.coalesce("target", F.col("src")).alias("dst"))
 
+    def entity_tables(self) -> dict[str, DataFrame]:
+        """The decorated classes by kind, each with what its metadata says; standalone defaults to the framework's major version."""
+        e = self.f["entities"].join(self.ws.files.select("path", F.col("project").alias("package_name")).distinct(), "path", "left")
+        e = e.withColumn("standalone", F.coalesce("standalone", F.lit(self.ws.default_standalone)))
+        head = [F.col("path").alias("source_path"), "package_name"]
+        parts = {
+            "components": ("Component", ["name", *head, "selector", "template_path", "template_inline", "style_paths", "standalone", F.col("imports").alias("standalone_imports"), "providers", "inputs", "outputs"]),
+            "directives": ("Directive", ["name", *head, "selector", "standalone", "host_bindings", "inputs", "outputs"]),
+            "pipes": ("Pipe", [F.col("name").alias("class_name"), "pipe_name", *head, "pure", "standalone"]),
+            "services": ("Injectable", ["name", *head, "provided_in"]),
+            "modules": ("NgModule", ["name", *head, "declarations", F.col("imports").alias("imports_idents"), "exports", "providers", "bootstrap"]),
+        }
+        return {key: e.where(F.col("kind") == kind).orderBy("path", "name").select(*columns) for key, (kind, columns) in parts.items()}
+
     def resolution_health(self) -> dict[str, DataFrame]:
         """unresolved_internal (file, specifier), unresolved_external (specifier, files), totals (resolved_imports)."""
         lost = self.resolution.where("resolved is null")
@@ -93,7 +108,7 @@ class Analysis:
 
     def file_cycles(self) -> DataFrame:
         """Groups of files that import each other in circles."""
-        return graph.cycle_groups(graph.scc(self.edges))
+        return graph.cycle_groups(graph.scc(self.edges)).orderBy("members")
 
     # --- projects
 
@@ -234,6 +249,21 @@ class Analysis:
 
     # --- findings
 
+    def text_mentions(self) -> dict[str, DataFrame]:
+        """Findings of unused names that a plain search of texts contradicts: what to look at first if a finding seems wrong.
+
+        exports (file, name, mentioned_in): unused exports whose name stands as a word in other files of
+        the workspace; orphans (file, mentioned_in): orphan files whose name some text holds in quotes.
+        """
+        words = self.ws.files.select(F.col("path").alias("at"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z_$][\w$]*"), F.lit(0)))).alias("name"))
+        u = self.unused()
+        found = u["unused_exports"].select("file", "name").join(words, "name").where("at <> file")
+        exports = found.groupBy("file", "name").agg(F.count("*").alias("mentioned_in")).orderBy("file", "name")
+        quoted = self.ws.files.select(F.col("path").alias("at"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"""["'`][^"'`\n]*?([\w.-]+)["'`]"""), F.lit(1)))).alias("stem"))
+        stem = F.regexp_replace(paths.basename(F.col("file")), r"\.[cm]?[jt]sx?$", "")
+        lost = u["orphan_files"].select("file", stem.alias("stem")).join(quoted, "stem").where("at <> file")
+        return {"exports": exports, "orphans": lost.groupBy("file").agg(F.count("*").alias("mentioned_in")).orderBy("file")}
+
     def finding_keys(self) -> DataFrame:
         """The keys of all findings, each once."""
         u, cycles = self.unused(), F.array_join("members", "->")

@@ -316,7 +316,7 @@ def entry_and_test_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""WITH s AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN '@' || p ELSE p END AS spec FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS p FROM pages))
-    SELECT page_id, spec, regexp_extract(spec, '^(@[^/]+/[^/]+|[^/]+)', 1) AS package, nullif(regexp_extract(spec, '^(?:@[^/]+/[^/]+|[^/]+)/(.+)$', 1), '') AS subpath,
+    SELECT page_id, spec, regexp_extract(spec, '^(@[^/]+/[^/]+|[^/]+)', 1) AS package, nullif(regexp_extract(spec, '^(?:@[^/]+/[^/]+|[^@/][^/]*)/(.+)$', 1), '') AS subpath,
     CASE WHEN starts_with(spec, '@th') THEN 'Internal' ELSE 'External' END AS scope, try_cast(nullif(regexp_extract(spec, '(\d+)', 1), '') AS INTEGER) AS major FROM s"""
 )
 def specifier_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -390,39 +390,37 @@ def jsonc_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", parsed.alias("j")).select("event_id", F.col("j.props.k").alias("k"), F.col("j.path").alias("path"))
 
 
-def _copurchases(spark: SparkSession, sf_dir: str, modulus: int) -> DataFrame:
+def _copurchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % modulus == 0).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return graph.edge_set(lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst")))
 
 
-def _copurchase_sql(modulus: int) -> str:
-    return f"""edges AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst
-      FROM lineitem WHERE l_orderkey % {modulus} = 0) WHERE dst IS NOT NULL)"""
+COPURCHASES = """edges AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst
+      FROM lineitem) WHERE dst IS NOT NULL)"""
 
 
-@query(f"WITH {_copurchase_sql(1)} SELECT src, count(*) AS targets, min(dst) AS first_target, max(dst) AS last_target FROM edges GROUP BY 1")
+@query(f"WITH {COPURCHASES} SELECT src, count(*) AS targets, min(dst) AS first_target, max(dst) AS last_target FROM edges GROUP BY 1")
 def copurchase_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Successors of each part in the orders' lines."""
-    out = graph.adjacency(_copurchases(spark, sf_dir, 1))
+    out = graph.adjacency(_copurchases(spark, sf_dir))
     return out.select("src", F.size("targets").cast("long").alias("targets"), F.element_at("targets", 1).alias("first_target"), F.element_at("targets", -1).alias("last_target"))
 
 
-# The reachability queries define their graph by every 50th order: with more, nearly all parts reach each other.
-@query(f"WITH RECURSIVE {_copurchase_sql(50)}, seeds AS (SELECT DISTINCT src AS node FROM edges WHERE src % 100 = 0), r(node) AS (SELECT dst FROM edges JOIN seeds ON src = node UNION SELECT dst FROM r JOIN edges ON src = node) SELECT node FROM r")
+@query(f"WITH RECURSIVE {COPURCHASES}, r(node) AS (SELECT dst FROM edges JOIN part ON src = p_partkey AND p_size >= 49 UNION SELECT dst FROM r JOIN edges ON src = node) SELECT node FROM r")
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that the seeds lead to over any number of edges."""
-    edges = _copurchases(spark, sf_dir, 50)
-    return graph.reachable(edges, edges.where("src % 100 = 0").select(F.col("src").alias("node")))
+    """Parts that the largest parts lead to over any number of edges."""
+    seeds = table(spark, sf_dir, "part").where("p_size >= 49").select(F.col("p_partkey").alias("node"))
+    return graph.reachable(_copurchases(spark, sf_dir), seeds)
 
 
 @query(
-    f"""WITH RECURSIVE {_copurchase_sql(50)}, r(src, n) AS (SELECT src, dst FROM edges UNION SELECT r.src, dst FROM r JOIN edges ON r.n = edges.src)
+    f"""WITH RECURSIVE {COPURCHASES}, r(src, n) AS (SELECT src, dst FROM edges UNION SELECT r.src, dst FROM r JOIN edges ON r.n = edges.src)
     SELECT a.src AS node, min(a.n) AS component FROM r a JOIN r b ON a.src = b.n AND a.n = b.src GROUP BY 1"""
 )
 def scc_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts on cycles and the smallest part of their cycle group."""
-    return graph.scc(_copurchases(spark, sf_dir, 50))
+    return graph.scc(_copurchases(spark, sf_dir))
 
 
 @query(
@@ -485,7 +483,7 @@ def mermaid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "nation").select("n_nationkey", text.node_id(F.col("n_name")).alias("id"))
     deps = usage.dependency_matrix(_uses(spark, sf_dir), F.col("l_quantity") >= 50)
     deps = deps.join(names.toDF("from_project", "f"), "from_project").join(names.toDF("to_project", "t"), "to_project")
-    return deps.select(F.format_string("  %s %s|%d| %s", "f", F.when(F.col("lazy"), "-.->").otherwise("-->"), "refs", "t").alias("line"))
+    return deps.select(text.mermaid_line(F.col("f"), F.col("t"), F.col("refs"), F.col("lazy")).alias("line"))
 
 
 @query(

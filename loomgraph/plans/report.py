@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import html_safe, node_id
+from loomgraph.functions.text import html_safe, mermaid_line, node_id
 from loomgraph.operators import usage
 from loomgraph.plans.analyses import Analysis
 
@@ -27,16 +27,16 @@ def rows(df: DataFrame) -> list[dict]:
 
 def full_report(a: Analysis) -> dict:
     """Every analysis in one document."""
-    parts = {"resolution": a.resolution_health(), "stats": a.stats(), "unused": a.unused()}
+    parts = {"resolution": a.resolution_health(), "stats": a.stats(), "unused": a.unused(), "entities": a.entity_tables()}
     out = {name: {k: rows(v) for k, v in tables.items()} for name, tables in parts.items()}
     singles = {"move_candidates": a.move_candidates(), "boundaries": a.boundaries(), "react_usage": a.react_usage(), "template_usages": a.template_usages.orderBy("component_path", "target_path", "target"), "file_cycles": a.file_cycles()}
+    out["skipped_configurations"] = rows(a.ws.skipped.orderBy("path"))
     return out | {name: rows(df) for name, df in singles.items()}
 
 
 def mermaid(deps: DataFrame) -> str:
     """The project graph as a Mermaid diagram; lazy edges are dashed."""
-    arrow = F.when(F.col("lazy"), "-.->").otherwise("-->")
-    line = F.format_string("  %s %s|%d| %s", node_id(F.col("from_project")), arrow, "count", node_id(F.col("to_project")))
+    line = mermaid_line(node_id(F.col("from_project")), node_id(F.col("to_project")), F.col("count"), F.col("lazy"))
     return "\n".join(["graph LR", *(r["line"] for r in deps.orderBy("from_project", "to_project").select(line.alias("line")).collect())]) + "\n"
 
 

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a session without it, as in tests, gets a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``; a local session without it gets a temporary one, a cluster must name one that all can read."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("loomgraph.scratch.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("loomgraph.scratch.dir", configured)
     return configured.rstrip("/")
@@ -37,8 +39,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete what ``stored`` wrote, once all that is made of it is itself stored."""
+    """Delete what ``stored`` or ``bucketed`` wrote, once all that is made of it is itself stored."""
     spark = df.sparkSession
+    if hasattr(df, "table_name"):
+        spark.sql(f"DROP TABLE IF EXISTS {df.table_name}")
+        return
     path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -49,7 +54,9 @@ def bucketed(df: DataFrame, label: str, *columns: str) -> DataFrame:
     name = f"loomgraph_{label}_{uuid.uuid4().hex}"
     with shuffles_freed(spark):
         df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *columns).format("parquet").saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    out.table_name = name
+    return out
 
 
 @contextmanager

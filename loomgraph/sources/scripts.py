@@ -218,8 +218,14 @@ def entities(u: DataFrame) -> DataFrame:
         F.regexp_extract_all("body", F.lit(rf"@ {mark} (?:\( [^()]*\) )?(?:(?:public|protected|private|readonly|override) )*[A-Za-z_$][\w$]*|[A-Za-z_$][\w$]*(?: : [^=;]+?)? = (?:{call})(?: \. [\w$]+)?(?: < [^=;]*? >)? \("), F.lit(0)),
         lambda x: F.when(x.startswith("@"), F.regexp_extract(x, r"([\w$]+)$", 1)).otherwise(F.regexp_extract(x, r"^([\w$]+)", 1)),
     )
+    strings = lambda key: F.regexp_extract_all(F.regexp_extract("meta", rf"[{{,] {key} : \[ (.*?) ?\]", 1), F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    truth = lambda key: F.nullif(F.regexp_extract("meta", rf"[{{,] {key} : (true|false)", 1), F.lit("")).cast("boolean")
+    host = F.regexp_extract("meta", r"[{,] host : \{ (.*?) ?\}", 1)
+    bindings = F.regexp_extract_all(host, F.lit(r'(?:"(?:[^"\\]|\\.)*"|[\w$-]+) : "((?:[^"\\]|\\.)*)"'), F.lit(1))
+    apart = lambda xs: F.filter(xs, lambda x, i: (i == 0) | (x != F.get(xs, i - 1)))
     return found.select(
         "path", "name", "kind", value("selector").alias("selector"), value("templateUrl").alias("template_path"), value("template").alias("template_inline"), value("name").alias("pipe_name"),
-        value("providedIn").alias("provided_in"), F.nullif(F.regexp_extract("meta", r"[{,] standalone : (true|false)", 1), F.lit("")).cast("boolean").alias("standalone"),
-        *[idents(k).alias(k) for k in ("imports", "declarations", "exports", "providers", "bootstrap")], member("Input", "input|model").alias("inputs"), member("Output", "output").alias("outputs"),
+        value("providedIn").alias("provided_in"), truth("standalone").alias("standalone"), F.coalesce(truth("pure"), F.lit(True)).alias("pure"),
+        F.concat(strings("styleUrls"), F.array_compact(F.array(value("styleUrl")))).alias("style_paths"), bindings.alias("host_bindings"),
+        *[idents(k).alias(k) for k in ("imports", "declarations", "exports", "providers", "bootstrap")], apart(member("Input", "input|model")).alias("inputs"), apart(member("Output", "output")).alias("outputs"),
     )

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import paths
-from loomgraph.functions.text import strip_jsonc, version_major
+from loomgraph.functions.text import json_object, strip_jsonc, version_major
 from loomgraph.operators.prefix_join import project_of
+from loomgraph.operators.resolve import file_candidates
 from loomgraph.scratch import stored
 from loomgraph.sources import scripts
 
@@ -18,7 +19,9 @@ _TSCONFIG = "extends string, compilerOptions struct<baseUrl: string, paths: map<
 _RULES = "boundaries array<struct<sourceTag: string, allowedTags: array<string>>>"
 TS_ONLY = ("ts", "tsx")
 ALL_SCRIPTS = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "mts", "cts")
+#: Folders whose files a file router enters, the router's package and the framework's.
 ENTRY_DIRS = ("src/app", "app")
+ROUTER, FRAMEWORK = "expo-router", "@angular/core"
 
 
 @dataclass(frozen=True)
@@ -32,6 +35,7 @@ class Workspace:
     packages: DataFrame  # package, entry
     rules: DataFrame  # source_tag, allowed
     default_standalone: bool
+    skipped: DataFrame  # path of configuration files that can't be parsed
 
 
 def _scan(spark: SparkSession, root: str, glob: str) -> DataFrame:
@@ -46,9 +50,9 @@ def read_workspace(spark: SparkSession, root: str, only: list[str] | None = None
     """Discover projects and read what their analyses need. ``only`` restricts projects, and what counts as in the workspace."""
     everything = _scan(spark, root, "*").select("path")
     config = _scan(spark, root, "*.json").where(~paths.in_ignored_dir(F.col("path")))
-    parsed = config.where(paths.basename(F.col("path")) == "project.json").select(paths.dirname(F.col("path")).alias("root"), F.from_json(strip_jsonc(F.col("content")), _PROJECT).alias("c")).where("c is not null")
+    parsed = config.where(paths.basename(F.col("path")) == "project.json").select(paths.dirname(F.col("path")).alias("root"), json_object(F.col("content"), _PROJECT).alias("c")).where("c is not null")
     dir_name = F.nullif(paths.basename(F.col("root")), F.lit(""))
-    routed = config.where((paths.basename(F.col("path")) == "package.json") & F.col("content").contains('"expo-router"')).select(paths.dirname(F.col("path")).alias("root"), F.lit(True).alias("routed"))
+    routed = config.where((paths.basename(F.col("path")) == "package.json") & F.col("content").contains(f'"{ROUTER}"')).select(paths.dirname(F.col("path")).alias("root"), F.lit(True).alias("routed"))
     entry_dirs = F.when(F.col("routed"), F.transform(F.array(*map(F.lit, ENTRY_DIRS)), lambda d: F.concat_ws("/", F.nullif("root", F.lit("")), d))).otherwise(F.array().cast("array<string>"))
     projects = parsed.join(routed, "root", "left").select(
         F.coalesce("c.name", dir_name, F.lit("unknown")).alias("name"), "root", F.coalesce("c.tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("c.projectType", F.lit("")).alias("project_type"), entry_dirs.alias("entry_dirs"),
@@ -59,22 +63,45 @@ def read_workspace(spark: SparkSession, root: str, only: list[str] | None = None
     kinds = [*extensions, "html"]
     texts = _scan(spark, root, "*.{" + ",".join(kinds) + "}").where(~paths.in_ignored_dir(F.col("path")))
     files = stored(project_of(texts, projects).where("project is not null"), "files")
-    return Workspace(files, stored(everything, "paths"), projects, stored(_aliases(config, projects), "aliases"), stored(_packages(config, everything), "packages"), _rules(config, rules_file), _standalone(config))
-
-
-def _aliases(config: DataFrame, projects: DataFrame) -> DataFrame:
-    """Path aliases of each project: of the first configuration it has, merged with those that it extends, the child winning."""
-    own = config.select("path", F.from_json(strip_jsonc(F.col("content")), _TSCONFIG).alias("c")).where("c is not null")
+    everything = stored(everything, "paths")
+    installed = _scan(spark, root, "*.json").where(F.col("path").contains("node_modules/"))
+    named = F.col("path").rlike(r"(^|/)(project|package|tsconfig[^/]*)\.json$")
+    skipped = config.where(named & json_object(F.col("content"), "x string").isNull()).select("path")
+    aliases = stored(_aliases(config, installed, projects), "aliases")
+    return Workspace(files, everything, projects, aliases, stored(_packages(config, everything), "packages"), _rules(config, rules_file), _standalone(config), skipped)
+
+
+def _aliases(config: DataFrame, installed: DataFrame, projects: DataFrame) -> DataFrame:
+    """Path aliases of each project: of the first configuration that it has and that can be parsed, merged with those that it extends, the child winning.
+
+    A chain of ``extends`` ends where it has no more or comes back to itself; one that isn't relative
+    is looked for in the packages installed above.
+    """
+    read = lambda df: df.select("path", json_object(F.col("content"), _TSCONFIG).alias("c")).where("c is not null")
+    own = stored(read(config), "configurations")
     picks = projects.select("name", F.posexplode(F.array(*[F.concat_ws("/", F.nullif("root", F.lit("")), F.lit(f)) for f in ("tsconfig.json", "tsconfig.lib.json", "tsconfig.app.json")], F.lit("tsconfig.base.json"), F.lit("tsconfig.json"))).alias("rank", "path"))
     chain = picks.join(own, "path").groupBy("name").agg(F.min_by(F.struct("path", "c"), "rank").alias("x")).select("name", "x.path", "x.c", F.array("x.path").alias("seen"))
-    levels = [chain.withColumn("level", F.lit(0))]
-    for level in range(1, 8):
-        above = chain.where("c.extends is not null").select("name", "seen", paths.normalize_path(F.concat_ws("/", F.nullif(paths.dirname(F.col("path")), F.lit("")), "c.extends")).alias("up"))
-        above = above.select("name", "seen", F.explode(F.array("up", F.concat("up", F.lit(".json")))).alias("path")).join(own, "path").where(~F.array_contains("seen", F.col("path")))
-        chain = above.select("name", "path", "c", F.concat("seen", F.array("path")).alias("seen"))
-        levels.append(chain.withColumn("level", F.lit(level)))
-    merged = levels[0]
-    for x in levels[1:]:
+    chain = stored(chain.withColumn("level", F.lit(0)), "configuration-chain")
+    levels = []
+    while not chain.isEmpty():
+        levels.append(chain)
+        above = chain.where("c.extends is not null").select("name", "path", "seen", "level", "c.extends")
+        relative = F.col("extends").rlike(r"^(\.|/)")
+        beside = above.where(relative).select("name", "seen", "level", F.lit(0).alias("up"), paths.normalize_path(F.concat_ws("/", F.nullif(paths.dirname(F.col("path")), F.lit("")), "extends")).alias("base"))
+        folders = F.concat(paths.ancestors(F.col("path")), F.array(F.lit("")))
+        below = above.where(~relative).select("name", "seen", "level", "extends", F.posexplode(folders).alias("up", "dir"))
+        below = below.select("name", "seen", "level", "up", F.concat_ws("/", F.nullif("dir", F.lit("")), F.lit("node_modules"), "extends").alias("base"))
+        tried = lambda df: df.select("name", "seen", "level", "up", F.posexplode(F.array("base", F.concat("base", F.lit(".json")), F.concat("base", F.lit("/tsconfig.json")))).alias("end", "path"))
+        every = tried(beside).unionByName(tried(below))
+        hits = every.join(own, "path")
+        wanted = stored(every.where(F.col("path").contains("node_modules/")), "configuration-wanted")
+        if not wanted.isEmpty():
+            known = installed.join(F.broadcast(wanted.select("path").distinct()), "path", "left_semi")
+            hits = hits.unionByName(wanted.join(read(known), "path"))
+        hits = hits.where(~F.array_contains("seen", F.col("path"))).groupBy("name").agg(F.min_by(F.struct("path", "c", "seen", "level"), F.struct("up", "end")).alias("x"))
+        chain = stored(hits.select("name", "x.path", "x.c", F.concat("x.seen", F.array("x.path")).alias("seen"), (F.col("x.level") + 1).alias("level")), "configuration-chain")
+    merged = chain
+    for x in levels:
         merged = merged.unionByName(x)
     base = paths.normalize_path(F.concat_ws("/", F.nullif(paths.dirname(F.col("path")), F.lit("")), "c.compilerOptions.baseUrl"))
     bases = merged.where("c.compilerOptions.baseUrl is not null").groupBy("name").agg(F.min_by(base, "level").alias("base_url"))
@@ -84,13 +111,15 @@ def _aliases(config: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def _packages(config: DataFrame, everything: DataFrame) -> DataFrame:
-    """Workspace packages by name with the file their manifest points to."""
+    """Workspace packages by name: their folder and the file that their manifest points to, null if there is none."""
     manifest = config.where(paths.basename(F.col("path")) == "package.json").where("path <> 'package.json'")
     get = lambda key: F.get_json_object("content", key)
-    entries = F.array(get("$.types"), get("$.main"), get("$.exports['.'].types"), get("$.exports['.'].import"), get("$.exports['.'].default"), get("$.exports['.']"), F.lit("src/index.ts"), F.lit("index.ts"))
-    listed = manifest.select(get("$.name").alias("package"), paths.dirname(F.col("path")).alias("dir"), F.posexplode(entries).alias("rank", "entry")).where("package is not null and entry is not null")
-    tried = listed.select("package", "rank", paths.normalize_path(F.concat_ws("/", "dir", "entry")).alias("path"))
-    return tried.join(everything, "path").groupBy("package").agg(F.min_by("path", "rank").alias("entry"))
+    entries = F.array(get("$.types"), get("$.main"), get("$.exports['.'].types"), get("$.exports['.'].import"), get("$.exports['.'].default"), get("$.exports['.']"), get("$.exports"), F.lit("src/index.ts"), F.lit("index.ts"))
+    named = manifest.select(get("$.name").alias("package"), paths.dirname(F.col("path")).alias("dir"), entries.alias("entries")).where("package is not null")
+    listed = named.select("package", "dir", F.posexplode("entries").alias("rank", "entry")).where("entry is not null and not startswith(entry, '{')")
+    tried = listed.select("package", "rank", F.inline(file_candidates(paths.normalize_path(F.concat_ws("/", F.nullif("dir", F.lit("")), "entry")))))
+    entry = tried.join(everything, "path").groupBy("package").agg(F.min_by("path", F.struct("rank", "step")).alias("entry"))
+    return named.groupBy("package").agg(F.min("dir").alias("dir")).join(entry, "package", "left")
 
 
 def _rules(config: DataFrame, name: str) -> DataFrame:
@@ -101,7 +130,7 @@ def _rules(config: DataFrame, name: str) -> DataFrame:
 def _standalone(config: DataFrame) -> bool:
     """Whether the framework's major version makes components standalone by default."""
     root = config.where("path = 'package.json'")
-    version = F.coalesce(F.get_json_object("content", "$.dependencies['@angular/core']"), F.get_json_object("content", "$.devDependencies['@angular/core']"))
+    version = F.coalesce(*[F.get_json_object("content", f"$.{kind}['{FRAMEWORK}']") for kind in ("dependencies", "devDependencies")])
     row = root.select(version_major(version).alias("v")).first()
     return bool(row and row["v"] is not None and row["v"] >= 19)
 

@@ -1,5 +1,6 @@
 """A small workspace of our own through discovery, facts, analyses, reports and the command line."""
 
+import itertools
 import json
 
 import pytest
@@ -40,6 +41,20 @@ FILES = {
     "libs/util/src/lib/view.tsx": "import { memo } from 'react';\nexport const Card = memo(({ a }) => <Badge color=\"red\" onClick={() => a({ b: 1 })} />);\nfunction Badge(p) { return <i>{p.color}</i>; }\n",
     "node_modules/zone.js/index.d.ts": "export {};\n",
     "dist/x/project.json": '{"name": "no"}',
+    "libs/bad/project.json": '{"name": "bad", ',
+    "libs/ng/project.json": '{"name": "ng"}',
+    "libs/ng/tsconfig.json": '{ broken',
+    "libs/ng/tsconfig.lib.json": '{"extends": "@cfg/base/strict"}',
+    "libs/ng/package.json": '{"name": "@w/ng", "exports": "./src/all"}',
+    "node_modules/@cfg/base/strict.json": '{"extends": "./one.json"}',
+    **{f"node_modules/@cfg/base/{a}.json": json.dumps({"extends": f"./{b}.json"}) for a, b in itertools.pairwise("one two three four five six seven eight nine".split())},
+    "node_modules/@cfg/base/nine.json": '{"extends": "./one.json", "compilerOptions": {"baseUrl": "../../..", "paths": {"@far/*": ["libs/ng/src/*"]}}}',
+    "libs/ng/src/all.ts": "export * from './plain';\nexport * from './parts';\n",
+    "libs/ng/src/plain.js": "export const plain = 1;\n",
+    "libs/ng/src/use.ts": "import { plain } from '@w/ng';\nimport { Zoom } from '@w/ng/src/parts';\nimport { Late } from '@far/parts';\nimport * as all from '@w/ng';\nuse(plain, Zoom, Late, all);\n",
+    "libs/ng/src/parts.ts": "@Component({ selector: 'z-z', template: 'z', styleUrls: ['./a.css', './b.css'], styleUrl: './c.css', standalone: false })\nexport class Zoom {}\n"
+    "@Component({ selector: 'l-l', template: '<b></b>' })\nexport class Late { @Input() a = ''; @Output() gone = 1; }\n"
+    "@Directive({ selector: '[hl]', host: { '(click)': 'go()', '[class.x]': 'x' } })\nexport class Hl {}\n@Pipe({ name: 'raw', pure: false })\nexport class RawPipe {}\n",
 }
 
 
@@ -63,7 +78,8 @@ def names(df, *columns):
 
 
 def test_discovery(a):
-    assert names(a.ws.projects, "name", "root") == {("shop", "apps/shop"), ("ui", "libs/ui"), ("util", "libs/util")}
+    assert names(a.ws.projects, "name", "root") == {("shop", "apps/shop"), ("ui", "libs/ui"), ("util", "libs/util"), ("ng", "libs/ng")}
+    assert names(a.ws.skipped, "path") == {"libs/bad/project.json", "libs/ng/tsconfig.json"}
     assert a.ws.default_standalone
     assert not any("broken" in p for p in names(a.f["source_files"], "path"))
 
@@ -77,6 +93,20 @@ def test_resolution(a):
     assert got[("main.ts", "")] == "node_modules/zone.js/index.d.ts"
 
 
+def test_packages_barrels_and_far_configurations(a):
+    got = {(r["source"], r["name"]): r["resolved_path"] for r in a.imports.where("path = 'libs/ng/src/use.ts'").collect()}
+    assert got[("@w/ng", "plain")] == "libs/ng/src/plain.js" and got[("@w/ng/src/parts", "Zoom")] == got[("@far/parts", "Late")] == "libs/ng/src/parts.ts"
+    assert "libs/ng/src/all.ts" in got.values()  # the namespace import stays at the barrel
+
+
+def test_entities(a):
+    t = {key: {r[0]: r for r in df.collect()} for key, df in a.entity_tables().items()}
+    assert (t["components"]["Zoom"]["standalone"], t["components"]["Late"]["standalone"]) == (False, True)
+    assert t["components"]["Zoom"]["style_paths"] == ["./a.css", "./b.css", "./c.css"] and t["components"]["Late"]["style_paths"] == []
+    assert t["directives"]["Hl"]["host_bindings"] == ["go()", "x"]
+    assert (t["pipes"]["RawPipe"]["pure"], t["pipes"]["CutPipe"]["pure"]) == (False, True)
+
+
 def test_templates(a):
     assert names(a.template_usages, "component", "target", "via") == {("ShopComponent", "BtnComponent", "Selector"), ("ShopComponent", "CutPipe", "Pipe")}
     btn = next(r for r in a.f["entities"].collect() if r["name"] == "BtnComponent")
@@ -96,11 +126,17 @@ def test_stats(a):
 
 def test_unused(a):
     u = a.unused()
-    base = lambda key: {(f.split("/")[-1], n) for f, n in names(u[key], "file", "name")}
+    base = lambda key: {(f.split("/")[-1], n) for f, n in names(u[key], "file", "name") if not f.startswith("libs/ng/")}
     assert base("unused_exports") == {("money.ts", "never"), ("ghost.ts", "Ghost"), ("helper.ts", "dead"), ("idle.ts", "Idle"), ("orphan.ts", "alone"), ("routes.ts", "routes"), ("view.tsx", "Card")}
     assert base("test_only_exports") == {("money.ts", "onlyTested")} and base("export_only") == {("money.ts", "Money"), ("helper.ts", "local")}
     assert base("unused_imports") == {("shop.component.ts", "Ghost")}
-    assert {f.split("/")[-1] for f in names(u["orphan_files"], "file")} == {"orphan.ts", "routes.ts", "view.tsx"}
+    assert {f.split("/")[-1] for f in names(u["orphan_files"], "file") if not f.startswith("libs/ng/")} == {"orphan.ts", "routes.ts", "view.tsx"}
+
+
+def test_text_mentions(a):
+    """``Ghost`` is imported, though never used, so a text search finds it; ``never`` stands nowhere else."""
+    got = {(r["file"].split("/")[-1], r["name"]) for r in a.text_mentions()["exports"].collect()}
+    assert ("ghost.ts", "Ghost") in got and ("money.ts", "never") not in got
 
 
 def test_components_and_symbols(a):
