@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import wraps
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,19 @@ from loomgraph.scratch import stored
 from loomgraph.sources.workspace import Workspace, facts
 
 
+def _once(method):
+    """A method whose plans, and the rounds behind them, are made once for each object."""
+
+    @wraps(method)
+    def known(self):
+        made = self.__dict__.setdefault("_made", {})
+        if method.__name__ not in made:
+            made[method.__name__] = method(self)
+        return made[method.__name__]
+
+    return known
+
+
 @dataclass
 class Analysis:
     """All analyses of one workspace, each a DataFrame that runs when asked for."""
@@ -106,6 +120,7 @@ class Analysis:
             out = out.unionByName(a)
         self.edges = stored(graph.edge_set(out), "edges")
 
+    @_once
     def file_cycles(self) -> DataFrame:
         """Groups of files that import each other in circles."""
         return graph.cycle_groups(graph.scc(self.edges)).orderBy("members")
@@ -123,6 +138,7 @@ class Analysis:
         every = self._placed(self._placed(named.unionByName(lazy).unionByName(shown), "path", "from_project"), "to", "to_project")
         return every.where("from_project is not null and to_project is not null and from_project <> to_project").select("from_project", "to_project", "symbol", "lazy")
 
+    @_once
     def stats(self) -> dict[str, DataFrame]:
         """projects with coupling, dependencies with symbols, project_cycles."""
         deps = stored(self.dependencies(), "dependencies")
@@ -157,6 +173,7 @@ class Analysis:
         shown = self.template_usages.where("not (component_path = target_path and component = target)").select(F.col("target_path").alias("to"), F.col("target").alias("symbol"), F.col("component_path").alias("path"))
         return named.unionByName(every).unionByName(shown).select(F.col("to").alias("path"), F.col("symbol").alias("name"), F.col("path").alias("from_path"), paths.is_test_file(F.col("path")).alias("test"))
 
+    @_once
     def unused(self) -> dict[str, DataFrame]:
         """unused_exports, test_only_exports, export_only, unused_imports, declared_not_rendered, orphan_files."""
         f, e = self.f, self.f["entities"]
