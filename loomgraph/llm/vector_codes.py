@@ -270,7 +270,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
     digest = hashlib.sha256(",".join(str(int(c)) for book in made.codebooks for c in book.ravel()).encode()).hexdigest()
     rows = made.coded.select("row.vec_id", "row.label", "code", "error")
-    by_label = rows.groupBy("label").agg(F.expr("try_cast(sum(cast(error as decimal(38,0))) as bigint)").alias("label_error"))
+    by_label = rows.groupBy("label").agg(F.expr("if(count(error) = count(*), try_cast(sum(cast(error as decimal(38,0))) as bigint), null)").alias("label_error"))
     rows = rows.join(by_label.withColumnRenamed("label", "same"), F.col("label").eqNullSafe(F.col("same")))
     return rows.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
 
