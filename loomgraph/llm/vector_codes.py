@@ -256,7 +256,7 @@ def compressed(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                     owner = walked(tree, book)[0]
                     away = _squares(tree.points.astype(book.dtype), book[owner]).astype(object)
                     codes, errors = codes + np.array([f"{e:02x}" for e in owner], object)[tree.of], errors + away[tree.of]
-                yield pd.DataFrame({"key": keys, "code": codes, "error": [int(e) if e < 2**63 else None for e in errors]}).astype({"error": "Int64"})
+                yield pd.DataFrame({"key": keys, "code": codes, "error": pd.array([int(e) if e < 2**63 else None for e in errors], "Int64")})
 
     codes = trees.mapInPandas(coded, "key long, code string, error long")
     out = stored(keyed.select("key", "row").join(codes, "key").select("row", "code", "error"), "vector-codes")
