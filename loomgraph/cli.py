@@ -19,11 +19,12 @@ from loomgraph.sources.workspace import ALL_SCRIPTS, TS_ONLY, read_workspace
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="loomgraph")
-    p.add_argument("-d", "--directory", default=".")
+    p.add_argument("-d", "--directory", "--project-path", default=".")
     p.add_argument("-v", "--verbose", action="store_true", help="counts of facts and time taken, to stderr")
     p.add_argument("-p", "--projects", help="only these projects are read, by names apart by commas")
     p.add_argument("-t", "--typescript-only", choices=("true", "false"), default="true")
-    p.add_argument("--rules", default="boundaries.json", help="file of boundary rules in the workspace's root")
+    p.add_argument("-n", "--exclude-node-modules", choices=("true", "false"), default="true", help="false: files of ignored folders below a project are the project's")
+    p.add_argument("--rules", help="files of boundary rules in the workspace's root, apart by commas; the first that exists counts")
     p.add_argument("--baseline")
     p.add_argument("--strict", action="store_true")
     p.add_argument("--fail-on", default="", help="categories apart by commas: unused, cycles, boundaries, all")
@@ -55,7 +56,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             raise ValueError(f"no such category: {', '.join(sorted(wrong))}")
         began = time.monotonic()
         only = args.projects.split(",") if args.projects else None
-        a = Analysis(read_workspace(spark, args.directory, only, TS_ONLY if args.typescript_only == "true" else ALL_SCRIPTS, args.rules))
+        a = Analysis(read_workspace(spark, args.directory, only, TS_ONLY if args.typescript_only == "true" else ALL_SCRIPTS, args.rules, args.exclude_node_modules == "true"))
         if args.verbose:
             counts = ", ".join(f"{df.count()} {name.replace('_', ' ')}" for name, df in a.f.items())
             print(f"{counts}; {time.monotonic() - began:.1f} s", file=sys.stderr)

@@ -10,6 +10,8 @@ CONVENTION_STEMS = (
     "page", "layout", "route", "template", "loading", "error", "global-error", "not-found", "default", "middleware",
     "proxy", "instrumentation", "opengraph-image", "twitter-image", "icon", "apple-icon", "sitemap", "robots", "manifest",
 )
+#: Names, and what names contain, of files that tools start from.
+ENTRY_NAMES, ENTRY_PATTERN = ("main.ts", "main.tsx", "polyfills.ts"), r"\.(config|setup|stories)\.|^global-(setup|teardown)\."
 #: Directories that no scan enters, besides hidden ones.
 IGNORED_DIRS = ("node_modules", "dist", "coverage", "storybook-static", "tmp")
 
@@ -66,8 +68,7 @@ def is_test_file(path: Column) -> Column:
 
 def is_entry_file(path: Column) -> Column:
     """Files that tools or frameworks load by their name."""
-    name = basename(path)
-    by_name = name.isin("main.ts", "main.tsx", "polyfills.ts") | name.rlike(r"\.(config|setup|stories)\.|^global-(setup|teardown)\.")
+    by_name = basename(path).isin(*ENTRY_NAMES) | basename(path).rlike(ENTRY_PATTERN)
     return by_name | (extension(path).isin("ts", "tsx", "js", "jsx") & stem(path).isin(*CONVENTION_STEMS))
 
 

@@ -2,26 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.paths import ancestors, dirname, normalize_path, package_of, subpath_of
+from loomgraph.functions.paths import ancestors, dirname, in_ignored_dir, normalize_path, package_of, subpath_of
+from loomgraph.operators.links import rewritten
 from loomgraph.scratch import stored
 
-#: Endings tried in turn, those tried last for what a file exports from another, and the script
+#: Endings tried in turn, those tried for what a file exports from another, and the script
 #: endings that a compiled one stands for.
-ENDINGS = ("", ".ts", ".tsx", ".d.ts", "/index.ts", "/index.tsx", "/index.d.ts")
-BARREL_ENDINGS = (".js", ".jsx", "/index.js", "/index.jsx")
+ENDINGS = (".ts", ".tsx", ".d.ts", "/index.ts", "/index.tsx", "/index.d.ts")
+BARREL_ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".d.ts", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.d.ts")
 COMPILED = (("js", "ts"), ("js", "tsx"), ("js", "d.ts"), ("jsx", "tsx"), ("mjs", "mts"), ("cjs", "cts"))
+#: What a candidate is by its source, in the order of trial.
+DIRECT, EXACT, WILDCARD, INSTALLED, NAMED = range(5)
 
 
 def file_candidates(base: Column, barrel: Column | None = None) -> Column:
     """Array of (path, step): the files that a base path may mean, in the order they are tried; ``barrel`` tells where plain scripts count."""
     tried = [F.struct(base.alias("path"), F.lit(0).alias("step"))]
     tried += [F.when(F.endswith(base, F.lit(f".{js}")), F.struct(F.regexp_replace(base, rf"\.{js}$", f".{ts}").alias("path"), F.lit(1 + i).alias("step"))) for i, (js, ts) in enumerate(COMPILED)]
-    tried += [F.struct(F.concat(base, F.lit(e)).alias("path"), F.lit(10 + i).alias("step")) for i, e in enumerate(ENDINGS[1:])]
-    if barrel is not None:
-        tried += [F.when(barrel, F.struct(F.concat(base, F.lit(e)).alias("path"), F.lit(20 + i).alias("step"))) for i, e in enumerate(BARREL_ENDINGS)]
+    ended = lambda endings, when: [F.when(when, F.struct(F.concat(base, F.lit(e)).alias("path"), F.lit(10 + i).alias("step"))) for i, e in enumerate(endings)]
+    if barrel is None:
+        tried += ended(ENDINGS, F.lit(True))
+    else:
+        tried += ended(ENDINGS, ~barrel) + ended(BARREL_ENDINGS, barrel)
     return F.array_compact(F.array(*tried))
 
 
@@ -30,47 +37,103 @@ def import_type(source: Column) -> Column:
     return F.when(source.rlike(r"^\.\.?/"), "Relative").when(source.startswith("/"), "Absolute").otherwise("Bare")
 
 
-def resolve(wanted: DataFrame, files: DataFrame, aliases: DataFrame, packages: DataFrame) -> DataFrame:
-    """(path, source, resolved, import_type, scope) of distinct ``wanted`` (path, source, project).
+def claimed(specifiers: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Distinct ``specifiers`` (project, source) with the aliases that may mean them: (.., alias, target, ord, base_url, before, after).
+
+    ``before`` and ``after`` are what stands around an alias' first star, ``after`` null without one. A specifier meets an
+    alias by equality on (project, before): of its prefixes those are made that have a length that some alias of the
+    project has, so the rows joined follow the lengths of specifiers, whatever the number of aliases.
+    """
+    keyed = aliases.withColumn("before", F.regexp_extract("alias", r"^([^*]*)", 1)).withColumn("after", F.when(F.col("alias").contains("*"), F.regexp_extract("alias", r"^[^*]*\*(.*)$", 1)))
+    lengths = keyed.where("after is not null").groupBy("project").agg(F.collect_set(F.char_length("before")).alias("lengths"))
+    asked = specifiers.select("project", "source").distinct()
+    prefixes = asked.join(lengths, "project").select("project", "source", F.explode("lengths").alias("n")).where(F.col("n") <= F.char_length("source"))
+    wild = prefixes.select("project", "source", F.substring(F.col("source"), F.lit(1), F.col("n")).alias("before")).join(keyed.where("after is not null"), ["project", "before"])
+    exact = asked.withColumn("before", F.col("source")).join(keyed.where("after is null"), ["project", "before"])
+    columns = ["project", "source", "alias", "target", "ord", "base_url", "before", "after"]
+    return exact.select(*columns).unionByName(wild.select(*columns))
+
+
+def _joined(*parts: Column) -> Column:
+    return normalize_path(F.concat_ws("/", *[F.nullif(p, F.lit("")) for p in parts]))
+
+
+def resolve(
+    wanted: DataFrame, files: DataFrame, aliases: DataFrame, packages: DataFrame, installed: DataFrame | None = None, links: DataFrame | None = None, exists: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """(path, source, barrel, resolved, import_type, scope) of distinct ``wanted`` (path, source, project).
 
     ``wanted`` may tell in ``barrel`` what a file exports from another. ``files`` is (path), ``aliases``
-    (project, alias, target, ord, base_url), ``packages`` (package, dir, entry) of workspace packages. Candidates carry their rank: exact aliases first, then the longest
-    wildcard, then workspace packages, then the nearest node_modules; the first that exists counts.
-    ``resolved`` is null where none does; ``scope`` then says whether the workspace should have had it.
+    (project, alias, target, ord, base_url), ``packages`` (package, dir, entry) of workspace packages by the name in their
+    manifest, ``installed`` (folder, real, bases) package folders below some node_modules, where they really are and
+    what their manifests name as entries. ``links`` (link, target) are followed by candidates, and ``exists`` tells of paths that ``files`` doesn't
+    list (path) which are files and folders (path, kind).
+
+    Candidates carry their rank: exact aliases first, then the longest wildcard, then the nearest node_modules, then
+    packages by name; the first that exists counts. An installed package without an entry is its folder. What doesn't depend on the importing file is searched once for
+    all. ``resolved`` is null where nothing exists; ``scope`` then says whether the workspace should have had it.
     """
     reexported = F.col("barrel") if "barrel" in wanted.columns else F.lit(False)
-    asked = wanted.groupBy("path", "source", "project").agg(F.max(reexported).alias("barrel")).withColumn("type", import_type(F.col("source")))
+    asked = stored(wanted.select("path", "source", "project", reexported.alias("barrel")).distinct().withColumn("type", import_type(F.col("source"))).withColumn("dir", dirname(F.col("path"))), "specifiers")
     rank = lambda a, b=F.lit(0), c=F.lit(0): F.struct(F.lit(a).alias("a"), b.cast("int").alias("b"), c.cast("int").alias("c"))
-    keep = ["path", "source", "barrel"]
-    direct = asked.where("type <> 'Bare'").select(
-        *keep, F.col("type"), rank(0).alias("rank"),
-        F.when(F.col("type") == "Relative", normalize_path(F.concat_ws("/", F.nullif(dirname(F.col("path")), F.lit("")), "source"))).otherwise(normalize_path(F.regexp_replace("source", "^/+", ""))).alias("base"),
-    )
+    row = lambda df, key, kind, ranked, base, barrel=F.lit(False): df.select(key.alias("key"), F.lit(kind).alias("type") if isinstance(kind, str) else kind.alias("type"), ranked.alias("rank"), base.alias("base"), barrel.alias("barrel"))
+    # keys: what a search depends on besides the specifier
+    own, by_project, by_dir = F.struct("source", "dir", "barrel"), F.struct("source", "project"), F.struct("source", "dir")
+    key = lambda kind, s: F.to_json(F.struct(F.lit(kind).alias("by"), s.alias("of")))
+
+    direct = asked.where("type <> 'Bare'").select("dir", "source", "barrel", "type").distinct()
+    place = F.when(F.col("type") == "Relative", _joined(F.col("dir"), F.col("source"))).otherwise(normalize_path(F.regexp_replace("source", "^/+", "")))
+    bases = row(direct, key("own", own), F.col("type"), rank(DIRECT), place, F.col("barrel") & (F.col("type") == "Relative"))
+
     bare = asked.where("type = 'Bare'")
-    prefix = F.regexp_replace("alias", r"\*+$", "")
-    known = bare.join(aliases, "project")
-    exact = known.where("alias = source").select(*keep, F.lit("Package").alias("type"), rank(1, F.lit(0), F.col("ord")).alias("rank"), normalize_path(F.concat_ws("/", F.nullif("base_url", F.lit("")), "target")).alias("base"))
-    suffix = F.substring("source", F.char_length(prefix) + 1, F.char_length("source"))
-    wild = known.where(F.col("alias").contains("*") & F.startswith(F.col("source"), prefix)).select(
-        *keep, F.lit("Package").alias("type"), rank(2, -F.length("alias"), F.col("ord")).alias("rank"), normalize_path(F.concat_ws("/", F.nullif("base_url", F.lit("")), F.replace("target", F.lit("*"), suffix))).alias("base"),
-    )
-    linked = bare.withColumn("package", package_of(F.col("source"))).join(packages, "package").withColumn("sub", subpath_of(F.col("source")))
+    claims = stored(claimed(bare, aliases), "claims")
+    exact = claims.where("after is null")
+    bases = bases.unionByName(row(exact, key("project", by_project), "Package", rank(EXACT, F.lit(0), F.col("ord")), _joined(F.col("base_url"), F.col("target"))))
+    trimmed = F.regexp_replace("alias", r"\*+$", "")
+    wild = claims.where(F.col("after").isNotNull() & F.startswith(F.col("source"), trimmed))
+    rest = F.substring("source", F.char_length(trimmed) + 1, F.char_length("source"))
+    bases = bases.unionByName(row(wild, key("project", by_project), "Package", rank(WILDCARD, -F.length("alias"), F.col("ord")), _joined(F.col("base_url"), F.replace(F.col("target"), F.lit("*"), rest))))
+    named = bare.select("project", "source").distinct().withColumn("package", package_of(F.col("source"))).join(packages, "package").withColumn("sub", subpath_of(F.col("source")))
     folder = F.col("dir") if "dir" in packages.columns else F.lit("")
-    inner = F.when(F.col("sub").isNull(), F.col("entry")).otherwise(normalize_path(F.concat_ws("/", F.nullif(folder, F.lit("")), "sub")))
-    linked = linked.select(*keep, F.lit("NodeModule").alias("type"), rank(3).alias("rank"), inner.alias("base")).where("base is not null")
-    steps = F.concat(ancestors(F.col("path")), F.array(F.lit("")))
-    modules = bare.select(*keep, F.posexplode(steps).alias("up", "dir")).select(
-        *keep, F.lit("NodeModule").alias("type"), rank(4, F.col("up")).alias("rank"), F.concat_ws("/", F.nullif("dir", F.lit("")), F.lit("node_modules"), "source").alias("base"),
-    )
-    bases = direct.unionByName(exact).unionByName(wild).unionByName(linked).unionByName(modules)
-    tried = bases.select(F.col("path").alias("from_path"), "source", "type", "rank", F.inline(file_candidates(F.col("base"), F.col("barrel")))).withColumn("key", F.struct("rank", "step"))
-    found = tried.join(files.select("path"), "path")
-    first = found.groupBy("from_path", "source").agg(F.min_by(F.struct("path", "type"), "key").alias("hit"))
-    matched = known.where((F.col("alias") == F.col("source")) | (F.col("alias").contains("*") & F.startswith(F.col("source"), F.regexp_extract("alias", r"^([^*]*)", 1)) & F.endswith(F.col("source"), F.regexp_extract("alias", r"^[^*]*\*(.*)$", 1))))
-    keep = ["path", "source"]
-    internal = asked.where("type <> 'Bare'").select(*keep).unionByName(matched.select(*keep)).distinct().withColumn("inside", F.lit(True))
-    out = asked.join(first.withColumnRenamed("from_path", "path"), keep, "left").join(internal, keep, "left")
-    return out.select(*keep, F.col("hit.path").alias("resolved"), F.coalesce("hit.type", "type").alias("import_type"), F.when(F.coalesce("inside", F.lit(False)), "Internal").otherwise("External").alias("scope"))
+    inner = F.when(F.col("sub").isNull(), F.col("entry")).otherwise(_joined(folder, F.col("sub")))
+    bases = bases.unionByName(row(named, key("project", by_project), "NodeModule", rank(NAMED), inner)).where("base is not null")
+
+    known = files.select("path")
+    whole = None
+    if installed is not None:
+        steps = F.concat(F.filter(F.array("dir"), lambda d: d != ""), ancestors(F.col("dir")), F.array(F.lit("")))
+        up = bare.select("source", "dir").distinct().select("source", "dir", package_of(F.col("source")).alias("package"), subpath_of(F.col("source")).alias("sub"), F.posexplode(steps).alias("up", "at"))
+        found = stored(up.withColumn("folder", F.concat_ws("/", F.nullif("at", F.lit("")), F.lit("node_modules"), "package")).join(installed, "folder"), "installed-found")
+        entries = found.where("sub is null").select("*", F.posexplode("bases").alias("n", "base"))
+        bases = bases.unionByName(row(entries, key("dir", by_dir), "NodeModule", rank(INSTALLED, F.col("up"), F.col("n")), F.col("base")))
+        bases = bases.unionByName(row(found.where("sub is not null"), key("dir", by_dir), "NodeModule", rank(INSTALLED, F.col("up")), _joined(F.col("real"), F.col("sub"))))
+        last = F.when(F.col("sub").isNull(), F.col("real")).otherwise(_joined(F.col("folder"), F.col("sub")))
+        whole = row(found, key("dir", by_dir), "NodeModule", rank(INSTALLED, F.col("up"), F.lit(1000)), last).drop("barrel")
+
+    if links is not None:
+        bases = stored(bases, "bases")
+        bases = bases.join(rewritten(bases.select(F.col("base").alias("path")), links).toDF("base", "real"), "base").where("real is not null").withColumn("base", F.col("real")).drop("real")
+    tried = bases.select("key", "type", "rank", F.inline(file_candidates(F.col("base"), F.col("barrel"))))
+    ends = None
+    if exists is not None:
+        tried = stored(tried, "candidates")
+        beyond = tried.where(in_ignored_dir(F.col("path")) | F.col("path").rlike(r"^(\.\./|/)")).select("path")
+        more = stored(exists(beyond if whole is None else beyond.unionByName(whole.select(F.col("base").alias("path")))).select("path", "kind"), "candidates-probed")
+        known = known.unionByName(more.where("kind = 'file'").select("path")).distinct()
+        if whole is not None:
+            ends = whole.join(more.withColumnRenamed("path", "base"), "base").select("key", "type", "rank", F.lit(0).alias("step"), F.col("base").alias("path"))
+    found = tried.join(known, "path").select("key", "type", "rank", "step", "path")
+    if ends is not None:
+        found = found.unionByName(ends)
+    best = found.groupBy("key").agg(F.min(F.struct("rank", "step", "path", "type")).alias("hit"))
+
+    inside = claims.where(F.col("after").isNull() | (F.endswith(F.col("source"), F.col("after")) & (F.char_length("source") >= F.char_length("before") + F.char_length("after"))))
+    inside = inside.select("project", "source").distinct().withColumn("inside", F.lit(True))
+    keys = F.when(F.col("type") == "Bare", F.array(key("project", by_project), key("dir", by_dir))).otherwise(F.array(key("own", own)))
+    hits = asked.select("path", "source", "barrel", F.explode(keys).alias("key")).join(best, "key").groupBy("path", "source", "barrel").agg(F.min("hit").alias("hit"))
+    out = asked.join(hits, ["path", "source", "barrel"], "left").join(inside, ["project", "source"], "left")
+    scope = F.when((F.col("type") != "Bare") | F.coalesce("inside", F.lit(False)), "Internal").otherwise("External")
+    return out.select("path", "source", "barrel", F.col("hit.path").alias("resolved"), F.coalesce("hit.type", "type").alias("import_type"), scope.alias("scope"))
 
 
 def follow_barrels(wanted: DataFrame, declared: DataFrame, forwarded: DataFrame, stars: DataFrame) -> DataFrame:

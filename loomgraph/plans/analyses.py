@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from loomgraph.functions import markup, paths
 from loomgraph.operators import graph, usage
 from loomgraph.operators.prefix_join import project_of
-from loomgraph.operators.resolve import follow_barrels, resolve
+from loomgraph.operators.resolve import follow_barrels, import_type, resolve
 from loomgraph.scratch import stored
-from loomgraph.sources.workspace import Workspace, facts
+from loomgraph.sources.workspace import Workspace, facts, installed_packages
 
 
 def _once(method):
@@ -48,10 +48,13 @@ class Analysis:
         f, projects = self.f, self.ws.files.select("path", "project").distinct()
         barrels = f["exports"].where("from_module is not null").select("path", F.col("from_module").alias("source"), F.lit(True).alias("barrel"))
         specifiers = f["imports"].select("path", "source").unionByName(f["dynamic_imports"].select("path", "source")).withColumn("barrel", F.lit(False)).unionByName(barrels)
-        r = stored(resolve(specifiers.distinct().join(projects, "path"), self.ws.all_paths, self.ws.aliases, self.ws.packages), "resolved")
-        self.resolution = r
-        target = r.where("resolved is not null").select("path", "source", F.col("resolved").alias("file"))
-        reexports = f["exports"].where("from_module is not null").join(target.withColumnRenamed("source", "from_module").withColumnRenamed("file", "src"), ["path", "from_module"])
+        specifiers = stored(specifiers.distinct().join(projects, "path"), "wanted")
+        installed, links = installed_packages(self.ws.tree, specifiers.where(import_type(F.col("source")) == "Bare"))
+        r = stored(resolve(specifiers, self.ws.all_paths, self.ws.aliases, self.ws.packages, installed, links, self.ws.tree.probe), "resolved")
+        self.resolution = r.drop("barrel").distinct()
+        found = r.where("resolved is not null").select("path", "source", "barrel", F.col("resolved").alias("file"))
+        target = found.where("not barrel").drop("barrel")
+        reexports = f["exports"].where("from_module is not null").join(found.where("barrel").select("path", F.col("source").alias("from_module"), F.col("file").alias("src")), ["path", "from_module"])
         declared = f["exports"].where("from_module is null and kind <> 'Default'").select(F.col("path").alias("file"), "name")
         declared = declared.unionByName(f["exports"].where("kind = 'Default'").select(F.col("path").alias("file"), F.lit("default").alias("name")))
         forwarded = reexports.where("kind = 'ReExport' and original <> '*'").select(F.col("path").alias("file"), "name", "original", F.col("src").alias("source"))
