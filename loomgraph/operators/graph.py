@@ -1,7 +1,8 @@
 """Graph operators over edges (src, dst): neighbours, reachability, cycles.
 
-What takes rounds expands by several edges in each, so that a round's write and job are paid for once
-in ``STEPS`` edges of the longest path; only counts and checksums reach the driver.
+Long ways are cut short by doubled pointers before anything is followed edge by edge. What takes rounds
+then expands by several edges in each, so that a round's write and job are paid for once in ``STEPS``
+edges of the longest path; only counts and checksums reach the driver.
 """
 
 from __future__ import annotations
@@ -25,34 +26,88 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edge_set(edges).groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("targets"))
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, include_seeds: bool = False, max_rounds: int = 10_000) -> DataFrame:
+def _observed(df: DataFrame, label: str, counted: str = "*") -> tuple[DataFrame, int]:
+    """``df`` stored, and its number of rows, or of those in which ``counted`` isn't null."""
+    seen = Observation()
+    return stored(df.observe(seen, F.count(counted).alias("n")), label), seen.get["n"]
+
+
+def followed(parents: DataFrame, label: str = "followed") -> DataFrame:
+    """(node, head, low, circling) of each node of ``parents`` (node, parent), which has one parent each.
+
+    ``head`` is the last of its parents' parents. Pointers double each round, so rounds are the logarithm of the
+    longest way. Where parents go in circles ``circling`` is set and ``low`` is the smallest node met, in a circle that nothing hangs
+    on its smallest.
+    """
+    at, n = _observed(parents.select("node", F.col("parent").alias("head"), F.least("node", "parent").alias("low")), label)
+    live, rounds = n, 0
+    while live and 2**rounds <= 2 * n:
+        ahead = at.select(F.col("node").alias("head"), F.col("head").alias("next"), F.col("low").alias("next_low"))
+        moved = at.join(ahead, "head", "left").select("node", F.coalesce("next", "head").alias("head"), F.least("low", "next_low").alias("low"), F.when(F.col("next").isNotNull(), True).alias("circling"))
+        last, (at, live) = at, _observed(moved, label, "circling")
+        discard(last)
+        rounds += 1
+    if "circling" not in at.columns:
+        at = at.withColumn("circling", F.lit(None).cast("boolean"))
+    return at.select("node", "head", "low", F.coalesce("circling", F.lit(False)).alias("circling"))
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, include_seeds: bool = False, max_rounds: int = 10_000, trace: list | None = None) -> DataFrame:
     """(node) that can be reached from any of ``seeds`` (node) by one edge or more.
 
-    A frontier of new nodes is followed along ``STEPS`` edges each round. What was seen is kept in a few
+    A node that one edge alone leads to is reached if and only if that edge's source is, so such nodes first hang on the
+    nearest that isn't one, found by doubled pointers, and their own edges are its; long paths and trees vanish in a
+    logarithm of their length, and this goes on while it removes a fifth of the edges. Through the rest a frontier
+    of new nodes is followed along ``STEPS`` edges each round. What was seen is kept in a few
     tables, which are merged before they become many. Seeds count when a path leads back to them, or
-    with ``include_seeds``.
+    with ``include_seeds``. ``trace`` gets the name of each round.
     """
-    edges = stored(edge_set(edges), "edges")
-    frontier = seeds.select("node").where("node is not null").distinct()
-    seen = [stored(frontier if include_seeds else frontier.limit(0), "seen")]
-    for _ in range(max_rounds):
+    edges, n = _observed(edge_set(edges), "edges")
+    seeds = stored(seeds.select("node").where("node is not null").distinct(), "seeds")
+    hung_on = []
+    while n:
+        single = edges.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("parent")).where("n = 1").select(F.col("dst").alias("node"), "parent")
+        hung, hanging = _observed(single.join(seeds, "node", "left_anti"), "hanging")
+        if 5 * hanging < n:
+            discard(hung)
+            break
+        ends = followed(hung)
+        hung_on.append(ends.where("not circling").select("node", "head"))
+        left = edges.join(hung.select(F.col("node").alias("dst")), "dst", "left_anti").join(ends.select(F.col("node").alias("src"), "head", "circling"), "src", "left")
+        last, (edges, n) = edges, _observed(left.where("circling is null or not circling").select(F.coalesce("head", "src").alias("src"), "dst").distinct(), "edges")
+        discard(last)
+        discard(hung)
+        if trace is not None:
+            trace.append("hung")
+    frontier = seeds
+    seen = [frontier if include_seeds else stored(frontier.limit(0), "seen")]
+    for _ in range(max_rounds if n else 0):
         step, found = frontier, None
         for _ in range(STEPS):
             step = step.join(edges, step["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
             found = step if found is None else found.unionByName(step)
         for table in seen:
             found = found.join(table, "node", "left_anti")
+        if trace is not None:
+            trace.append("frontier")
         frontier = stored(found.distinct(), "frontier")
         if frontier.isEmpty():
-            discard(edges)
-            return _union(seen)
+            break
         seen.append(frontier)
         if len(seen) > 6:
             merged = stored(_union(seen), "seen")
-            for table in seen[:-1]:
+            for table in seen[1 if include_seeds else 0 : -1]:
                 discard(table)
             seen = [merged]
-    raise RuntimeError("reachability did not settle")
+    else:
+        if n:
+            raise RuntimeError("reachability did not settle")
+    out = _union(seen)
+    for ends in reversed(hung_on):
+        start = out if include_seeds else out.unionByName(seeds)
+        out = out.unionByName(ends.join(start.select(F.col("node").alias("head")), "head", "left_semi").select("node"))
+    discard(edges)
+    return out
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -63,7 +118,7 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 
 
 def _spread(labels: DataFrame, along: DataFrame, label: str, max_rounds: int = 10_000) -> DataFrame:
-    """``labels`` (node, label) with the smallest label that leads to each node along edges (src, dst, group); null groups match none but edges without groups."""
+    """``labels`` (node, label) with the smallest label that leads to each node along edges (src, dst)."""
     before = None
     for _ in range(max_rounds):
         new = labels
@@ -81,38 +136,97 @@ def _spread(labels: DataFrame, along: DataFrame, label: str, max_rounds: int = 1
     raise RuntimeError(f"{label} did not settle")
 
 
-def scc(edges: DataFrame) -> DataFrame:
+def _hubs(rest: DataFrame) -> DataFrame:
+    """(node, parent) of nodes that lead to a smaller node and back, the smallest such."""
+    back = rest.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return rest.join(back, ["src", "dst"], "left_semi").where("dst < src").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("parent"))
+
+
+def _links(rest: DataFrame) -> DataFrame:
+    """(node, before, after) of nodes with one edge in and one out."""
+    into = rest.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("before")).where("n = 1")
+    out = rest.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("m"), F.min("dst").alias("after")).where("m = 1")
+    return into.join(out, "node").select("node", "before", "after")
+
+
+def scc(edges: DataFrame, trace: list | None = None) -> DataFrame:
     """(node, component) of every node on a cycle, ``component`` the smallest node that it shares cycles with.
 
-    These are the strongly connected components of more than one node or with an edge to itself. They
-    are found by colouring: a node's colour is the smallest node that leads to it, and those of a colour
-    that lead back to the node that gave it are its component. What is found goes, and the rest is
-    coloured again; edges into dead ends and out of sources lie on no cycle and go first. Each
-    round is linear in the edges.
+    These are the strongly connected components of more than one node or with an edge to itself. Edges into dead ends and out
+    of sources lie on no cycle and go first. Then, while they are a twentieth of the edges, nodes that lead to each
+    other become one, and nodes with one edge in and one out give way to an edge past them, both by doubled pointers; such a node
+    shares a cycle with the two that it joined if and only if these share one.
+
+    The rest is coloured: nodes have random priorities, fresh in each round, and a node's two colours are the first
+    node that leads to it and the first that it leads to. Where both are the same node, that is its component. Nodes of a
+    component have both colours in common, so edges between nodes of other colours go, which splits the rest as
+    quicksort does: rounds are about the logarithm of the number of components, and each is linear in the edges. ``trace`` gets the name of each round.
     """
     edges = stored(edge_set(edges), "scc")
     loops = edges.where("src = dst").select(F.col("src").alias("node"))
-    rest, found = edges, []
+    rest, found, steps, colourings = edges.where("src <> dst"), [], [], 0
+    note = trace.append if trace is not None else lambda _: None
     while True:
         for _ in range(3):
             targets, sources = rest.select(F.col("dst").alias("src")).distinct(), rest.select(F.col("src").alias("dst")).distinct()
             rest = rest.join(targets, "src", "left_semi").join(sources, "dst", "left_semi").select("src", "dst")
-        rest = stored(rest, "scc-rest")
-        if rest.isEmpty():
+        rest, n = _observed(rest, "scc-rest")
+        if not n:
             break
+        hubs, pairs = _observed(_hubs(rest), "scc-hubs")
+        if 20 * pairs >= n:
+            note("merged")
+            ends = followed(hubs).select("node", "head")
+            steps.append(("merged", ends))
+            of = lambda end, t: t.withColumnRenamed("node", end).withColumnRenamed("head", f"{end}_head")
+            moved = rest.join(of("src", ends), "src", "left").join(of("dst", ends), "dst", "left").select(F.coalesce("src_head", "src").alias("src"), F.coalesce("dst_head", "dst").alias("dst"))
+            rest = moved.where("src <> dst").distinct()
+            continue
+        links, chained = _observed(_links(rest), "scc-links")
+        if 20 * chained >= n:
+            note("chained")
+            up = followed(links.select("node", F.col("before").alias("parent")), "scc-up")
+            down = followed(links.select("node", F.col("after").alias("parent")), "scc-down")
+            found.append(up.where("circling").select("node", F.col("low").alias("label")))
+            chains = stored(up.where("not circling").select("node", "head").join(down.select("node", F.col("head").alias("tail")), "node"), "scc-chains")
+            steps.append(("chained", chains))
+            apart = rest.join(links.select(F.col("node").alias("src")), "src", "left_anti").join(links.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+            rest = apart.unionByName(chains.select(F.col("head").alias("src"), F.col("tail").alias("dst")).where("src <> dst")).distinct()
+            continue
+        note("coloured")
         nodes = rest.select(F.col("src").alias("node")).unionByName(rest.select(F.col("dst").alias("node"))).distinct()
-        colours = _spread(nodes.select("node", F.col("node").alias("label")), rest, "scc-colours")
-        of = lambda end: colours.select(F.col("node").alias(end), F.col("label").alias(f"{end}_colour"))
-        within = stored(rest.join(of("src"), "src").join(of("dst"), "dst").where("src_colour = dst_colour").select(F.col("dst").alias("src"), F.col("src").alias("dst")), "scc-within")
-        parts = _spread(colours.where("node = label"), within, "scc-parts")
-        found.append(parts)
-        gone = parts.select("node")
-        rest = rest.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
-    if not found:
-        return loops.select("node", F.col("node").alias("component"))
-    parts = _union(found).select("node", F.col("label").alias("component"))
-    several = parts.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    return parts.join(several, "component", "left_semi").unionByName(parts.join(several, "component", "left_anti").join(loops, "node", "left_semi")).select("node", "component")
+        priority = F.struct(F.xxhash64(F.lit(colourings), "node").alias("first"), "node")
+        side = lambda s, c: F.struct(F.lit(s).alias("side"), F.col(c).alias("node"))
+        starts = nodes.select(F.explode(F.array(side(0, "node"), side(1, "node"))).alias("node"), priority.alias("label"))
+        along = stored(rest.select(side(0, "src").alias("src"), side(0, "dst").alias("dst")).unionByName(rest.select(side(1, "dst").alias("src"), side(1, "src").alias("dst"))), "scc-along")
+        spread = _spread(starts, along, "scc-colours")
+        colours = spread.groupBy("node.node").agg(F.min(F.when(F.col("node.side") == 0, F.col("label.node"))).alias("from"), F.min(F.when(F.col("node.side") == 1, F.col("label.node"))).alias("to"))
+        colours = stored(colours, "scc-both")
+        found.append(colours.where("from = to").select("node", F.col("from").alias("label")))
+        of = lambda end: colours.where("from <> to").select(F.col("node").alias(end), F.struct("from", "to").alias(f"{end}_colours"))
+        rest = rest.join(of("src"), "src").join(of("dst"), "dst").where("src_colours = dst_colours").select("src", "dst")
+        discard(along)
+        discard(spread)
+        colourings += 1
+    known = _union(found) if found else edges.select(F.col("src").alias("node"), F.col("src").alias("label")).limit(0)
+    for kind, ends in reversed(steps):
+        known = stored(known.groupBy("node").agg(F.min("label").alias("label")), "scc-known")
+        of = lambda end, k=known: k.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+        if kind == "merged":
+            more = ends.join(of("head"), "head", "left").withColumn("label", F.coalesce("head_label", "head"))
+        else:
+            more = ends.join(of("head"), "head", "left").join(of("tail"), "tail", "left").withColumn("label", F.coalesce("head_label", "head")).where(F.col("label") == F.coalesce("tail_label", "tail"))
+        known = known.unionByName(more.select("node", "label")).unionByName(more.select(F.col("head").alias("node"), "label"))
+    parts = known.groupBy("node").agg(F.min("label").alias("label"))
+    named = stored(parts.groupBy("label").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1").join(parts, "label").select("node", "component"), "scc-components")
+    return named.unionByName(loops.join(named, "node", "left_anti").select("node", F.col("node").alias("component")))
+
+
+def condensed(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """(src, dst) between components and nodes on no cycle, without edges inside one: the acyclic graph that ``scc`` leaves."""
+    of = lambda end: components.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part"))
+    joined = edge_set(edges).join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    return joined.select(F.coalesce("src_part", "src").alias("src"), F.coalesce("dst_part", "dst").alias("dst")).where("src <> dst").distinct()
 
 
 def cycle_groups(components: DataFrame) -> DataFrame:
