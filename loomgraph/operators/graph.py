@@ -195,18 +195,22 @@ def scc(edges: DataFrame, trace: list | None = None) -> DataFrame:
             continue
         note("coloured")
         nodes = rest.select(F.col("src").alias("node")).unionByName(rest.select(F.col("dst").alias("node"))).distinct()
-        priority = F.struct(F.xxhash64(F.lit(colourings), "node").alias("first"), "node")
-        side = lambda s, c: F.struct(F.lit(s).alias("side"), F.col(c).alias("node"))
-        starts = nodes.select(F.explode(F.array(side(0, "node"), side(1, "node"))).alias("node"), priority.alias("label"))
-        along = stored(rest.select(side(0, "src").alias("src"), side(0, "dst").alias("dst")).unionByName(rest.select(side(1, "dst").alias("src"), side(1, "src").alias("dst"))), "scc-along")
+        # ids in a random order: numbers that are names and priorities in one, so that all that follows hashes and compares numbers
+        ids = stored(nodes.orderBy(F.xxhash64(F.lit(colourings), "node"), "node").select("node", F.monotonically_increasing_id().alias("id")), "scc-ids")
+        of = lambda end: ids.select(F.col("node").alias(end), F.col("id").alias(f"{end}_id"))
+        numbered = stored(rest.join(of("src"), "src").join(of("dst"), "dst").select("src", "dst", "src_id", "dst_id"), "scc-numbered")
+        there, back = lambda c: F.col(c) * 2, lambda c: F.col(c) * 2 + 1  # the two colours of a node spread side by side
+        both = F.array(F.struct(there("src_id").alias("src"), there("dst_id").alias("dst")), F.struct(back("dst_id").alias("src"), back("src_id").alias("dst")))
+        along = stored(numbered.select(F.inline(both)), "scc-along")
+        starts = ids.select(F.explode(F.array(there("id"), back("id"))).alias("node"), F.col("id").alias("label"))
         spread = _spread(starts, along, "scc-colours")
-        colours = spread.groupBy("node.node").agg(F.min(F.when(F.col("node.side") == 0, F.col("label.node"))).alias("from"), F.min(F.when(F.col("node.side") == 1, F.col("label.node"))).alias("to"))
-        colours = stored(colours, "scc-both")
-        found.append(colours.where("from = to").select("node", F.col("from").alias("label")))
-        of = lambda end: colours.where("from <> to").select(F.col("node").alias(end), F.struct("from", "to").alias(f"{end}_colours"))
-        rest = rest.join(of("src"), "src").join(of("dst"), "dst").where("src_colours = dst_colours").select("src", "dst")
-        discard(along)
-        discard(spread)
+        side = lambda s: F.min(F.when(F.col("node") % 2 == s, F.col("label")))
+        colours = stored(spread.groupBy(F.shiftright("node", 1).alias("id")).agg(side(0).alias("from"), side(1).alias("to")), "scc-both")
+        found.append(stored(colours.where("from = to").join(ids, "id").select("node", F.col("from").alias("id")).join(ids.withColumnRenamed("node", "label"), "id").select("node", "label"), "scc-found"))
+        of = lambda end: colours.where("from <> to").select(F.col("id").alias(f"{end}_id"), F.col("from").alias(f"{end}_from"), F.col("to").alias(f"{end}_to"))
+        rest = stored(numbered.join(of("src"), "src_id").join(of("dst"), "dst_id").where("src_from = dst_from and src_to = dst_to").select("src", "dst"), "scc-rest")
+        for table in (ids, numbered, along, spread, colours):
+            discard(table)
         colourings += 1
     known = _union(found) if found else edges.select(F.col("src").alias("node"), F.col("src").alias("label")).limit(0)
     for kind, ends in reversed(steps):

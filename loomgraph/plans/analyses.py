@@ -12,6 +12,7 @@ from loomgraph.functions import markup, paths
 from loomgraph.operators import graph, usage
 from loomgraph.operators.prefix_join import project_of
 from loomgraph.operators.resolve import follow_barrels, import_type, resolve
+from loomgraph.operators.within import alive_within
 from loomgraph.scratch import stored
 from loomgraph.sources.workspace import Workspace, facts, installed_packages
 
@@ -198,13 +199,12 @@ class Analysis:
         known = known.join(boots.withColumn("boot", F.lit(True)), "name", "left").join(lazy.withColumn("is_lazy", F.lit(True)), "path", "left")
         known = stored(known, "known-exports")
 
-        node = lambda name: F.struct("path", F.col(name).alias("name"))
-        refs = f["local_references"].select(node("from_name").alias("src"), node("to_name").alias("dst"))
-        loaded = self.edges.select(F.col("dst").alias("path")).unionByName(lazy).distinct().select(F.struct("path", F.lit("").alias("name")).alias("node"))
-        alive_seeds = known.where("prod_uses > 0 or boot").select(node("name").alias("node")).unionByName(loaded)
-        tests = known.where("prod_uses = 0 and test_uses > 0").select(node("name").alias("node"))
-        alive = graph.reachable(refs, alive_seeds, include_seeds=True).select("node.path", "node.name").distinct().withColumn("alive", F.lit(True))
-        tested = graph.reachable(refs, tests, include_seeds=True).select("node.path", "node.name").distinct().withColumn("tested", F.lit(True))
+        refs = f["local_references"].select("path", F.col("from_name").alias("src"), F.col("to_name").alias("dst"))
+        loaded = self.edges.select(F.col("dst").alias("path")).unionByName(lazy).distinct().select("path", F.lit("").alias("node"))
+        alive_seeds = known.where("prod_uses > 0 or boot").select("path", F.col("name").alias("node")).unionByName(loaded)
+        tests = known.where("prod_uses = 0 and test_uses > 0").select("path", F.col("name").alias("node"))
+        alive = alive_within(refs, alive_seeds).select("path", F.col("node").alias("name")).distinct().withColumn("alive", F.lit(True))
+        tested = alive_within(refs, tests).select("path", F.col("node").alias("name")).distinct().withColumn("tested", F.lit(True))
         yes = lambda c: F.coalesce(F.col(c), F.lit(False))
         kind = (
             F.when(F.col("kind").isin("ReExport", "ReExportAll") | yes("boot") | yes("is_lazy") | (F.col("prod_uses") > 0), None)

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import markup, paths, text
 from loomgraph.operators import graph, usage
+from loomgraph.operators.links import rewritten
 from loomgraph.operators.prefix_join import project_of
+from loomgraph.operators.resolve import resolve
+from loomgraph.operators.within import alive_within
 from loomgraph.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -323,12 +326,76 @@ def specifier_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Package, rest, scope and first number of specifiers made of urls."""
     plain = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
     spec = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("@"), plain)).otherwise(plain).alias("spec"))
-    return spec.select(
-        "page_id", "spec", paths.package_of(F.col("spec")).alias("package"), paths.subpath_of(F.col("spec")).alias("subpath"),
-        F.when(F.col("spec").startswith("@th"), "Internal").otherwise("External").alias("scope"), text.version_major(F.col("spec")).alias("major"),
+    aliases = spark.createDataFrame([("p", "@th*", "none/*", 0, "")], "project string, alias string, target string, ord int, base_url string")
+    files, packages = spark.createDataFrame([], "path string"), spark.createDataFrame([], "package string, dir string, entry string")
+    scopes = resolve(spec.select(F.lit("a.ts").alias("path"), F.col("spec").alias("source"), F.lit("p").alias("project")), files, aliases, packages)
+    return spec.join(scopes.select(F.col("source").alias("spec"), "scope"), "spec").select(
+        "page_id", "spec", paths.package_of(F.col("spec")).alias("package"), paths.subpath_of(F.col("spec")).alias("subpath"), "scope", text.version_major(F.col("spec")).alias("major"),
     )
 
 
+_PAGE_PATH = "regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '/*([?#].*)?$', '')"
+
+
+def _page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, path, host, rest, inner): pages as paths; ``rest`` is what follows the host, ``inner`` what follows its english part."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.expr(_PAGE_PATH).alias("path")).withColumn("host", F.regexp_extract("path", "^[^/]+", 0))
+    return pages.select("*", F.regexp_extract("path", "^[^/]+/(.+)$", 1).alias("rest"), F.regexp_extract("path", "^[^/]+/en/(.+)$", 1).alias("inner"))
+
+
+PAGE_PATHS = f"""p AS (SELECT page_id, path, regexp_extract(path, '^[^/]+', 0) AS host, regexp_extract(path, '^[^/]+/(.+)$', 1) AS rest, regexp_extract(path, '^[^/]+/en/(.+)$', 1) AS inner_part
+      FROM (SELECT page_id, {_PAGE_PATH} AS path FROM pages))"""
+
+
+@query(
+    f"""WITH {PAGE_PATHS}, files AS (SELECT 'all/' || rest || '.ts' AS f FROM p WHERE page_id % 2 = 0 AND rest <> '' UNION SELECT 'english/' || inner_part || '/index.tsx' FROM p WHERE page_id % 3 = 0 AND inner_part <> '' UNION SELECT 'only/' || host || '.ts' FROM p)
+    SELECT page_id, path AS source, coalesce(e.f, o.f, a.f) AS resolved FROM p LEFT JOIN files e ON inner_part <> '' AND e.f = 'english/' || inner_part || '/index.tsx'
+      LEFT JOIN files o ON page_id % 5 = 0 AND o.f = 'only/' || host || '.ts' LEFT JOIN files a ON rest <> '' AND a.f = 'all/' || rest || '.ts'"""
+)
+def alias_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each page's path means as a specifier by aliases of every host: the longest that leads to a file.
+
+    Every host is a folder by a wildcard of its own and another for its english part; every fifth page lies in a project
+    in which all that begins with the host's name means one file, as an alias shorter than the english one and longer than the other.
+    """
+    pages = _page_paths(spark, sf_dir)
+    project = F.when(F.col("page_id") % 5 == 0, "fifth").otherwise("rest")
+    alias = lambda project, name, target: F.struct(F.lit(project).alias("project"), name.alias("alias"), target.alias("target"))
+    every = lambda p: [alias(p, F.concat("host", F.lit("/*")), F.lit("all/*")), alias(p, F.concat("host", F.lit("/en/*")), F.lit("english/*"))]
+    star = alias("fifth", F.concat("host", F.lit("/**")), F.concat(F.lit("only/"), "host"))
+    aliases = pages.select("host").distinct().select(F.inline(F.array(*every("fifth"), *every("rest"), star))).select("*", F.lit(0).alias("ord"), F.lit("").alias("base_url"))
+    made = F.array(F.when((F.col("page_id") % 2 == 0) & (F.col("rest") != ""), F.concat(F.lit("all/"), "rest", F.lit(".ts"))), F.when((F.col("page_id") % 3 == 0) & (F.col("inner") != ""), F.concat(F.lit("english/"), "inner", F.lit("/index.tsx"))), F.concat(F.lit("only/"), "host", F.lit(".ts")))
+    files = pages.select(F.explode(F.array_compact(made)).alias("path")).distinct()
+    packages = spark.createDataFrame([], "package string, dir string, entry string")
+    wanted = pages.select(F.col("page_id").cast("string").alias("path"), F.col("path").alias("source"), project.alias("project"))
+    found = resolve(wanted, files, aliases, packages)
+    return found.select(F.col("path").cast("long").alias("page_id"), "source", "resolved")
+
+
+@query(
+    f"""WITH RECURSIVE {PAGE_PATHS}, hosts AS (SELECT host, row_number() OVER (ORDER BY host) AS i, lead(host) OVER (ORDER BY host) AS after, first_value(host) OVER (ORDER BY host) AS start FROM (SELECT DISTINCT host FROM p)),
+    links AS (SELECT host AS link, CASE WHEN i % 7 = 0 THEN 'store/' || host WHEN after IS NULL THEN NULL ELSE after END AS target FROM hosts WHERE i % 4 <> 1
+      UNION ALL SELECT 'store/' || host, CASE WHEN i % 14 = 0 THEN host ELSE 'kept/' || host END FROM hosts WHERE i % 7 = 0 AND i % 4 <> 1),
+    l AS (SELECT * FROM links WHERE target IS NOT NULL),
+    walk(path, now, rest, hops) AS (SELECT DISTINCT path, host, substr(path, length(host) + 1), 0 FROM p UNION ALL SELECT walk.path, target, rest, hops + 1 FROM walk JOIN l ON now = link WHERE hops < 60)
+    SELECT path, CASE WHEN max(hops) >= 60 THEN NULL ELSE max_by(now || rest, hops) END AS real FROM walk GROUP BY path"""
+)
+def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where pages' paths lead if hosts link to the next host or into a store, whose folders link on or back: chains and rings."""
+    pages = _page_paths(spark, sf_dir)
+    hosts = pages.select("host").distinct()
+    order = Window.orderBy("host")  # one row a host
+    hosts = hosts.select("host", F.row_number().over(order).alias("i"), F.lead("host").over(order).alias("after"))
+    inside = F.concat(F.lit("store/"), "host")
+    link = lambda a, b: F.struct(a.alias("link"), b.alias("target"))
+    made = F.array(
+        link(F.col("host"), F.when(F.col("i") % 7 == 0, inside).otherwise(F.col("after"))),
+        F.when(F.col("i") % 7 == 0, link(inside, F.when(F.col("i") % 14 == 0, F.col("host")).otherwise(F.concat(F.lit("kept/"), "host")))),
+    )
+    links = hosts.where("i % 4 <> 1").select(F.inline(F.array_compact(made))).where("target is not null")
+    return rewritten(pages.select("path"), links)
+
+
 @query(r"SELECT tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<([A-Za-z0-9_-]+)[^>]*>', 1)) AS tag FROM pages) GROUP BY 1")
 def template_tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements by tag."""
@@ -423,6 +490,19 @@ def scc_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.scc(_copurchases(spark, sf_dir))
 
 
+@query(
+    f"""WITH RECURSIVE {COPURCHASES}, half AS (SELECT src, dst FROM edges WHERE src < dst OR (src % 4 = 0 AND src - dst < 40)),
+    r(src, n) AS (SELECT src, dst FROM half UNION SELECT r.src, dst FROM r JOIN half ON r.n = half.src),
+    c AS (SELECT a.src AS node, min(a.n) AS component FROM r a JOIN r b ON a.src = b.n AND a.n = b.src GROUP BY 1)
+    SELECT DISTINCT coalesce(a.component, src) AS src, coalesce(b.component, dst) AS dst FROM half LEFT JOIN c a ON a.node = src LEFT JOIN c b ON b.node = dst
+    WHERE coalesce(a.component, src) <> coalesce(b.component, dst)"""
+)
+def condensation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The acyclic graph of cycle groups, over edges to larger parts and some short ones back."""
+    edges = _copurchases(spark, sf_dir).where("src < dst or (src % 4 = 0 and src - dst < 40)")
+    return graph.condensed(edges, graph.scc(edges))
+
+
 @query(
     f"""WITH RECURSIVE {USES}, edges AS (SELECT from_project AS src, to_project AS dst FROM uses WHERE l_quantity >= 49 AND l_returnflag = 'R' AND from_project <> to_project GROUP BY 1, 2 HAVING count(*) >= 3),
     r(src, n) AS (SELECT src, dst FROM edges UNION SELECT r.src, dst FROM r JOIN edges ON r.n = edges.src),
@@ -445,10 +525,9 @@ def liveness_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names alive in each file: its seeds and all they refer to within the file."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    local = lines.select(F.struct("l_orderkey", "l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("to"), "l_orderkey").where("to is not null")
-    edges = local.select("src", F.struct("l_orderkey", F.col("to").alias("l_partkey")).alias("dst"))
-    alive = graph.reachable(edges, lines.where("l_quantity >= 49").select(F.struct("l_orderkey", "l_partkey").alias("node")), include_seeds=True)
-    return alive.groupBy(F.col("node.l_orderkey").alias("file")).agg(F.count("*").alias("alive"))
+    refs = lines.select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
+    alive = alive_within(refs, lines.where("l_quantity >= 49").select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("node")), "file")
+    return alive.groupBy("file").agg(F.count("*").alias("alive"))
 
 
 @query("SELECT source AS scope, count(*) AS files, count(l.doc_id) AS resolved, count(*) - count(l.doc_id) AS unresolved FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")

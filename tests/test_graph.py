@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from loomgraph.operators import graph
+from loomgraph.operators import graph, within
 
 
 def table(spark, pairs):
@@ -93,3 +93,21 @@ def test_empty_graphs(spark):
     none = table(spark, [])
     assert graph.scc(none).count() == 0 and graph.reachable(none, spark.createDataFrame([(1,)], "node long")).count() == 0
     assert [r["node"] for r in graph.reachable(none, spark.createDataFrame([(1,)], "node long"), include_seeds=True).collect()] == [1]
+
+
+@pytest.mark.parametrize("most", [100_000, 5, 0])
+def test_fixpoint_within_groups(spark, most):
+    """The same names are alive whether groups are gathered or go through rounds, hot groups among them."""
+    rng = random.Random(9)
+    refs = [(f"f{g}", f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for g in range(12) for _ in range(g)] + [("hot", f"n{i}", f"n{i + 1}") for i in range(300)] + [("f1", None, "n1"), (None, "n1", "n2")]
+    seeds = [(f"f{g}", f"n{g % 9}") for g in range(0, 14, 2)] + [("hot", "n250"), ("alone", "x"), ("f2", None), ("f2", "n2")]
+    got = within.alive_within(spark.createDataFrame(refs, "path string, src string, dst string"), spark.createDataFrame(seeds, "path string, node string"), most=most).collect()
+    want = set()
+    for g, n in seeds:
+        if n is not None:
+            after = {}
+            for p, a, b in refs:
+                if p == g and a is not None:
+                    after.setdefault(a, set()).add(b)
+            want |= {(g, x) for x in reach(after, [n]) | {n}}
+    assert sorted(map(tuple, got)) == sorted(want)
