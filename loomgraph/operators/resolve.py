@@ -136,25 +136,81 @@ def resolve(
     return out.select("path", "source", "barrel", F.col("hit.path").alias("resolved"), F.coalesce("hit.type", "type").alias("import_type"), scope.alias("scope"))
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def export_steps(wanted: DataFrame, declared: DataFrame, forwarded: DataFrame, stars: DataFrame) -> DataFrame:
+    """(file, name, ord, to_file, to_name): where the search for an export goes on, from all that ``wanted`` (file, name) leads to.
+
+    What exports a name by way of another file is asked once, whoever asks; a named re-export (ord 0) goes before stars, which follow in
+    their order. Files that declare the name, and names that no file forwards, have no steps.
+    """
+    front = stored(wanted.select("file", "name").distinct(), "exports-asked")
+    seen, steps = [front], []
+    while not front.isEmpty():
+        rest = front.join(declared, ["file", "name"], "left_anti")
+        by_name = rest.join(forwarded, ["file", "name"]).select("file", "name", F.lit(0).alias("ord"), F.col("source").alias("to_file"), F.col("original").alias("to_name"))
+        by_star = rest.join(stars, "file").select("file", "name", (F.col("ord") + 1).cast("int").alias("ord"), F.col("source").alias("to_file"), F.col("name").alias("to_name"))
+        steps.append(stored(by_name.unionByName(by_star), "exports-steps"))
+        fresh = steps[-1].select(F.col("to_file").alias("file"), F.col("to_name").alias("name")).distinct()
+        for table in seen:
+            fresh = fresh.join(table, ["file", "name"], "left_anti")
+        front = stored(fresh, "exports-asked")
+        seen.append(front)
+    return _union(steps) if steps else front.select("file", "name", F.lit(0).alias("ord"), F.col("file").alias("to_file"), F.col("name").alias("to_name"))
+
+
+def _ring_searches(asked: DataFrame, steps: DataFrame, known: DataFrame) -> DataFrame:
+    """(file, name, target) of ``asked`` (file, name), which lie on rings of re-exports or lead into some: one search each.
+
+    A search goes on at ``steps`` until it meets what is ``known`` (file, name, target). The order of a depth-first search is kept as an array
+    of ordinals by which the first hit counts; a file is entered again only by an earlier path, so searches end.
+    """
+    front = stored(asked.select(F.struct("file", "name").alias("q"), "file", "name", F.array().cast("array<int>").alias("prio")), "ring-front")
+    seen, hits = front.select("q", "file", F.col("prio").alias("best")), []
+    while not front.isEmpty():
+        met = stored(front.join(known.withColumn("met", F.lit(True)), ["file", "name"], "left"), "ring-met")
+        hits.append(met.where("target is not null").select("q", "target", "prio"))
+        ahead = met.where("met is null").join(steps, ["file", "name"]).select("q", F.col("to_file").alias("file"), F.struct(F.concat("prio", F.array("ord")).alias("prio"), F.col("to_name").alias("name")).alias("x"))
+        first = ahead.groupBy("q", "file").agg(F.min("x").alias("x")).select("q", "file", "x.name", "x.prio")
+        front = stored(first.join(seen, ["q", "file"], "left").where("best is null or prio < best").select("q", "file", "name", "prio"), "ring-front")
+        seen = stored(seen.unionByName(front.select("q", "file", F.col("prio").alias("best"))).groupBy("q", "file").agg(F.min("best").alias("best")), "ring-seen")
+    found = _union(hits).groupBy("q").agg(F.min_by("target", "prio").alias("target")) if hits else None
+    return asked.select("file", "name", F.lit(None).cast("string").alias("target")) if found is None else found.select("q.file", "q.name", "target")
+
+
 def follow_barrels(wanted: DataFrame, declared: DataFrame, forwarded: DataFrame, stars: DataFrame) -> DataFrame:
     """(file, name, target): the file that declares what ``file`` exports as ``name``, ``file`` itself where none is found.
 
     ``declared`` is (file, name), ``forwarded`` (file, name, original, source), ``stars`` (file, ord,
-    source). All searches go one step each round; the order of a depth-first search is kept as an
-    array of ordinals by which the first hit is taken, and a search enters a file once, so rounds end.
+    source). All searches share one table of exports, filled from the declarations up: an export is known once its first step that leads to a
+    declaration is, and all before are known to lead nowhere. Each round takes what the last one made known, so the cost follows the exports asked for and the
+    rounds the depth of barrels. A file that lacks one name is asked for another all the same. What is never known that way hangs on a ring and is searched by itself, as far as the ring goes.
     """
-    query = F.struct("file", "name")
-    front = stored(wanted.select("file", "name").distinct().select(query.alias("q"), "file", "name", F.array().cast("array<int>").alias("prio")), "barrel-front")
-    seen = front.select("q", "file")
-    hits = None
-    while hits is None or not front.isEmpty():
-        hit = front.join(declared.distinct(), ["file", "name"], "left_semi").select("q", F.col("file").alias("target"), "prio")
-        hits = hit if hits is None else hits.unionByName(hit)
-        rest = front.join(declared.distinct(), ["file", "name"], "left_anti")
-        by_name = rest.join(forwarded, ["file", "name"]).select("q", F.col("source").alias("file"), F.col("original").alias("name"), F.concat("prio", F.array(F.lit(0))).alias("prio"))
-        by_star = rest.where("name <> 'default'").join(stars, "file").select("q", F.col("source").alias("file"), "name", F.concat("prio", F.array((F.col("ord") + 1).cast("int"))).alias("prio"))
-        step = by_name.unionByName(by_star).join(seen, ["q", "file"], "left_anti").groupBy("q", "file").agg(F.min(F.struct("prio", "name")).alias("x")).select("q", "file", "x.name", "x.prio")
-        front = stored(step, "barrel-front")
-        seen = seen.unionByName(front.select("q", "file"))
-    best = hits.groupBy("q").agg(F.min_by("target", "prio").alias("target"))
-    return wanted.select("file", "name").distinct().join(best.select("q.file", "q.name", "target"), ["file", "name"], "left").withColumn("target", F.coalesce("target", "file"))
+    declared = stored(declared.select("file", "name").distinct(), "exports-declared")
+    asked = stored(wanted.select("file", "name").distinct(), "exports-wanted")
+    steps = stored(export_steps(asked, declared, forwarded, stars), "exports-steps")
+    states = stored(asked.unionByName(steps.select(F.col("to_file").alias("file"), F.col("to_name").alias("name"))).distinct(), "exports-states")
+    at_home = states.join(declared, ["file", "name"], "left_semi").select("file", "name", F.col("file").alias("target"))
+    nowhere = states.join(steps, ["file", "name"], "left_anti").join(declared, ["file", "name"], "left_anti").select("file", "name", F.lit(None).cast("string").alias("target"))
+    fresh = stored(at_home.unionByName(nowhere), "exports-known")
+    known, open_steps = [fresh], steps.withColumn("done", F.lit(False)).withColumn("target", F.lit(None).cast("string"))
+    while True:
+        told = fresh.select(F.col("file").alias("to_file"), F.col("name").alias("to_name"), F.col("target").alias("new"), F.lit(True).alias("now"))
+        open_steps = stored(open_steps.join(told, ["to_file", "to_name"], "left").select("file", "name", "ord", "to_file", "to_name", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"), F.coalesce("target", "new").alias("target")), "exports-open")
+        by_state = open_steps.groupBy("file", "name").agg(F.min(F.when(~F.col("done"), F.col("ord"))).alias("waits"), F.min(F.when(F.col("target").isNotNull(), F.struct("ord", "target"))).alias("hit"))
+        settled = by_state.where("waits is null or hit.ord < waits").select("file", "name", "hit.target")
+        fresh = stored(settled, "exports-known")
+        if fresh.isEmpty():
+            break
+        known.append(fresh)
+        open_steps = open_steps.join(fresh.select("file", "name"), ["file", "name"], "left_anti")
+    found = _union(known)
+    rest = stored(asked.join(found, ["file", "name"], "left_anti"), "exports-rings")
+    if not rest.isEmpty():
+        found = found.unionByName(_ring_searches(rest, steps, found))
+    return asked.join(found, ["file", "name"], "left").withColumn("target", F.coalesce("target", "file"))
