@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomgraph.functions.brackets import PAIR, paired_parentheses, unmarked
+
 _ELEMENT = r"""<([A-Za-z0-9_-]+)((?:\s*[^\s=>/"']+\s*=\s*(?:"[^"]*"|'[^']*')|[^>])*)>"""
 _ATTRIBUTE = r"""[^\s=>/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))?"""
 _PIPE = r"(?<!\|)\|(?!\|)\s*([A-Za-z0-9_$]+)"
-_PARENS = r"@\w+\s*\(((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*)\)"
+#: Of parentheses by pairs.
+_BLOCK = rf"(?s)@\w+\s*\(({PAIR})(.*?)\1\)"
 
 
 def without_comments(html: Column) -> Column:
@@ -62,7 +65,7 @@ def template_pipes(html: Column) -> Column:
     tags = F.regexp_extract_all(clean, F.lit(_ELEMENT), F.lit(2))
     raw = F.flatten(F.transform(tags, lambda t: F.regexp_extract_all(t, F.lit(_ATTRIBUTE), F.lit(0))))
     bound = F.filter(raw, lambda a: is_binding(F.regexp_extract(a, r"^([^\s=]+)", 1)) & a.contains("="))
-    flow = F.regexp_extract_all(text, F.lit(_PARENS), F.lit(1))
+    flow = F.regexp_extract_all(paired_parentheses(text), F.lit(_BLOCK), F.lit(2))
     found = F.concat(
         interpolation_pipes(text), F.flatten(F.transform(raw, interpolation_pipes)), F.flatten(F.transform(bound, pipes_in)), F.flatten(F.transform(flow, pipes_in)),
     )
@@ -71,10 +74,7 @@ def template_pipes(html: Column) -> Column:
 
 def parse_selector(selector: Column) -> Column:
     """Alternatives (element, attributes, classes) of a selector list; ``:not(...)`` and the like are skipped."""
-    plain = selector
-    for _ in range(3):  # arguments within arguments
-        plain = F.regexp_replace(plain, r":[A-Za-z-]+(?:\([^()]*\))?(?![A-Za-z(-])", "")
-        plain = F.regexp_replace(plain, r"\(([^()]*)\)", "")
+    plain = unmarked(F.regexp_replace(paired_parentheses(selector), rf":[A-Za-z-]+(?:\(({PAIR}).*?\1\))?|\(({PAIR}).*?\2\)", ""))
 
     def alternative(text: Column) -> Column:
         text = F.trim(text)

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from loomgraph.functions.brackets import PAIR, paired, unmarked
+
 _TOKEN = re.compile(
     r"(?P<skip>//[^\n]*|/\*.*?(?:\*/|\Z)|[^\S\n]+)|(?P<line>\n)|(?P<string>'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\")|(?P<template>`(?:[^`\\]|\\.)*`)"
     r"|(?P<word>[A-Za-z_$#][\w$]*|\d[\w.]*)|(?P<mark>=>|\.\.\.|\?\.|.)",
@@ -35,7 +37,7 @@ def split_statements(text: str | None) -> list[str] | None:
     while at < len(text):
         m = _TOKEN.match(text, at)
         kind, token = m.lastgroup, m.group()
-        if token == "/" and (last == "" or last in "(,=:[!&|?{};" or last in ("return", "=>")) and (r := _REGEX.match(text, at)):
+        if token == "/" and (last == "" or last in "(,=:[!&|?{};" or last in ("return", "=>")) and not (last == "}" and text.startswith("/>", at)) and (r := _REGEX.match(text, at)):
             kind, token, m = "string", '"' + r.group() + '"', r
         at = m.end()
         if kind == "skip":
@@ -77,16 +79,14 @@ def statements(content: pd.Series) -> pd.Series:
 
 
 _STRING = r'"(?:[^"\\]|\\.)*"'
-_DECORATORS = rf"^(?:@ [\w$.]+(?: \. [\w$]+)* (?:\( .*?\) )?)+?(?=export |abstract |class |default )"
+#: Of a statement's brackets by pairs.
+_DECORATORS = rf"^(?:@ [\w$.]+(?: \. [\w$]+)* (?:\(({PAIR}).*?\1\) )?)+(?=export |abstract |class |default )"
 _NAME = r"([A-Za-z_$][\w$]*)"
 
 
-def _flat(stmt: Column, rounds: int = 8) -> Column:
-    """A statement without strings and what brackets hold."""
-    out = F.regexp_replace(stmt, _STRING, "''")
-    for _ in range(rounds):
-        out = F.regexp_replace(out, r"[(\[{][^(){}\[\]]*[)\]}]", "_")
-    return out
+def _flat(marked: Column) -> Column:
+    """A statement, brackets by pairs, without strings and what brackets hold."""
+    return F.regexp_replace(F.regexp_replace(marked, _STRING, "''"), rf"[(\[{{]({PAIR}).*?\1[)\]}}]", "_")
 
 
 def _variables(flat: Column) -> Column:
@@ -103,10 +103,11 @@ def identifiers(stmt: Column) -> Column:
 
 
 def units(files: DataFrame) -> DataFrame:
-    """(path, n, stmt, head, flat) of every statement; files whose brackets don't match have none."""
+    """(path, n, stmt, marked, head, flat) of every statement, ``marked`` with brackets by pairs; files whose brackets don't match have none."""
     split = files.select("path", statements("content").alias("all")).where("all is not null")
     out = split.select("path", F.posexplode("all").alias("n", "stmt"))
-    return out.withColumn("head", F.regexp_replace("stmt", _DECORATORS, "")).withColumn("flat", _flat(F.regexp_replace("stmt", _DECORATORS, "")))
+    bare = F.regexp_replace("marked", _DECORATORS, "")
+    return out.withColumn("marked", paired("stmt")).withColumn("head", unmarked(bare)).withColumn("flat", unmarked(_flat(bare)))
 
 
 def imports(u: DataFrame) -> DataFrame:
@@ -187,9 +188,8 @@ def local_references(u: DataFrame) -> DataFrame:
 
 def jsx_usages(u: DataFrame) -> DataFrame:
     """(path, component, props) of each capitalised opening tag in files that may hold some."""
-    text = F.regexp_replace(F.regexp_replace("stmt", _STRING, "''"), "=>", "~")
-    for _ in range(6):  # what braces hold goes, inside out, unless there is a tag in it
-        text = F.regexp_replace(text, r"\{[^{}<]*\}", "''")
+    text = F.regexp_replace(F.regexp_replace("marked", _STRING, "''"), "=>", "~")
+    text = unmarked(F.regexp_replace(text, rf"\{{({PAIR})[^<]*?\1\}}", "''"))  # what braces hold goes unless there is a tag in it
     tags = F.regexp_extract_all(text, F.lit(r"(?<![\w$)\]] )< [A-Z][\w$]*(?: [^<>]*?)?(?: /)? >"), F.lit(0))
     found = u.where(F.col("path").rlike(r"\.[tj]sx$")).select("path", F.explode(tags).alias("tag"))
     props = F.regexp_extract_all(F.regexp_replace("tag", r"^< [\w$]+|''|/? >$|\{[^{}]*\}", " "), F.lit(r"([A-Za-z_][\w$]*)"), F.lit(1))
@@ -209,18 +209,21 @@ def react_components(u: DataFrame) -> DataFrame:
 
 def entities(u: DataFrame) -> DataFrame:
     """Decorated classes: path, name, kind and what their metadata says."""
-    kind = F.regexp_extract("stmt", r"(?:^| )@ (Component|Injectable|NgModule|Directive|Pipe) \(", 1)
-    meta = F.regexp_extract("stmt", r"@ (?:Component|Injectable|NgModule|Directive|Pipe) \( (\{.*?\}) ,? ?\) (?=@|export|abstract|class|default)", 1)
-    found = u.select("path", kind.alias("kind"), meta.alias("meta"), F.regexp_extract("stmt", rf"(?:^| )class {_NAME}", 1).alias("name"), F.regexp_extract("stmt", r"(?:^| )class .*?(\{.*)$", 1).alias("body")).where("kind <> '' and name <> ''")
-    value = lambda key: F.nullif(F.regexp_extract("meta", rf'[{{,] {key} : "((?:[^"\\]|\\.)*)"', 1), F.lit(""))
-    idents = lambda key: F.regexp_extract_all(F.regexp_extract("meta", rf"[{{,] {key} : \[ (.*?) ?\]", 1), F.lit(rf"(?<!\. ){_NAME}"), F.lit(1))
+    decorator = "(?:^| )@ (Component|Injectable|NgModule|Directive|Pipe) "
+    kind = F.regexp_extract("stmt", rf"{decorator}\(", 1)
+    meta = F.regexp_extract("marked", rf"{decorator}\(({PAIR}) (\{{.*?\}}) ,? ?\2\)", 3)
+    found = u.select("path", kind.alias("kind"), meta.alias("meta"), F.regexp_extract("head", rf"(?:^| )class {_NAME}", 1).alias("name"), F.regexp_extract("marked", r"(?:^| )class [A-Za-z_$].*?(\{.*)$", 1).alias("body")).where("kind <> '' and name <> ''")
+    own = rf"[{{,](?:{PAIR})?"  # what stands before a key
+    value = lambda key: F.nullif(F.regexp_extract("meta", rf'{own} {key} : "((?:[^"\\]|\\.)*)"', 1), F.lit(""))
+    listed = lambda key: unmarked(F.regexp_extract("meta", rf"{own} {key} : \[({PAIR}) (.*?) ?\1\]", 2))
+    idents = lambda key: F.regexp_extract_all(F.regexp_replace(listed(key), _STRING, '""'), F.lit(rf"(?<!(?<!\.)\. ){_NAME}"), F.lit(1))
     member = lambda mark, call: F.transform(
-        F.regexp_extract_all("body", F.lit(rf"@ {mark} (?:\( [^()]*\) )?(?:(?:public|protected|private|readonly|override) )*[A-Za-z_$][\w$]*|[A-Za-z_$][\w$]*(?: : [^=;]+?)? = (?:{call})(?: \. [\w$]+)?(?: < [^=;]*? >)? \("), F.lit(0)),
+        F.regexp_extract_all("body", F.lit(rf"@ {mark} (?:\(({PAIR}).*?\1\) )?(?:(?:public|protected|private|readonly|override) )*[A-Za-z_$][\w$]*|[A-Za-z_$][\w$]*(?: : [^=;]+?)? = (?:{call})(?: \. [\w$]+)?(?: < [^=;]*? >)? \("), F.lit(0)),
         lambda x: F.when(x.startswith("@"), F.regexp_extract(x, r"([\w$]+)$", 1)).otherwise(F.regexp_extract(x, r"^([\w$]+)", 1)),
     )
-    strings = lambda key: F.regexp_extract_all(F.regexp_extract("meta", rf"[{{,] {key} : \[ (.*?) ?\]", 1), F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
-    truth = lambda key: F.nullif(F.regexp_extract("meta", rf"[{{,] {key} : (true|false)", 1), F.lit("")).cast("boolean")
-    host = F.regexp_extract("meta", r"[{,] host : \{ (.*?) ?\}", 1)
+    strings = lambda key: F.regexp_extract_all(listed(key), F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    truth = lambda key: F.nullif(F.regexp_extract("meta", rf"{own} {key} : (true|false)", 1), F.lit("")).cast("boolean")
+    host = unmarked(F.regexp_extract("meta", rf"{own} host : \{{({PAIR}) (.*?) ?\1\}}", 2))
     bindings = F.regexp_extract_all(host, F.lit(r'(?:"(?:[^"\\]|\\.)*"|[\w$-]+) : "((?:[^"\\]|\\.)*)"'), F.lit(1))
     apart = lambda xs: F.filter(xs, lambda x, i: (i == 0) | (x != F.get(xs, i - 1)))
     return found.select(
