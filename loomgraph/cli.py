@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import argparse
-import json
 import sys
 import time
+from collections.abc import Iterable
 from pathlib import Path
+from typing import IO
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 from loomgraph.operators.usage import FAIL_PREFIXES
 from loomgraph.plans import report
 from loomgraph.plans.analyses import Analysis
+from loomgraph.plans.crosscheck import crosscheck
+from loomgraph.plans.sinks import write_json
+from loomgraph.sources.store import FactStore
 from loomgraph.sources.workspace import ALL_SCRIPTS, TS_ONLY, read_workspace
 
 
@@ -25,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-t", "--typescript-only", choices=("true", "false"), default="true")
     p.add_argument("-n", "--exclude-node-modules", choices=("true", "false"), default="true", help="false: files of ignored folders below a project are the project's")
     p.add_argument("--rules", help="files of boundary rules in the workspace's root, apart by commas; the first that exists counts")
+    p.add_argument("--store", help="folder for what was read off files; with it, only changed files are lexed again")
     p.add_argument("--baseline")
     p.add_argument("--strict", action="store_true")
     p.add_argument("--fail-on", default="", help="categories apart by commas: unused, cycles, boundaries, all")
@@ -56,15 +61,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             raise ValueError(f"no such category: {', '.join(sorted(wrong))}")
         began = time.monotonic()
         only = args.projects.split(",") if args.projects else None
-        a = Analysis(read_workspace(spark, args.directory, only, TS_ONLY if args.typescript_only == "true" else ALL_SCRIPTS, args.rules, args.exclude_node_modules == "true"))
+        a = Analysis(read_workspace(spark, args.directory, only, TS_ONLY if args.typescript_only == "true" else ALL_SCRIPTS, args.rules, args.exclude_node_modules == "true"), store=FactStore(spark, args.store) if args.store else None)
         if args.verbose:
             counts = ", ".join(f"{df.count()} {name.replace('_', ' ')}" for name, df in a.f.items())
             print(f"{counts}; {time.monotonic() - began:.1f} s", file=sys.stderr)
+            say(report.text_table(a.timings(), "Reading by project"), sys.stderr)
         lost = a.resolution_health()["unresolved_internal"]
         for r in a.ws.skipped.orderBy("path").collect():
             print(f"warning: {r['path']} can't be parsed and is skipped", file=sys.stderr)
         if not lost.isEmpty():
-            print(report.text_table(lost, "Imports without a target", 10), file=sys.stderr)
+            say(report.text_table(lost, "Imports without a target", 10), sys.stderr)
         command = args.command or "analyze"
         if command == "baseline":
             report.write_baseline(a, args.output)
@@ -76,18 +82,26 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 1
 
 
+def say(lines: Iterable[str], to: IO[str] | None = None) -> None:
+    """Print lines as they come."""
+    for line in lines:
+        print(line, file=to or sys.stdout)
+
+
 def show(a: Analysis, command: str, args: argparse.Namespace) -> None:
     """Print or write what a command asks for."""
-    if command in ("analyze", "html", "sarif"):
-        output = getattr(args, "output", "analyze.json")
-        text = report.html(a) if command == "html" else json.dumps(report.sarif(a) if command == "sarif" else report.full_report(a), indent=2)
-        Path(output).write_text(text)
+    output = getattr(args, "output", "analyze.json")
+    if command == "html":
+        with Path(output).open("w") as out:
+            report.html(a, out)
+    elif command in ("analyze", "sarif"):
+        report.write(report.sarif(a) if command == "sarif" else report.full_report(a), output)
     elif command == "stats":
         s = a.stats()
         near = (F.col("from_project") == args.shown) | (F.col("to_project") == args.shown)
-        print(report.text_table(s["projects"] if not args.shown else s["projects"].where(F.col("name") == args.shown), "Projects"))
-        print(report.text_table(s["dependencies"] if not args.shown else s["dependencies"].where(near), "Dependencies"))
-        print(report.text_table(s["project_cycles"], "Project cycles"))
+        say(report.text_table(s["projects"] if not args.shown else s["projects"].where(F.col("name") == args.shown), "Projects"))
+        say(report.text_table(s["dependencies"] if not args.shown else s["dependencies"].where(near), "Dependencies"))
+        say(report.text_table(s["project_cycles"], "Project cycles"))
     elif command == "unused":
         kinds = [k.lower() for k in args.kind]
         for name, df in a.unused().items():
@@ -97,30 +111,35 @@ def show(a: Analysis, command: str, args: argparse.Namespace) -> None:
                 df = df.where(F.col("project") == args.shown)
             if kinds:
                 df = df.where(F.lower("kind").isin(kinds))
-            print(report.text_table(df, name))
+            say(report.text_table(df, name))
     elif command == "cycles":
-        print(report.text_table(a.file_cycles(), "File cycles"))
-        print(report.text_table(a.stats()["project_cycles"], "Project cycles"))
+        say(report.text_table(a.file_cycles(), "File cycles"))
+        say(report.text_table(a.stats()["project_cycles"], "Project cycles"))
     elif command == "move-candidates":
         moves = a.move_candidates()
-        print(report.text_table(moves if not args.shown else moves.where((F.col("home") == args.shown) | (F.col("to_project") == args.shown)), "Move candidates"))
+        say(report.text_table(moves if not args.shown else moves.where((F.col("home") == args.shown) | (F.col("to_project") == args.shown)), "Move candidates"))
     elif command == "boundaries":
-        print(report.text_table(a.boundaries(), "Boundary violations"))
+        say(report.text_table(a.boundaries(), "Boundary violations"))
     elif command == "crosscheck":
+        found = crosscheck(a)
+        for name, df in found.items():
+            say(report.text_table(df, f"Unused {name} that texts contradict"))
         for name, df in a.text_mentions().items():
-            print(report.text_table(df, f"Unused {name} that other files mention"))
+            say(report.text_table(df, f"Unused {name} that other files mention"))
     elif command == "usages":
-        print(json.dumps({k: report.rows(v) for k, v in a.symbol_usages(args.symbol, args.from_project).items()}, indent=2))
+        write_json(sys.stdout, a.symbol_usages(args.symbol, args.from_project))
+        print()
     elif command == "graph":
         deps = a.stats()["dependencies"]
         if args.level == "file" and args.format == "mermaid":
             raise ValueError("the file graph has no Mermaid form")
         if args.format == "json":
-            print(json.dumps(report.rows(deps if args.level == "project" else a.edges.orderBy("src", "dst")), indent=2))
+            write_json(sys.stdout, deps if args.level == "project" else a.edges.orderBy("src", "dst"))
+            print()
         elif args.level == "file":
-            print(report.file_dot(a.edges))
+            say(report.file_dot(a.edges))
         else:
-            print(report.mermaid(deps) if args.format == "mermaid" else report.project_dot(deps))
+            say(report.mermaid(deps) if args.format == "mermaid" else report.project_dot(deps))
 
 
 if __name__ == "__main__":

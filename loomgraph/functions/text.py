@@ -34,8 +34,12 @@ def mermaid_line(source: Column, target: Column, count: Column, lazy: Column) ->
     return F.format_string("  %s %s|%d| %s", source, F.when(lazy, "-.->").otherwise("-->"), count, target)
 
 
+#: What JSON within a page's script may not hold, and what stands for it.
+SCRIPT_ESCAPES = (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029"))
+
+
 def html_safe(json: Column) -> Column:
     """JSON that may stand within a page's script."""
-    for char, escape in (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
+    for char, escape in SCRIPT_ESCAPES:
         json = F.replace(json, F.lit(char), F.lit(escape))
     return json

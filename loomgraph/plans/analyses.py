@@ -14,6 +14,7 @@ from loomgraph.operators.prefix_join import project_of
 from loomgraph.operators.resolve import follow_barrels, import_type, resolve
 from loomgraph.operators.within import alive_within
 from loomgraph.scratch import stored
+from loomgraph.sources.store import FactStore
 from loomgraph.sources.workspace import Workspace, facts, installed_packages
 
 
@@ -36,9 +37,10 @@ class Analysis:
 
     ws: Workspace
     f: dict[str, DataFrame] = field(default_factory=dict)
+    store: FactStore | None = None
 
     def __post_init__(self) -> None:
-        self.f = self.f or facts(self.ws)
+        self.f = self.f or facts(self.ws, self.store)
         self._resolve()
         self._templates()
         self._edges()
@@ -74,6 +76,18 @@ class Analysis:
         original = reexports.join(found.select(F.col("file").alias("src"), F.col("name").alias("original"), "target"), ["src", "original"], "left")
         self.reexport_edges = original.select(F.col("path").alias("src"), F.coalesce("target", F.col("src")).alias("dst"))
 
+    def timings(self) -> DataFrame:
+        """(project, files, total_ms, mean_ms): how long tasks took to read the scripts of each project, the slowest first, and of all, project null."""
+        known = self.f["timings"].join(self.ws.files.select("path", "project").distinct(), "path")
+        by = known.rollup("project").agg(F.count("*").alias("files"), (F.sum("took_us") / 1000).alias("total_ms"), (F.avg("took_us") / 1000).alias("mean_ms"))
+        return by.orderBy(F.col("project").isNull(), F.desc("total_ms"), "project")
+
+    def source_files(self) -> DataFrame:
+        """(path, project, imports, exports) of every script that could be read: resolved imports with their targets, and exports."""
+        imports = self.imports.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("source"), "name", "kind", "resolved_path"))).alias("imports"))
+        exports = self.f["exports"].groupBy("path").agg(F.array_sort(F.collect_list(F.struct("n", "name", "kind", "from_module"))).alias("exports"))
+        return self.f["source_files"].join(imports, "path", "left").join(exports, "path", "left").orderBy("path")
+
     def entity_tables(self) -> dict[str, DataFrame]:
         """The decorated classes by kind, each with what its metadata says; standalone defaults to the framework's major version."""
         e = self.f["entities"].join(self.ws.files.select("path", F.col("project").alias("package_name")).distinct(), "path", "left")
@@ -152,7 +166,7 @@ class Analysis:
         exported = self.f["exports"].join(self.f["source_files"], "path").groupBy(F.col("project").alias("name")).agg(F.count("*").alias("exports"))
         projects = usage.coupling(self.ws.projects, deps).join(files, "name", "left").join(exported, "name", "left").fillna(0, ["files", "exports"]).orderBy("name")
         cycles = graph.cycle_groups(graph.scc(matrix.select(F.col("from_project").alias("src"), F.col("to_project").alias("dst"))))
-        return {"projects": projects, "dependencies": matrix.orderBy("from_project", "to_project"), "project_cycles": cycles}
+        return {"projects": projects, "dependencies": matrix.orderBy("from_project", "to_project"), "project_cycles": cycles.orderBy("members")}
 
     def boundaries(self) -> DataFrame:
         """Dependencies that the tag rules don't allow."""

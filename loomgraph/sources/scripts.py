@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import json
 import re
+import time
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from loomgraph.functions.brackets import PAIR, paired, unmarked
 
@@ -72,10 +73,15 @@ def split_statements(text: str | None) -> list[str] | None:
     return [" ".join(s) for s in [*statements, now] if s]
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def statements(content: pd.Series) -> pd.Series:
-    """``split_statements`` of a column."""
-    return content.map(split_statements)
+@F.pandas_udf(StructType([StructField("all", ArrayType(StringType())), StructField("took_us", LongType())]))
+def statements(content: pd.Series) -> pd.DataFrame:
+    """``split_statements`` of a column, and the microseconds that each text took."""
+    found, took = [], []
+    for text in content:
+        began = time.perf_counter_ns()
+        found.append(split_statements(text))
+        took.append((time.perf_counter_ns() - began) // 1000)
+    return pd.DataFrame({"all": pd.Series(found, dtype=object), "took_us": took})
 
 
 _STRING = r'"(?:[^"\\]|\\.)*"'
@@ -102,10 +108,19 @@ def identifiers(stmt: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda n: n != ""))
 
 
+def lexed(files: DataFrame, *kept: str) -> DataFrame:
+    """(path, .., all, took_us): the statements of each file, null where brackets don't match, and the time it took; columns named in ``kept`` stay."""
+    return files.select("path", *kept, statements("content").alias("s")).select("path", *kept, "s.all", "s.took_us")
+
+
 def units(files: DataFrame) -> DataFrame:
+    """``units_of`` files (path, content)."""
+    return units_of(lexed(files))
+
+
+def units_of(split: DataFrame) -> DataFrame:
     """(path, n, stmt, marked, head, flat) of every statement, ``marked`` with brackets by pairs; files whose brackets don't match have none."""
-    split = files.select("path", statements("content").alias("all")).where("all is not null")
-    out = split.select("path", F.posexplode("all").alias("n", "stmt"))
+    out = split.where("all is not null").select("path", F.posexplode("all").alias("n", "stmt"))
     bare = F.regexp_replace("marked", _DECORATORS, "")
     return out.withColumn("marked", paired("stmt")).withColumn("head", unmarked(bare)).withColumn("flat", unmarked(_flat(bare)))
 

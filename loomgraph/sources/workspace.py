@@ -14,6 +14,7 @@ from loomgraph.operators.prefix_join import project_of
 from loomgraph.operators.resolve import file_candidates
 from loomgraph.scratch import stored
 from loomgraph.sources import scripts
+from loomgraph.sources.store import FactStore
 from loomgraph.sources.tree import FILE, FOLDER, Tree, known_links, open_tree
 
 _PROJECT = "name string, sourceRoot string, prefix string, tags array<string>, projectType string"
@@ -171,15 +172,17 @@ def _standalone(config: DataFrame) -> bool:
     return bool(row and row["v"] is not None and row["v"] >= 19)
 
 
-def facts(ws: Workspace) -> dict[str, DataFrame]:
-    """All fact tables of the workspace's scripts."""
+def facts(ws: Workspace, store: FactStore | None = None) -> dict[str, DataFrame]:
+    """All fact tables of the workspace's scripts; with a ``store`` only files that it doesn't know are lexed."""
     source = ws.files.where(~F.col("path").endswith(".html"))
-    u = stored(scripts.units(source), "units")
+    read = stored(scripts.lexed(source) if store is None else store.statements(source), "statements")
+    u = stored(scripts.units_of(read), "units")
     out = {name: getattr(scripts, name)(u) for name in ("imports", "dynamic_imports", "exports", "used_names", "local_references", "jsx_usages", "react_components", "entities")}
     out = {name: stored(df, name.replace("_", "-")) for name, df in out.items()}
     parsed = u.select("path").distinct()
     empty = source.select("path").where(F.trim(F.coalesce("content", F.lit(""))) == "")
     out["source_files"] = source.join(parsed.unionByName(empty).distinct(), "path", "left_semi").select("path", "project")
+    out["timings"] = read.select("path", "took_us")
     ordered = Window.partitionBy("path").orderBy("n", "k")
     out["imports"] = out["imports"].withColumn("ord", F.row_number().over(ordered))
     return out
