@@ -39,17 +39,25 @@ _BAD = _REPLIES | frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar widget menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies"
     " consent notice alert popup modal newsletter subscribe share sharing social login search complementary contentinfo".split()
 )
+#: Words that say what part of a page something is, and nothing about what is in it; with words of boilerplate they make a name of boilerplate.
+_PARTS = frozenset(
+    "box area block blocks wrap wrapper container list bar inner outer item items link links button buttons icon icons top bottom left right site page pages global main primary secondary slot unit zone section content"
+    " panel row col column thread form signup post posts entry article articles story stories blog news count meta policy sticky fixed inline media tools tool module mod region group body title text message overlay toggle body root layout"
+    " rail desktop mobile google native space placeholder label image img video player feed more latest popular user users reader readers".split()
+)
 _STATES = frozenset("has no with without is not".split())
 _OF_TEXT = frozenset("post entry article story title page section".split())
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
 
-def _hinted(attrs: str, in_main: bool) -> str | None:
-    """The word of boilerplate that an element's class names, id or role consist of, if any.
+def _hinted(attrs: str, in_main: bool) -> tuple[str | None, bool]:
+    """The word of boilerplate that an element's class names, id or role hold, if any, and whether the whole name is of such words.
 
     Whole names count, and parts of class names that aren't states (has-sidebar) or parts of a text
-    (post-header); a header within an article is its own. An id counts in whole, without its number.
+    (post-header); a header within an article is its own. An id counts in whole, without its number. A name is of boilerplate if its other
+    parts are only such as say what part of a page it is, or a short prefix: comment-list and xy-share are, social-science isn't.
     """
+    part = None
     for kind, value in _NAMES.findall(attrs):
         for name in value.strip("\"'").lower().split():
             parts = [x for x in re.split(r"[-_]+", name) if x and not x.isdigit()]
@@ -57,8 +65,16 @@ def _hinted(attrs: str, in_main: bool) -> str | None:
                 continue
             for x in parts:
                 if x in _BAD and not (x in ("header", "notice", "search") and (in_main or parts[0] in _OF_TEXT) and (len(parts) > 1 or x == "header")):
-                    return x
-    return None
+                    if all(y in _BAD or y in _PARTS or (i == 0 and len(y) <= 3) for i, y in enumerate(parts)):
+                        return x, True
+                    part = part or x
+    return part, False
+
+
+#: How lines begin that say whose a page is.
+_OWNER = re.compile(r"\W{0,3}(?:©|\(c\)|copyright\b)", re.I)
+#: Words that such a line has at most.
+_OWNER_WORDS = 30
 
 
 FEATURES = ("place", "aside", "heading", "words", "link_density", "words_before", "links_before", "words_after", "links_after")
@@ -212,14 +228,14 @@ class _Element:
         self.around = False  # whether an article or main element in it makes it no boilerplate
         inside = up is not None and up.main
         if tag in _ASIDE or (tag == "header" and not inside) or _HIDDEN.search(attrs):
-            self.bad, self.around = True, tag == "form"
+            self.bad, self.around = True, tag in ("form", "nav", "menu")  # none of them holds an article unless its end is missing
         elif "=" in attrs and tag not in ("html", "body"):
-            word = _hinted(attrs, inside or tag in _MAIN)
+            word, whole = _hinted(attrs, inside or tag in _MAIN)
             if word and tag in _MAIN:
-                self.bad = word in _REPLIES or word.startswith(("ad", "sponsor", "promo"))
+                self.bad = whole and (word in _REPLIES or word.startswith(("ad", "sponsor", "promo")))
             elif word and tag in _TEXTS:
                 self.weak = True
-            elif word:
+            elif word and whole:
                 self.bad, self.around = True, word not in _REPLIES
 
     def aside(self) -> float:
@@ -289,7 +305,8 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
             stack.append(element)
     add(page[at:])
     close()
-    known = [(e is not None and e.main, e.aside() if e is not None else 0.0, e is not None and e.heading, words, links) for _, e, words, links in found]
+    owner = lambda text, e, words: (e is None or not e.main) and words <= _OWNER_WORDS and _OWNER.match(text) is not None
+    known = [(e is not None and e.main, 1.0 if owner(text, e, words) else e.aside() if e is not None else 0.0, e is not None and e.heading, words, links) for text, e, words, links in found]
     edge = (0, 0, 0, 0, 0.0)
     out = []
     for i, (main, aside, heading, words, links) in enumerate(known):

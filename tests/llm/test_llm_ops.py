@@ -94,6 +94,11 @@ def test_license_notices_with_an_edit_at_any_place(spark):
         (f"<article><p>Text.</p><p class='notice'>{'word ' * 30}</p></article>", "Text.\n\n" + ("word " * 30).strip()), ("<article><p>one <svg class=x/> two</p><p>last</p></article>", "one two\n\nlast"),
         ("<noscript><article><p>Without scripts.</p></article>", "Without scripts."), ("<form><main><p>Text of it.</p><select><option>no</option></select></main></form>", "Text of it."),
         ("<article><p>x <math><mi>y</mi></math></p></article>", "x y"), ("<div class=sidebar><article><p>T</p><div id=comments><article class=reply>no</article></div></article></div>", "T"),
+        ("<article><p>One.</p><div class='social-science'><p>Two of it.</p></div><section class='related-work'><h2>Related work</h2><p>Three.</p></section></article>", "One.\n\nTwo of it.\n\nRelated work\n\nThree."),
+        ("<nav><a href=1>Home</a><article><p>After a menu without end.</p></article>", "After a menu without end."),
+        ("<article><p>T</p><div class='td-social-share'>no</div><div class='comment-list'>no</div><div class='related-posts'>no</div><div class='ad-hoc-notes'>Kept notes of it.</div></article>", "T\n\nKept notes of it."),
+        ("<div><p>" + "Long text of a page. " * 12 + "</p></div><div>Copyright 2020 Someone and Sons</div><div>© 2021 us</div>", ("Long text of a page. " * 12).strip()),
+        ("<article><p>Copyright is a right.</p></article>", "Copyright is a right."),
         ("<div id='header'><p>Site name here</p></div><div class='cookie-notice'>We use cookies</div><main>Yes.</main>", "Yes."), ("<article>" + "<p>long</p>" * 20_000 + "</article>", "\n\n".join(["long"] * 20_000)),
     ],
 )
@@ -240,6 +245,33 @@ def test_line_dedup_settles_whole_groups(spark, seed):
     assert 20 < len({top(i) for i in range(len(lines))}) < len(lines) - 20
 
 
+def plain_best_fit(lengths, sources, clusters, capacity):
+    """All bins tried for each piece, the tightest that may take it, then the oldest."""
+    bins, out = [], []
+    for n, s, c in zip(lengths, sources, clusters):
+        fits = [(b[0], i) for i, b in enumerate(bins) if b[0] >= n and s not in b[1] and c not in b[2]]
+        i = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append([capacity, set(), set(), 0])
+        out.append((i, bins[i][3]))
+        bins[i] = [bins[i][0] - n, bins[i][1] | {s}, bins[i][2] | {c}, bins[i][3] + 1]
+    return out
+
+
+@pytest.mark.parametrize(("kinds", "copies"), [(3, 1), (30, 4), (500, 60), (1, 1)])
+def test_best_fit_is_the_tightest_compatible_bin(kinds, copies):
+    rng = random.Random(kinds)
+    lengths = sorted((rng.choice([0, 1, rng.randint(0, 100), rng.randint(0, 30)]) for _ in range(500)), reverse=True)
+    sources, clusters = [rng.choice([None, *range(kinds)]) for _ in lengths], [rng.randrange(500 // copies) for _ in lengths]
+    assert packing.best_fit(lengths, sources, clusters, 100) == plain_best_fit(lengths, sources, clusters, 100)
+
+
+def test_packing_does_not_depend_on_partitions(spark):
+    rows = [(i % 150, t, f"s{i % 7}") for i, t in enumerate(sentences(31, 200, 20))] + [(7, "same words", "s")] * 9
+    found = [sorted(map(str, packing.pack(documents(spark, rows).repartition(n), capacity=64, shard_rows=40).collect())) for n in (1, 6)]
+    assert found[0] == found[1]
+
+
 @pytest.mark.parametrize("capacity", [7, 64])
 def test_packing(spark, capacity):
     rng = random.Random(capacity)
