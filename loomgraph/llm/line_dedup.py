@@ -9,13 +9,13 @@ first in the corpus stays.
 
 A bucket is never expanded into its pairs. Its members are verified against its first, whatever their
 signatures say. Where that leaves them in several components, those of the smallest are compared with all by
-what they differ from the first in, and if there are many such, ``settled`` finds the links between
-components exactly, by prefixes of these differences.
+what they differ from the first in. What is still in several components is compared so in whole if the comparisons are few for each member of a
+bucket, and else ``settled`` finds the links between components exactly, by prefixes of these differences.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import components, own_columns, row_of, stored, text_key
@@ -25,6 +25,10 @@ from loomgraph.scratch import discard
 CHARS = 8
 SIMILARITY = 0.8
 SLOTS = 12
+#: Shingles of a line above which 31-bit names of what two lines differ in may collide more than twice.
+LONG = 10_000
+#: What buckets hold in several components is compared at once if that takes at most so many pairs for each member of a bucket.
+AT_ONCE = 4
 #: Every slot is in two bands. A pair at 0.8 shares one in 99.5 % of cases.
 BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 3, 6), (1, 4, 9), (2, 7, 10), (5, 8, 11))
 
@@ -82,23 +86,31 @@ def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return sizes.select("a", "b", (shared / F.col("all") >= SIMILARITY).alias("near"), (F.col("all") - F.size("y")).alias("n"), F.transform(F.concat("x", "y"), lambda s: s.bitwiseAND(2**31 - 1).cast("int")).alias("apart"))
 
 
-def within(met: DataFrame, beside: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+def comparisons(met: DataFrame, found: DataFrame) -> int:
+    """How many pairs of members of different components it takes, at most, to compare all of each group of ``met`` (g, id) that are not in its largest component with all."""
+    held = met.select("g", "id").join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sizes = held.groupBy("g", "root").agg(F.count("*").alias("m")).groupBy("g").agg(F.sum("m").alias("n"), F.max("m").alias("most"))
+    return sizes.agg(F.sum(F.col("n") * (F.col("n") - F.col("most")))).first()[0] or 0
+
+
+def within(met: DataFrame, beside: DataFrame, found: DataFrame, firsts_of: int = FIRSTS) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of different components that may be alike, and what groups are left to settle (g, id).
 
     ``met`` (g, id, first) are groups and ``beside`` tells what their members differ from the first in. Of
-    each group that is still in several components, ``FIRSTS`` members, those of its smallest components,
-    are compared with all others by these differences alone, which is exact but for collisions of hashes,
-    and those get two elements' room; groups with more such members are left.
+    each group that is still in several components, ``firsts_of`` members, those of its smallest components,
+    are compared with all others by these differences alone, which is exact but for collisions of 31-bit names: pairs get two elements' room,
+    and lines of so many shingles that more may collide are not told apart here. Groups with more such members are left.
     """
     held = met.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
     several = held.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("g")
     held = stored(held.join(several, "g").join(beside.select(F.col("a").alias("id"), F.col("b").alias("first"), "n", "apart"), ["id", "first"]), "line-held")
     sizes = held.groupBy("g", "root").agg(F.count("*").alias("m"))
     rank = F.row_number().over(Window.partitionBy("g").orderBy("m", "root", "id"))
-    firsts = stored(held.select("g", "id", "root").join(sizes, ["g", "root"]).withColumn("rank", rank).where(F.col("rank") <= FIRSTS).select("g", "id"), "line-firsts")
+    firsts = stored(held.select("g", "id", "root").join(sizes, ["g", "root"]).withColumn("rank", rank).where(F.col("rank") <= firsts_of).select("g", "id"), "line-firsts")
     some = held.join(firsts, ["g", "id"]).select("g", F.col("id").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("b_n"), F.col("apart").alias("b_apart"))
     differ = F.size("apart") + F.size("b_apart") - 2 * F.size(F.array_intersect("apart", "b_apart"))
     alike = differ <= (F.col("n") + F.col("b_n")) * (1 - SIMILARITY) / (1 + SIMILARITY) + 2
+    alike = alike | (F.greatest("n", "b_n") > LONG)
     pairs = held.join(some, "g").where("root <> b_root").where(alike).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
     pairs = stored(pairs, "line-pairs")
     left = stored(held.select("g", "id").join(firsts, ["g", "id"], "left_anti"), "line-left")
@@ -127,7 +139,8 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.get("slots", F.lit(i)) for i in band]) for b, band in enumerate(BANDS)])
     buckets = signed.select("id", F.explode(keys).alias("g"))
     firsts = stored(buckets.groupBy("g").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("g", "first"), "line-firsts")
-    met = stored(buckets.join(firsts, "g").where("id <> first"), "line-met")
+    seen = Observation()
+    met = stored(buckets.join(firsts, "g").where("id <> first").observe(seen, F.count("*").alias("n")), "line-met")
     star = stored(met.select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "line-star")
     wanted = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
     named = stored(wanted.join(signed, "id").select("id", "h1", "h2"), "line-wanted")
@@ -136,12 +149,24 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = beside.where("near").select("a", "b")
     found = components(near, "line-classes")
     pairs, left = within(met, beside, found)
+    tables = [pairs, left]
+
+    def linked(found: DataFrame, pairs: DataFrame) -> DataFrame:
+        links = stored(verified(pairs, texts), "line-near")
+        tables.append(links)
+        return found if links.isEmpty() else components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(links), "line-classes")
+
+    found = linked(found, pairs)
+    if comparisons(left, found) <= AT_ONCE * seen.get["n"]:
+        rest, none_left = within(met.join(left, ["g", "id"], "left_semi"), beside, found, 2**31 - 1)
+        tables += [rest, none_left]
+        found = linked(found, rest)
+    else:
+        found = settled(left, found, texts, compared, verified, "line", SIMILARITY)
     discard(beside)
-    links = stored(verified(pairs, texts), "line-near")
-    if not links.isEmpty():
-        found = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(links), "line-classes")
-    found = settled(left, found, texts, compared, verified, "line", SIMILARITY)
-    for table in (firsts, met, star, named, texts, pairs, left, links):
+    for table in tables:
+        discard(table)
+    for table in (firsts, met, star, named, texts):
         discard(table)
     return signed, found
 
