@@ -338,7 +338,11 @@ def extract(pages: DataFrame, html_col: str = "html", name: str = "text", tree=N
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The main text of every page."""
+    """The main text of every page.
+
+    Null and empty pages have an empty text; rows with null ids or urls and repeated rows stay, each with its result;
+    pages of any length are read whole. Empty in, empty out.
+    """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 

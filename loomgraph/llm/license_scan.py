@@ -146,7 +146,11 @@ def spans(docs: DataFrame, k: int = 2, drift: int = 3, covered: float = 0.8, id_
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licenses of every document: base phrases and their places, and labels of all templates."""
+    """Licenses of every document: base phrases and their places, and labels of all templates.
+
+    Null and empty texts have no words, no places and score 0; repeated rows repeat their result, null ids stay; of
+    places that tie all count. Texts are read whole; empty in, empty out; other columns are ignored.
+    """
     found = spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("spans", lambda s: s.is_base)
     starts = F.transform(base, lambda s: s.first)

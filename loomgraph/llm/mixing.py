@@ -88,7 +88,11 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, tempera
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copies of every document that the mix draws, in the mix's order."""
+    """Copies of every document that the mix draws, in the mix's order.
+
+    Null texts count as empty, a null source is a source, null ids draw as one id and rows of one id share a draw; copies that tie
+    in the order's hash may come either way. Empty in, empty out.
+    """
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "source", F.col("mix_copy").alias("copy"), F.round("mix_rate", 6).alias("rate"), "mix_order")
 

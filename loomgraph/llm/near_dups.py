@@ -272,7 +272,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's near-duplicate class, and whether it is the one that stays."""
+    """Every document's near-duplicate class, and whether it is the one that stays.
+
+    Null and empty texts and all without words are one class; equal texts are in one class, repeated rows repeat their result, and
+    rows of the class' smallest id are all marked kept. Null ids are never kept. Texts of any length count in whole. Empty in, empty out.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     keyed = docs.select("doc_id", key_of("text").alias("key"))
     return keyed.join(near_classes(docs), "key").select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
