@@ -69,6 +69,20 @@ def by_priority(declared: DataFrame, keys: list[str], value: str, priority: str)
     return declared.groupBy(*keys).agg(F.max_by(value, priority).alias(value))
 
 
+#: Ways in which a symbol is used, in the order of reports.
+WAYS = ("Import", "Template", "Jsx", "LazyLoad")
+
+
+def uses_of(uses: DataFrame, declared: DataFrame, on: str, is_test: Column) -> DataFrame:
+    """Those of ``uses`` (via, ``on``, ...) that lead to one of ``declared``, and whether tests make them; templates are no tests."""
+    return uses.join(declared.select(on), on, "left_semi").withColumn("test", is_test & (F.col("via") != "Template"))
+
+
+def rank_of_way(via: Column) -> Column:
+    """The place of a way of use among ``WAYS``, from 1."""
+    return F.array_position(F.array(*[F.lit(w) for w in WAYS]), via)
+
+
 def new_findings(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """Keys of ``current`` that ``baseline`` lacks, each once."""
     return current.select("key").subtract(baseline.select("key"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import markup, paths
-from loomgraph.operators import graph, usage
+from loomgraph.operators import findings, graph, usage
 from loomgraph.operators.prefix_join import project_of
 from loomgraph.operators.resolve import follow_barrels, import_type, resolve
 from loomgraph.operators.within import alive_within
@@ -274,12 +274,11 @@ class Analysis:
         shown = self.template_usages.where(F.col("target") == symbol).select(F.col("component_path").alias("file"), F.col("target_path").alias("declared_in"))
         jsx = self._rendered().where(F.col("component") == symbol).select(F.col("path").alias("file"), F.col("target").alias("declared_in")).distinct()
         lazy = self.lazy.select(F.col("path").alias("file"), F.col("resolved_path").alias("declared_in"))
-        every = arm(imported, "Import").unionByName(arm(shown, "Template")).unionByName(arm(jsx, "Jsx")).unionByName(arm(lazy, "LazyLoad")).join(target, "declared_in", "left_semi")
-        placed = self._placed(every, "file", "project").withColumn("test", paths.is_test_file(F.col("file")) & (F.col("via") != "Template"))
+        every = arm(imported, "Import").unionByName(arm(shown, "Template")).unionByName(arm(jsx, "Jsx")).unionByName(arm(lazy, "LazyLoad"))
+        placed = self._placed(usage.uses_of(every, target, "declared_in", paths.is_test_file(F.col("file"))), "file", "project")
         if from_project is not None:
             placed = placed.where(F.col("project") == from_project)
-        order = F.create_map(*[F.lit(x) for kv in (("Import", 0), ("Template", 1), ("Jsx", 2), ("LazyLoad", 3)) for x in kv])
-        return {"declarations": declared.orderBy("path"), "usages": placed.orderBy("file", order[F.col("via")]), "by_project": placed.groupBy("project").agg(F.count("*").alias("usages")).orderBy("project")}
+        return {"declarations": declared.orderBy("path"), "usages": placed.orderBy("file", usage.rank_of_way(F.col("via"))), "by_project": placed.groupBy("project").agg(F.count("*").alias("usages")).orderBy("project")}
 
     # --- findings
 
@@ -298,16 +297,10 @@ class Analysis:
         lost = u["orphan_files"].select("file", stem.alias("stem")).join(quoted, "stem").where("at <> file")
         return {"exports": exports, "orphans": lost.groupBy("file").agg(F.count("*").alias("mentioned_in")).orderBy("file")}
 
+    def found(self) -> dict[str, DataFrame]:
+        """The tables of all analyses that report findings, by name."""
+        return self.unused() | {"file_cycles": self.file_cycles(), "project_cycles": self.stats()["project_cycles"], "boundaries": self.boundaries()}
+
     def finding_keys(self) -> DataFrame:
         """The keys of all findings, each once."""
-        u, cycles = self.unused(), F.array_join("members", "->")
-        key = lambda df, fmt, *cols: df.select(F.format_string(fmt, *cols).alias("key"))
-        arms = [
-            key(u["unused_exports"], "unused:%s:%s", "file", "name"), key(u["test_only_exports"], "test-only:%s:%s", "file", "name"), key(u["export_only"], "export-only:%s:%s", "file", "name"),
-            key(u["declared_not_rendered"], "not-rendered:%s:%s", "file", "name"), key(u["unused_imports"], "unused-import:%s:%s:%s", "file", "name", "specifier"), key(u["orphan_files"], "orphan:%s", "file"),
-            key(self.file_cycles(), "cycle:%s", cycles), key(self.stats()["project_cycles"], "project-cycle:%s", cycles), key(self.boundaries(), "boundary:%s->%s:%s", "from_project", "to_project", "source_tag"),
-        ]
-        out = arms[0]
-        for a in arms[1:]:
-            out = out.unionByName(a)
-        return out.distinct()
+        return findings.finding_keys(self.found())

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import markup, paths, text
-from loomgraph.operators import graph, usage
+from loomgraph.operators import findings, graph, usage
 from loomgraph.operators.links import rewritten
 from loomgraph.operators.prefix_join import project_of
 from loomgraph.operators.resolve import resolve
@@ -226,10 +226,10 @@ def fail_policy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def usages_of_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All uses of one symbol by way of use; its name is pushed down to the scan."""
-    uses = _uses(spark, sf_dir).where("symbol = 7").withColumn("test", F.col("o_orderstatus") == "P")
     arms = (("Import", "l_returnflag = 'N'"), ("LazyLoad", "l_returnflag = 'R'"), ("Jsx", "l_returnflag = 'A' and l_quantity >= 25"), ("Template", "l_returnflag = 'A' and l_quantity < 25"))
     via = F.coalesce(*[F.when(F.expr(c), v) for v, c in arms])  # the arms exclude each other: one pass instead of a union of four
-    uses = uses.withColumn("via", via).where("via is not null").withColumn("test", F.col("test") & (F.col("via") != "Template"))
+    declared = table(spark, sf_dir, "part").where("p_partkey = 7").select(F.col("p_partkey").alias("symbol"))
+    uses = usage.uses_of(_uses(spark, sf_dir).withColumn("via", via).where("via is not null"), declared, "symbol", F.col("o_orderstatus") == "P")
     return uses.groupBy("from_project", "l_suppkey", "via", "test").agg(F.count("*").alias("uses"))
 
 
@@ -511,9 +511,15 @@ def condensation(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def project_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of projects that depend on each other in circles."""
-    deps = _uses(spark, sf_dir).where("l_quantity >= 49 and l_returnflag = 'R' and from_project <> to_project").groupBy("from_project", "to_project").agg(F.count("*").alias("n")).where("n >= 3")
+    return _circles(spark, sf_dir, "R").select("component", "size", F.array_join("members", "->").alias("members"))
+
+
+def _circles(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
+    """(component, size, members) of the circles that the large lines of a flag make."""
+    large = _uses(spark, sf_dir).where((F.col("l_quantity") >= 49) & (F.col("l_returnflag") == flag) & (F.col("from_project") != F.col("to_project")))
+    deps = large.groupBy("from_project", "to_project").agg(F.count("*").alias("n")).where("n >= 3")
     groups = graph.cycle_groups(graph.scc(deps.select(F.col("from_project").alias("src"), F.col("to_project").alias("dst"))))
-    return groups.select("component", "size", F.array_join(F.transform("members", lambda m: m.cast("string")), "->").alias("members"))
+    return groups.select("component", "size", F.transform("members", lambda m: m.cast("string")).alias("members"))
 
 
 @query(
@@ -581,3 +587,52 @@ def sarif_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that may stand within a script."""
     return table(spark, sf_dir, "pages").select("page_id", text.html_safe(F.col("html")).alias("safe"))
+
+
+def _found(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables of all nine analyses that report findings, by the names that ``findings`` knows."""
+    at = lambda kind, c: F.concat(F.lit(f"{kind}/"), F.col(c).cast("string")).alias("file")
+    named = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string")).alias("name")
+    return {
+        "unused_exports": unused_symbols(spark, sf_dir).select(at("part", "symbol"), "name"),
+        "test_only_exports": test_only_symbols(spark, sf_dir).select(at("part", "symbol"), named("p", "symbol")),
+        "export_only": liveness_classes(spark, sf_dir).where("class = 'export_only'").select(at("part", "symbol"), named("p", "symbol")),
+        "declared_not_rendered": wired_not_rendered(spark, sf_dir).select(at("supplier", "entity"), named("s", "entity")),
+        "unused_imports": move_candidates(spark, sf_dir).select(at("supplier", "l_suppkey"), named("p", "symbol"), F.concat(F.lit("@nation/"), F.col("to_project").cast("string")).alias("specifier")),
+        "orphan_files": orphan_nodes(spark, sf_dir).select(at("customer", "node")),
+        "file_cycles": _circles(spark, sf_dir, "A"),
+        "project_cycles": _circles(spark, sf_dir, "R"),
+        "boundaries": boundary_violations(spark, sf_dir),
+    }
+
+
+_FILE_CYCLES = ORACLES["project_cycles"].replace("l_returnflag = 'R'", "l_returnflag = 'A'")
+
+
+@query(
+    f"""SELECT 'unused:part/' || symbol || ':' || name AS key FROM ({ORACLES['unused_symbols']})
+    UNION SELECT 'test-only:part/' || symbol || ':p' || symbol FROM ({ORACLES['test_only_symbols']})
+    UNION SELECT 'export-only:part/' || symbol || ':p' || symbol FROM ({ORACLES['liveness_classes']}) WHERE class = 'export_only'
+    UNION SELECT 'not-rendered:supplier/' || entity || ':s' || entity FROM ({ORACLES['wired_not_rendered']})
+    UNION SELECT 'unused-import:supplier/' || l_suppkey || ':p' || symbol || ':@nation/' || to_project FROM ({ORACLES['move_candidates']})
+    UNION SELECT 'orphan:customer/' || node FROM ({ORACLES['orphan_nodes']})
+    UNION SELECT 'cycle:' || members FROM ({_FILE_CYCLES})
+    UNION SELECT 'project-cycle:' || members FROM ({ORACLES['project_cycles']})
+    UNION SELECT 'boundary:' || from_project || '->' || to_project || ':' || source_tag FROM ({ORACLES['boundary_violations']})"""
+)
+def all_finding_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the findings of all nine analyses, by the forms that baselines hold."""
+    return findings.finding_keys(_found(spark, sf_dir))
+
+
+@query(
+    f"""SELECT 'unused-export' AS rule, 'warning' AS level, name || ' is exported and never used' AS text, 'part/' || symbol AS file FROM ({ORACLES['unused_symbols']})
+    UNION ALL SELECT 'export-only', 'note', 'p' || symbol || ' is used in its own file only', 'part/' || symbol FROM ({ORACLES['liveness_classes']}) WHERE class = 'export_only'
+    UNION ALL SELECT 'declared-not-rendered', 'warning', 's' || entity || ' is declared and never rendered', 'supplier/' || entity FROM ({ORACLES['wired_not_rendered']})
+    UNION ALL SELECT 'orphan-file', 'warning', 'No file imports this one', 'customer/' || node FROM ({ORACLES['orphan_nodes']})
+    UNION ALL SELECT 'circular-dependency', 'warning', replace(members, '->', ' -> '), regexp_extract(members, '^[^-]+') FROM ({_FILE_CYCLES})
+    UNION ALL SELECT 'boundary-violation', 'error', from_project || ' must not depend on ' || to_project || ' (' || source_tag || ')', 'project.json' FROM ({ORACLES['boundary_violations']})"""
+)
+def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of all six rules as the SARIF report has them."""
+    return findings.sarif_results(_found(spark, sf_dir))

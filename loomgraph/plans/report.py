@@ -17,12 +17,10 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import SCRIPT_ESCAPES, mermaid_line, node_id
 from loomgraph.operators import usage
+from loomgraph.operators.findings import SARIF_RULES, sarif_results
 from loomgraph.plans.analyses import Analysis
 from loomgraph.plans.sinks import json_rows, lines, read_keys, write_json, write_keys
 
-#: Rules of the SARIF report and their levels.
-SARIF_RULES = {"unused-export": "warning", "export-only": "note", "declared-not-rendered": "warning", "orphan-file": "warning", "circular-dependency": "warning", "boundary-violation": "error"}
-
 
 def full_report(a: Analysis) -> dict:
     """Every analysis, as a nest of tables for ``write_json``."""
@@ -55,19 +53,8 @@ def file_dot(edges: DataFrame) -> Iterator[str]:
 
 def sarif(a: Analysis) -> dict:
     """Findings of six rules in SARIF 2.1.0, as a nest for ``write_json``."""
-    u = a.unused()
-    arm = lambda df, rule, text, file: df.select(F.lit(rule).alias("rule"), text.alias("text"), file.alias("file"))
-    named = lambda what: F.format_string(f"%s {what}", "name")
-    found = arm(u["unused_exports"], "unused-export", named("is exported and never used"), F.col("file"))
-    for df, rule, text, file in (
-        (u["export_only"], "export-only", named("is used in its own file only"), F.col("file")), (u["declared_not_rendered"], "declared-not-rendered", named("is declared and never rendered"), F.col("file")),
-        (u["orphan_files"], "orphan-file", F.lit("No file imports this one"), F.col("file")), (a.file_cycles(), "circular-dependency", F.array_join("members", " -> "), F.element_at("members", 1)),
-        (a.boundaries(), "boundary-violation", F.format_string("%s must not depend on %s (%s)", "from_project", "to_project", "source_tag"), F.lit("project.json")),
-    ):
-        found = found.unionByName(arm(df, rule, text, file))
-    level = F.create_map(*[F.lit(x) for kv in SARIF_RULES.items() for x in kv])
     place = F.array(F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation")).alias("physicalLocation")))
-    results = found.orderBy("rule", "file", "text").select(F.col("rule").alias("ruleId"), level[F.col("rule")].alias("level"), F.struct("text").alias("message"), place.alias("locations"))
+    results = sarif_results(a.found()).orderBy("rule", "file", "text").select(F.col("rule").alias("ruleId"), "level", F.struct("text").alias("message"), place.alias("locations"))
     driver = {"name": "loomgraph", "rules": [{"id": r, "defaultConfiguration": {"level": level}} for r, level in SARIF_RULES.items()]}
     return {"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": _one({"tool": {"driver": driver}, "results": results})}
 
