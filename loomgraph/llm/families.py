@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import components, stored
@@ -16,6 +16,8 @@ from loomgraph.scratch import discard
 
 #: With so many of its members the others of a group are compared in a round.
 FIRSTS = 32
+#: The same where sketches tell which pairs are worth verifying.
+SCREENED = 512
 #: A token that ``compare`` may give every member: it comes last in every order.
 LAST = -(2**63)
 
@@ -46,7 +48,7 @@ def _partnered(dealt: DataFrame) -> DataFrame:
 Step = Callable[[DataFrame], DataFrame]
 
 
-def settled(groups: DataFrame, found: DataFrame, texts: DataFrame, compare: Step, verified: Callable[[DataFrame, DataFrame], DataFrame], label: str, similarity: float, small: Step | None = None, small_rows: int = 0) -> DataFrame:
+def settled(groups: DataFrame, found: DataFrame, texts: DataFrame, compare: Step, verified: Callable[[DataFrame, DataFrame], DataFrame], label: str, similarity: float, small: Step | None = None, small_rows: int = 0, screen: tuple[DataFrame, Callable[[str], Column]] | None = None) -> DataFrame:
     """``found`` (id, root) with every link between members of one of ``groups`` (g, id) added; ``texts`` is (id, text).
 
     Groups with members of several components form families, each with a pivot p from its largest
@@ -63,8 +65,11 @@ def settled(groups: DataFrame, found: DataFrame, texts: DataFrame, compare: Step
 
     Of each group made so the ``FIRSTS`` members with most room left are verified against all, and what is
     still in several components goes on without them, so rounds end. No link is missed and no group is expanded into its pairs. With ``small``,
-    families of at most ``small_rows`` members are linked by it instead, from (family, id, root, text).
+    families of at most ``small_rows`` members are linked by it instead, from (family, id, root, text). ``screen`` is a
+    table (id, ...) of sketches and a condition that rows hold whose text may be alike to the one whose sketch's columns have the
+    prefix given; pairs that don't hold it aren't verified, and ``SCREENED`` members instead of ``FIRSTS`` meet all in a round.
     """
+    first_count = FIRSTS if screen is None else SCREENED
     while True:
         held = mixed(groups, found, label)
         if held.isEmpty():
@@ -100,9 +105,13 @@ def settled(groups: DataFrame, found: DataFrame, texts: DataFrame, compare: Step
         dealt_on = _partnered(dealt)
         several = dealt_on.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("g")
         met = stored(dealt_on.join(several, "g"), f"{label}-met")
-        firsts = met.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("main", F.col("slack").desc(), "id"))).where(F.col("rank") <= FIRSTS)
+        firsts = met.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("main", F.col("slack").desc(), "id"))).where(F.col("rank") <= first_count)
         firsts = stored(firsts.select("g", *[F.col(c).alias(f"first_{c}") for c in ("id", "root", "slack", "lo", "hi")]), f"{label}-firsts")
-        pairs = met.join(firsts, "g").where("root <> first_root and slack + first_slack >= 0 and lo <= first_hi and first_lo <= hi")
+        ours, theirs, fits = met, firsts, F.lit(True)
+        if screen is not None:
+            sketch, fits = screen[0], screen[1]("first_")
+            ours, theirs = met.join(sketch, "id"), firsts.join(sketch.select(*[F.col(c).alias(f"first_{c}") for c in sketch.columns]), "first_id")
+        pairs = ours.join(theirs, "g").where("root <> first_root and slack + first_slack >= 0 and lo <= first_hi and first_lo <= hi").where(fits)
         pairs = pairs.select(F.greatest("id", "first_id").alias("a"), F.least("id", "first_id").alias("b"))
         links = stored(links.unionByName(verified(pairs.distinct(), texts)), f"{label}-near")
         last, groups = groups, stored(met.select("g", "id").join(firsts.select("g", F.col("first_id").alias("id")), ["g", "id"], "left_anti"), f"{label}-groups")

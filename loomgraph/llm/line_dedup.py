@@ -7,14 +7,17 @@ candidates with high recall; exact Jaccard similarity of the whole lines verifie
 components over what is verified say which lines are one, and of each component the line that comes
 first in the corpus stays.
 
-A bucket is never expanded into its pairs. Its members are verified against its first, whatever their
-signatures say. Where that leaves them in several components, those of the smallest are compared with all by
-what they differ from the first in. What is still in several components is compared so in whole if the comparisons are few for each member of a
-bucket, and else ``settled`` finds the links between components exactly, by prefixes of these differences.
+A bucket's pairs are never written. Its members are verified against its first. Where that leaves them in several components, those of
+the smallest meet all others: a sketch of 1024 bits, the parity of the shingles that fall on each, tells without a text which pairs cannot
+be alike, and never takes an alike pair for one; only the others are verified. What is still in several components is compared so in whole if
+the comparisons are few for each member of a bucket, and else ``settled`` finds the links between components by prefixes of their differences.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +28,10 @@ from loomgraph.scratch import discard
 CHARS = 8
 SIMILARITY = 0.8
 SLOTS = 12
-#: Shingles of a line above which 31-bit names of what two lines differ in may collide more than twice.
-LONG = 10_000
-#: What buckets hold in several components is compared at once if that takes at most so many pairs for each member of a bucket.
-AT_ONCE = 4
+#: Words of 64 bits in a line's sketch, a power of two.
+WORDS = 16
+#: The sketches of what buckets hold in several components are compared at once if that takes at most so many pairs for each member of a bucket.
+AT_ONCE = 256
 #: Every slot is in two bands. A pair at 0.8 shares one in 99.5 % of cases.
 BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 3, 6), (1, 4, 9), (2, 7, 10), (5, 8, 11))
 
@@ -78,12 +81,27 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return lines.where(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")) >= SIMILARITY).select("a", "b")
 
 
-def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, near, n, apart) of ``pairs`` (a, b): whether they are alike, a's number of shingles, and 31 bits of those that one of them has."""
-    sets = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y"))
-    sizes = sets.select("a", "b", F.size(F.array_union("x", "y")).alias("all"), F.array_except("x", "y").alias("x"), F.array_except("y", "x").alias("y"))
-    shared = F.col("all") - F.size("x") - F.size("y")
-    return sizes.select("a", "b", (shared / F.col("all") >= SIMILARITY).alias("near"), (F.col("all") - F.size("y")).alias("n"), F.transform(F.concat("x", "y"), lambda s: s.bitwiseAND(2**31 - 1).cast("int")).alias("apart"))
+def sketches(texts: DataFrame) -> DataFrame:
+    """(id, n, p0, p1, ...) of ``texts`` (id, text): a line's number of distinct shingles, and for each of 1024 places whether an odd number of them fall there."""
+    each = texts.select("id", F.explode(F.array_distinct(shingles(F.col("text")))).alias("s"))
+    placed = each.select("id", F.col("s").bitwiseAND(WORDS - 1).alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(s, 32) & 63 as int))").alias("bit"))
+    odd = [F.coalesce(F.bit_xor(F.when(F.col("word") == i, F.col("bit"))), F.lit(0).cast("long")).alias(f"p{i}") for i in range(WORDS)]
+    return placed.groupBy("id").agg(F.count("*").alias("n"), *odd)
+
+
+def may_be_alike(other: str) -> Column:
+    """Whether a row's line and the one whose sketch has ``other`` before its columns' names may be alike; never false if they are.
+
+    Lines are alike if and only if they differ in at most (|x| + |y|) (1 - t) / (1 + t) shingles, at threshold t. They
+    differ in at least as many as their sizes do, and as their sketches have places apart.
+    """
+    room = (F.col("n") + F.col(f"{other}n")) * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-6
+    apart = reduce(add, [F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"{other}p{i}"))) for i in range(WORDS)])
+    return (F.abs(F.col("n") - F.col(f"{other}n")) <= room) & (apart <= room)
+
+
+def prefixed(sketch: DataFrame, prefix: str) -> list[Column]:
+    return [F.col(c).alias(f"{prefix}{c}") for c in sketch.columns if c != "id"]
 
 
 def comparisons(met: DataFrame, found: DataFrame) -> int:
@@ -93,25 +111,20 @@ def comparisons(met: DataFrame, found: DataFrame) -> int:
     return sizes.agg(F.sum(F.col("n") * (F.col("n") - F.col("most")))).first()[0] or 0
 
 
-def within(met: DataFrame, beside: DataFrame, found: DataFrame, firsts_of: int = FIRSTS) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of different components that may be alike, and what groups are left to settle (g, id).
+def within(met: DataFrame, sketch: DataFrame, found: DataFrame, firsts_of: int = FIRSTS) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different components that may be alike by their ``sketch``, and what groups are left to settle (g, id).
 
-    ``met`` (g, id, first) are groups and ``beside`` tells what their members differ from the first in. Of
-    each group that is still in several components, ``firsts_of`` members, those of its smallest components,
-    are compared with all others by these differences alone, which is exact but for collisions of 31-bit names: pairs get two elements' room,
-    and lines of so many shingles that more may collide are not told apart here. Groups with more such members are left.
+    Of each group of ``met`` (g, id) that is still in several components, ``firsts_of`` members, those of its smallest
+    components, meet all others. Groups with more such members are left.
     """
-    held = met.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    held = met.select("g", "id").join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
     several = held.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("g")
-    held = stored(held.join(several, "g").join(beside.select(F.col("a").alias("id"), F.col("b").alias("first"), "n", "apart"), ["id", "first"]), "line-held")
+    held = stored(held.join(several, "g"), "line-held")
     sizes = held.groupBy("g", "root").agg(F.count("*").alias("m"))
     rank = F.row_number().over(Window.partitionBy("g").orderBy("m", "root", "id"))
-    firsts = stored(held.select("g", "id", "root").join(sizes, ["g", "root"]).withColumn("rank", rank).where(F.col("rank") <= firsts_of).select("g", "id"), "line-firsts")
-    some = held.join(firsts, ["g", "id"]).select("g", F.col("id").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("b_n"), F.col("apart").alias("b_apart"))
-    differ = F.size("apart") + F.size("b_apart") - 2 * F.size(F.array_intersect("apart", "b_apart"))
-    alike = differ <= (F.col("n") + F.col("b_n")) * (1 - SIMILARITY) / (1 + SIMILARITY) + 2
-    alike = alike | (F.greatest("n", "b_n") > LONG)
-    pairs = held.join(some, "g").where("root <> b_root").where(alike).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+    firsts = stored(held.join(sizes, ["g", "root"]).withColumn("rank", rank).where(F.col("rank") <= firsts_of).select("g", "id", "root"), "line-firsts")
+    some = firsts.join(sketch, "id").select("g", F.col("id").alias("b"), F.col("root").alias("b_root"), *prefixed(sketch, "b_"))
+    pairs = held.join(sketch, "id").join(some, "g").where("root <> b_root").where(may_be_alike("b_")).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
     pairs = stored(pairs, "line-pairs")
     left = stored(held.select("g", "id").join(firsts, ["g", "id"], "left_anti"), "line-left")
     discard(held)
@@ -145,11 +158,12 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
     named = stored(wanted.join(signed, "id").select("id", "h1", "h2"), "line-wanted")
     texts = stored(lines_of(docs).join(named, ["h1", "h2"]).groupBy("id").agg(F.min("line").alias("text")), "line-texts")
-    beside = stored(measured(star, texts), "line-beside")
-    near = beside.where("near").select("a", "b")
+    sketch = stored(sketches(texts), "line-sketches")
+    close = star.join(sketch.withColumnRenamed("id", "a"), "a").join(sketch.select(F.col("id").alias("b"), *prefixed(sketch, "b_")), "b").where(may_be_alike("b_")).select("a", "b")
+    near = stored(verified(close, texts), "line-near")
     found = components(near, "line-classes")
-    pairs, left = within(met, beside, found)
-    tables = [pairs, left]
+    pairs, left = within(met, sketch, found)
+    tables = [near, pairs, left]
 
     def linked(found: DataFrame, pairs: DataFrame) -> DataFrame:
         links = stored(verified(pairs, texts), "line-near")
@@ -158,15 +172,14 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     found = linked(found, pairs)
     if comparisons(left, found) <= AT_ONCE * seen.get["n"]:
-        rest, none_left = within(met.join(left, ["g", "id"], "left_semi"), beside, found, 2**31 - 1)
+        rest, none_left = within(left, sketch, found, 2**31 - 1)
         tables += [rest, none_left]
         found = linked(found, rest)
     else:
-        found = settled(left, found, texts, compared, verified, "line", SIMILARITY)
-    discard(beside)
+        found = settled(left, found, texts, compared, verified, "line", SIMILARITY, screen=(sketch, may_be_alike))
     for table in tables:
         discard(table)
-    for table in (firsts, met, star, named, texts):
+    for table in (firsts, met, star, named, texts, sketch):
         discard(table)
     return signed, found
 

@@ -200,6 +200,24 @@ def test_line_dedup(spark):
     assert line_dedup.deduplicated(documents(spark, [])).count() == 0
 
 
+def test_line_sketches_never_part_alike_lines(spark):
+    """Lines with repeated shingles, below a shingle's length, with characters outside the basic plane and of 60,000 characters."""
+    from pyspark.sql import functions as F
+
+    base = sentences(9, 1, 40)[0]
+    long = " ".join(sentences(11, 30, 300))
+    lines = ["", "ab", "ab", "ababababababab" * 9, "ababababababab" * 8 + "c", base, base + " \U0001f600", base[6:], base * 3, base * 4, long, long[4000:], "x" + long]
+    sets = [{x[k : k + 8] for k in range(len(x) - 7)} or {x} for x in lines]
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, text string")
+    sketch = common.stored(line_dedup.sketches(texts), "line-sketches")
+    assert {r["id"]: r["n"] for r in sketch.collect()} == {i: len(s) for i, s in enumerate(sets)}
+    other = sketch.select(F.col("id").alias("b"), *line_dedup.prefixed(sketch, "b_"))
+    kept = {(r["id"], r["b"]) for r in sketch.join(other, F.col("id") < F.col("b")).where(line_dedup.may_be_alike("b_")).collect()}
+    for i, j in itertools.combinations(range(len(lines)), 2):
+        assert (i, j) in kept or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 0.8
+    assert (5, 10) not in kept and (1, 5) not in kept
+
+
 def test_line_dedup_blocks_join_components(spark):
     """A chain of lines each near the next one only is one component, whatever the buckets' first lines are."""
     words = sentences(5, 1, 60)[0].split()
@@ -212,8 +230,9 @@ def test_line_dedup_blocks_join_components(spark):
     assert sorted(r["doc_id"] for r in out if r["text"]) == [0]
 
 
+@pytest.mark.parametrize("screened", [False, True])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_line_dedup_settles_whole_groups(spark, seed):
+def test_line_dedup_settles_whole_groups(spark, seed, screened, monkeypatch):
     """One group of edited, cut and unrelated lines, a stranger first and nothing linked yet, against all pairs."""
     rng = random.Random(seed)
     lines = sentences(seed + 50, 4, 25)
@@ -239,9 +258,16 @@ def test_line_dedup_settles_whole_groups(spark, seed):
     groups = spark.createDataFrame([(7, i) for i in range(len(lines))], "g long, id long")
     nothing = spark.createDataFrame([], "id long, root long")
     texts = spark.createDataFrame(list(enumerate(lines)), "id long, text string")
-    found = families.settled(groups, nothing, texts, line_dedup.compared, line_dedup.verified, "line", line_dedup.SIMILARITY)
+    sketch = common.stored(line_dedup.sketches(texts), "line-sketches")
+    monkeypatch.setattr(families, "SCREENED", 20)  # so that groups take several rounds
+    found = families.settled(groups, nothing, texts, line_dedup.compared, line_dedup.verified, "line", line_dedup.SIMILARITY, screen=(sketch, line_dedup.may_be_alike) if screened else None)
     found = {r["id"]: r["root"] for r in found.collect()}
     assert {i: found.get(i, i) for i in range(len(lines))} == {i: top(i) for i in range(len(lines))}
+    if screened:
+        pairs, left = line_dedup.within(groups, sketch, nothing, 2**31 - 1)
+        pairs = {(r["a"], r["b"]) for r in pairs.collect()}
+        alike = {(j, i) for i, j in itertools.combinations(range(len(lines)), 2) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
+        assert alike <= pairs and len(pairs) < 2 * len(alike) and left.isEmpty()
     assert 20 < len({top(i) for i in range(len(lines))}) < len(lines) - 20
 
 
