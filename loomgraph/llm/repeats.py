@@ -1,14 +1,14 @@
 """Exact removal of repeated passages: every byte of a 100-byte string that also starts earlier.
 
-The suffixes of all texts are radix sorted, most significant digit first, and only as deep as the
-threshold: suffixes that agree on every digit up to 100 bytes are exactly the repeated windows, and
-all but the first of them are removed. Three things keep that small:
+No suffixes are sorted here. In place of the digits of a radix sort, passes group by hashes of longer strings, from one
+shorter than the threshold to whole windows, so that equal groups of the last pass are the repeated windows, and all but the first
+of them are removed. No bytes are compared, so results are right but for collisions of 64-bit hashes. Three things keep that small:
 
-* Suffixes are sorted by representatives. Each window is represented by the position of the smallest
+* Passes deal out representatives. Each window is represented by the position of the smallest
   hash among its ``GRAM``-byte strings. Equal windows choose alike, so a run of some dozens of
   windows shares one representative, and only that is dealt out.
-* A digit whose group has one member has no repeated window; it drops out before the next pass.
-  The digits are the representative's gram; then, where a gram's runs of windows don't span equal bytes
+* A string whose group has one member has no repeated window; it drops out before the next pass.
+  The strings are the representative's gram; then, where a gram's runs of windows don't span equal bytes
   throughout, the bytes that ``BLOCK`` neighbouring windows have in common; then single windows.
 * Equal texts are one text from the start.
 
