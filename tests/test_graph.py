@@ -100,6 +100,17 @@ def test_edges_against_the_order_bound_where_cycles_are(spark):
         assert got == components(turned) and trace[0] == "segments" and "coloured" not in trace
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_a_dense_graph_is_joined_up_by_a_few_edges_of_each_node(spark, kind):
+    rng = random.Random(6)
+    name = (lambda n: n) if kind == "long" else (lambda n: f"n{n:03}")
+    pairs = [(name(base + a), name(base + rng.randrange(40))) for base in (0, 100) for a in range(40) for _ in range(25)] + [(name(0), name(100)), (name(300), name(5)), (name(110), name(301))]
+    trace = []
+    components_of = graph.scc(spark.createDataFrame(pairs, f"src {kind}, dst {kind}"), trace)
+    assert {r["node"]: r["component"] for r in components_of.collect()} == components(pairs)
+    assert trace[0] == "picked" and trace.count("coloured") <= 2
+
+
 def test_empty_graphs(spark):
     none = table(spark, [])
     assert graph.scc(none).count() == 0 and graph.reachable(none, spark.createDataFrame([(1,)], "node long")).count() == 0
