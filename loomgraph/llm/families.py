@@ -7,6 +7,8 @@ groups in one component; what is left, members of one group in several component
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +20,10 @@ from loomgraph.scratch import discard
 FIRSTS = 32
 #: The same where sketches tell which pairs are worth verifying.
 SCREENED = 512
+#: In each of these rounds so many members of a group's largest component, and as many others, meet all of it.
+PIVOTS = (3, 4)
+#: Larger groups are dealt out to several tasks.
+DEALT = 8192
 #: A token that ``compare`` may give every member: it comes last in every order.
 LAST = -(2**63)
 
@@ -123,6 +129,62 @@ def settled(groups: DataFrame, found: DataFrame, texts: DataFrame, compare: Step
             discard(last)
 
 
+def places_apart(other: str, words: int) -> Column:
+    """How many bits of p0, p1, ... (``words`` numbers) differ from those of the columns with ``other`` before their names."""
+    return reduce(add, [F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"{other}p{i}"))) for i in range(words)])
+
+
+def merged(found: DataFrame, links: DataFrame, label: str) -> DataFrame:
+    """``found`` (id, root) with ``links`` (a, b) added: only the roots that links lead to are contracted anew."""
+    known = lambda c: found.toDF(c, f"{c}_root")
+    roots = links.join(known("a"), "a", "left").join(known("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    moved = components(roots, f"{label}-roots")
+    kept = found.join(moved.toDF("root", "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+    return stored(kept.unionByName(moved.join(found, "id", "left_anti")), f"{label}-classes")
+
+
+def across(groups: DataFrame, found: DataFrame, sketch: DataFrame, may: Callable[[str], Column], label: str, pivots: int | None = None) -> DataFrame:
+    """Pairs (a, b) of members of different components of one of ``groups`` (g, id) for which ``may`` holds, as for ``settled``.
+
+    All members outside of a group's largest component meet all of its members. With ``pivots``, all
+    members meet only so many of the largest component and so many others, picked at random. Sketches are compared
+    as rows meet, and no other pair is written. Of large groups the members are dealt out, and those that they meet repeated.
+    """
+    held = groups.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sizes = held.groupBy("g", "root").agg(F.count("*").alias("m"))
+    mains = sizes.groupBy("g").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("roots"), F.sum("m").alias("n")).where("roots > 1")
+    deals = F.ceil(F.col("n") / DEALT).cast("int").alias("deals")
+    held = stored(held.join(mains, "g").select("g", "id", "root", (F.col("root") == F.col("main")).alias("main"), deals), f"{label}-held")
+    if pivots is None:
+        firsts, once = held.where(~F.col("main")), F.col("main") | (F.col("id") < F.col("first_id"))
+    else:
+        rank = F.row_number().over(Window.partitionBy("g", "main").orderBy(F.xxhash64("id", F.lit(pivots)), "id"))
+        firsts, once = held.withColumn("rank", rank).where(F.col("rank") <= pivots).drop("rank"), F.lit(True)
+    copies = firsts.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).join(sketch, "id")
+    copies = copies.select("g", "deal", *[F.col(c).alias(f"first_{c}") for c in ("id", "root", *sketch.columns[1:])])
+    dealt = held.withColumn("deal", F.pmod(F.hash("id"), F.col("deals"))).join(sketch, "id")
+    pairs = dealt.join(copies, ["g", "deal"]).where(F.col("root") != F.col("first_root")).where(once).where(may("first_"))
+    pairs = stored(pairs.select(F.greatest("id", "first_id").alias("a"), F.least("id", "first_id").alias("b")).distinct(), f"{label}-pairs")
+    discard(held)
+    return pairs
+
+
+def linked(groups: DataFrame, found: DataFrame, sketch: DataFrame, may: Callable[[str], Column], verified: Step, label: str) -> DataFrame:
+    """``found`` (id, root) with every link between members of one of ``groups`` (g, id) added.
+
+    ``verified`` keeps the alike ones of pairs (a, b), for all of which ``may`` holds, as for ``settled``. In rounds members meet ``PIVOTS`` of their
+    group, until that links few: whatever is like many is then one, by a link for each member at most and not by one for
+    each pair. The last round compares all that is still in several components, and as few of these are alike, it writes little.
+    """
+    for pivots in (*PIVOTS, None):
+        pairs = across(groups, found, sketch, may, label, pivots)
+        links = stored(verified(pairs), f"{label}-near")
+        if not links.isEmpty():
+            found = merged(found, links, label)
+        discard(pairs)
+        discard(links)
+    return found
+
 
 def settled_by_firsts(groups: DataFrame, found: DataFrame, alike: Step, label: str) -> DataFrame:
     """``found`` with every link between members of one of ``groups`` (g, id) added, for groups of few components.

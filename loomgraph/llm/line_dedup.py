@@ -7,31 +7,28 @@ candidates with high recall; exact Jaccard similarity of the whole lines verifie
 components over what is verified say which lines are one, and of each component the line that comes
 first in the corpus stays.
 
-A bucket's pairs are never written. Its members are verified against its first. Where that leaves them in several components, those of
-the smallest meet all others: a sketch of 1024 bits, the parity of the shingles that fall on each, tells without a text which pairs cannot
-be alike, and never takes an alike pair for one; only the others are verified. What is still in several components is compared so in whole if
-the comparisons are few for each member of a bucket, and else ``settled`` finds the links between components by prefixes of their differences.
+A bucket's pairs are never written. Its members are verified against its first. Where that leaves them in several components, all
+meet a few members picked at random, and last what is still outside of a bucket's largest component meets all of it (``families.linked``): a sketch of
+1024 bits, the parity of the shingles that fall on each, tells as rows meet and without a text which pairs cannot be alike, and never takes
+an alike pair for one; only the others are written and verified.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import components, own_columns, row_of, stored, text_key
-from loomgraph.llm.families import FIRSTS, settled
+from loomgraph.llm.families import across, linked, places_apart
 from loomgraph.scratch import discard
 
 CHARS = 8
 SIMILARITY = 0.8
 SLOTS = 12
+#: So many places of a line are a row while its signature is made, the last place repeated.
+AT_ONCE = 4
 #: Words of 64 bits in a line's sketch, a power of two.
 WORDS = 16
-#: The sketches of what buckets hold in several components are compared at once if that takes at most so many pairs for each member of a bucket.
-AT_ONCE = 256
 #: Every slot is in two bands. A pair at 0.8 shares one in 99.5 % of cases.
 BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 3, 6), (1, 4, 9), (2, 7, 10), (5, 8, 11))
 
@@ -69,10 +66,12 @@ def signatures(lines: DataFrame) -> DataFrame:
     wide = lines.select("h1", "h2", F.encode("line", "UTF-32").alias("wide"))
     # counting by the encoded line makes generated code encode before its loop over places, not in it
     last = F.greatest(F.lit(1), F.shiftright(F.octet_length("wide"), 2) - CHARS + 1)
-    places = wide.select("h1", "h2", "wide", F.explode(F.sequence(F.lit(1), last)).alias("i"))
-    hashed = places.select("h1", "h2", F.hash(F.substring("wide", 4 * F.col("i") - 3, F.lit(4 * CHARS))).alias("h"))
+    places = wide.select("h1", "h2", "wide", last.alias("last"), F.explode(F.sequence(F.lit(1), last, F.lit(AT_ONCE))).alias("i"))
+    each = [F.hash(F.substring("wide", 4 * F.least(F.col("i") + k, "last") - 3, F.lit(4 * CHARS))).alias(f"k{k}") for k in range(AT_ONCE)]
+    hashed = places.select("h1", "h2", *each)
     constants = [(i * 2654435761 + 97) % 2**32 - 2**31 for i in range(1, SLOTS + 1)]
-    return hashed.groupBy("h1", "h2").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"s{i}") for i, c in enumerate(constants)])
+    least = lambda c: F.min(F.least(*[F.col(f"k{k}").bitwiseXOR(F.lit(c)) for k in range(AT_ONCE)]))
+    return hashed.groupBy("h1", "h2").agg(*[least(c).alias(f"s{i}") for i, c in enumerate(constants)])
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -96,40 +95,17 @@ def may_be_alike(other: str) -> Column:
     differ in at least as many as their sizes do, and as their sketches have places apart.
     """
     room = (F.col("n") + F.col(f"{other}n")) * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-6
-    apart = reduce(add, [F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"{other}p{i}"))) for i in range(WORDS)])
-    return (F.abs(F.col("n") - F.col(f"{other}n")) <= room) & (apart <= room)
+    return (F.abs(F.col("n") - F.col(f"{other}n")) <= room) & (places_apart(other, WORDS) <= room)
 
 
 def prefixed(sketch: DataFrame, prefix: str) -> list[Column]:
     return [F.col(c).alias(f"{prefix}{c}") for c in sketch.columns if c != "id"]
 
 
-def comparisons(met: DataFrame, found: DataFrame) -> int:
-    """How many pairs of members of different components it takes, at most, to compare all of each group of ``met`` (g, id) that are not in its largest component with all."""
-    held = met.select("g", "id").join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    sizes = held.groupBy("g", "root").agg(F.count("*").alias("m")).groupBy("g").agg(F.sum("m").alias("n"), F.max("m").alias("most"))
-    return sizes.agg(F.sum(F.col("n") * (F.col("n") - F.col("most")))).first()[0] or 0
-
-
-def within(met: DataFrame, sketch: DataFrame, found: DataFrame, firsts_of: int = FIRSTS) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of different components that may be alike by their ``sketch``, and what groups are left to settle (g, id).
-
-    Of each group of ``met`` (g, id) that is still in several components, ``firsts_of`` members, those of its smallest
-    components, meet all others. Groups with more such members are left.
-    """
-    held = met.select("g", "id").join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    several = held.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("g")
-    held = stored(held.join(several, "g"), "line-held")
-    sizes = held.groupBy("g", "root").agg(F.count("*").alias("m"))
-    rank = F.row_number().over(Window.partitionBy("g").orderBy("m", "root", "id"))
-    firsts = stored(held.join(sizes, ["g", "root"]).withColumn("rank", rank).where(F.col("rank") <= firsts_of).select("g", "id", "root"), "line-firsts")
-    some = firsts.join(sketch, "id").select("g", F.col("id").alias("b"), F.col("root").alias("b_root"), *prefixed(sketch, "b_"))
-    pairs = held.join(sketch, "id").join(some, "g").where("root <> b_root").where(may_be_alike("b_")).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-    pairs = stored(pairs, "line-pairs")
-    left = stored(held.select("g", "id").join(firsts, ["g", "id"], "left_anti"), "line-left")
-    discard(held)
-    discard(firsts)
-    return pairs, left
+def within(met: DataFrame, sketch: DataFrame, found: DataFrame, pivots: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """For groups ``met`` (g, id): pairs that ``across`` finds to be alike at most by their ``sketch``, and (g, id) of groups with more members than ``pivots``, if given."""
+    large = met.groupBy("g").agg(F.count("*").alias("n")).where(F.lit(False) if pivots is None else F.col("n") > pivots).select("g")
+    return across(met, found, sketch, may_be_alike, "line", pivots), met.join(large, "g")
 
 
 def compared(beside: DataFrame) -> DataFrame:
@@ -152,9 +128,8 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.get("slots", F.lit(i)) for i in band]) for b, band in enumerate(BANDS)])
     buckets = signed.select("id", F.explode(keys).alias("g"))
     firsts = stored(buckets.groupBy("g").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("g", "first"), "line-firsts")
-    seen = Observation()
-    met = stored(buckets.join(firsts, "g").where("id <> first").observe(seen, F.count("*").alias("n")), "line-met")
-    star = stored(met.select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "line-star")
+    met = stored(buckets.join(firsts, "g"), "line-met")
+    star = stored(met.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "line-star")
     wanted = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
     named = stored(wanted.join(signed, "id").select("id", "h1", "h2"), "line-wanted")
     texts = stored(lines_of(docs).join(named, ["h1", "h2"]).groupBy("id").agg(F.min("line").alias("text")), "line-texts")
@@ -162,23 +137,8 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     close = star.join(sketch.withColumnRenamed("id", "a"), "a").join(sketch.select(F.col("id").alias("b"), *prefixed(sketch, "b_")), "b").where(may_be_alike("b_")).select("a", "b")
     near = stored(verified(close, texts), "line-near")
     found = components(near, "line-classes")
-    pairs, left = within(met, sketch, found)
-    tables = [near, pairs, left]
-
-    def linked(found: DataFrame, pairs: DataFrame) -> DataFrame:
-        links = stored(verified(pairs, texts), "line-near")
-        tables.append(links)
-        return found if links.isEmpty() else components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(links), "line-classes")
-
-    found = linked(found, pairs)
-    if comparisons(left, found) <= AT_ONCE * seen.get["n"]:
-        rest, none_left = within(left, sketch, found, 2**31 - 1)
-        tables += [rest, none_left]
-        found = linked(found, rest)
-    else:
-        found = settled(left, found, texts, compared, verified, "line", SIMILARITY, screen=(sketch, may_be_alike))
-    for table in tables:
-        discard(table)
+    discard(near)
+    found = linked(met.select("g", "id"), found, sketch, may_be_alike, lambda pairs: verified(pairs, texts), "line")
     for table in (firsts, met, star, named, texts, sketch):
         discard(table)
     return signed, found
