@@ -184,30 +184,3 @@ def linked(groups: DataFrame, found: DataFrame, sketch: DataFrame, may: Callable
         discard(pairs)
         discard(links)
     return found
-
-
-def settled_by_firsts(groups: DataFrame, found: DataFrame, alike: Step, label: str) -> DataFrame:
-    """``found`` with every link between members of one of ``groups`` (g, id) added, for groups of few components.
-
-    In each round the ``FIRSTS`` members of a group's smallest components are compared with all others by
-    ``alike``, which keeps the alike ones of pairs (a, b); the group goes on without them while
-    it is in several components. So a group takes as many rounds as it has members outside its largest component, over ``FIRSTS``.
-    """
-    while True:
-        held = mixed(groups, found, label)
-        if held.isEmpty():
-            discard(held)
-            return found
-        sizes = held.groupBy("g", "root").agg(F.count("*").alias("n"))
-        rank = F.row_number().over(Window.partitionBy("g").orderBy("n", "root", "id"))
-        firsts = held.join(sizes, ["g", "root"]).withColumn("rank", rank).where(F.col("rank") <= FIRSTS)
-        firsts = stored(firsts.select("g", F.col("id").alias("first"), F.col("root").alias("first_root")), f"{label}-firsts")
-        pairs = held.join(firsts, "g").where("root <> first_root").select(F.greatest("id", "first").alias("a"), F.least("id", "first").alias("b")).distinct()
-        links = stored(alike(pairs), f"{label}-near")
-        if not links.isEmpty():
-            found = components(_edges(found).unionByName(links), f"{label}-classes")
-        last, groups = groups, stored(held.select("g", "id").join(firsts.select("g", F.col("first").alias("id")), ["g", "id"], "left_anti"), f"{label}-groups")
-        for table in (held, firsts, links):
-            discard(table)
-        if f"{label}-groups" in getattr(last, "stored_at", ""):
-            discard(last)

@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from loomgraph.llm.common import components, stored
-from loomgraph.llm.families import settled_by_firsts
+from loomgraph.llm.families import linked
 from loomgraph.scratch import discard
 
 SLOTS = 128
@@ -158,29 +159,44 @@ def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(alike(rows(a), rows(b)))
 
 
+def packed(prints: DataFrame) -> DataFrame:
+    """(id, p0, p1, ...) of ``prints`` (id, fingerprint): 16 slots in each number."""
+    return prints.select("id", *[F.conv(F.substring("fingerprint", 16 * i + 1, 16), 16, -10).cast("long").alias(f"p{i}") for i in range(SLOTS // 16)])
+
+
+def at_least(least: float, other: str) -> Column:
+    """Whether a row's packed fingerprint and the one that has ``other`` before its columns' names are alike by ``least``, exactly as ``alike`` tells."""
+    most = max((k for k in range(SLOTS + 1) if alike(np.zeros((1, SLOTS)), np.arange(SLOTS)[None] < k)[0] >= least), default=-1)
+
+    def apart(i: int) -> Column:
+        x = F.col(f"p{i}").bitwiseXOR(F.col(f"{other}p{i}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    return reduce(add, [apart(i) for i in range(SLOTS // 16)]) <= most
+
+
 def near_classes(prints: DataFrame, least: float = 0.8) -> DataFrame:
     """Classes of near-equal fingerprints: (fingerprint, class) for distinct ``prints`` (fingerprint).
 
     ``BANDS`` overlapping runs of ``BAND`` slots give candidates: two prints of likeness 0.8 share one in 99 % of
-    cases, unrelated ones once in 180 million. All slots verify them: a bucket's members against its smallest, and
-    then what is still in several classes against more of them. Null fingerprints are left out; empty in, empty out.
+    cases, unrelated ones once in 180 million. All slots verify them, as rows of packed slots meet: a bucket's members against its
+    smallest, then against a few more, then all that is still in several classes against all (``families.linked``). Null fingerprints are left out; empty in, empty out.
     """
     distinct = stored(prints.select("fingerprint").where("fingerprint is not null").distinct().select(F.monotonically_increasing_id().alias("id"), "fingerprint"), "prints")
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("fingerprint", b * STEP + 1, BAND)) for b in range(BANDS)])
     buckets = distinct.select("id", F.explode(keys).alias("g"))
     firsts = stored(buckets.groupBy("g").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("g", "first"), "print-firsts")
-    met = stored(buckets.join(firsts, "g").where("id <> first"), "print-met")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(distinct.toDF("a", "x"), "a").join(distinct.toDF("b", "y"), "b")
-        return both.where(likeness(F.col("x"), F.col("y")) >= least).select("a", "b")
-
-    links = stored(verified(met.select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()), "print-near")
-    found = settled_by_firsts(met.select("g", "id"), components(links, "print-classes"), verified, "print")
+    met = stored(buckets.join(firsts, "g"), "print-met")
+    sketch = stored(packed(distinct), "print-packed")
+    star = met.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    other = sketch.select(F.col("id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in sketch.columns[1:]])
+    near = stored(star.join(sketch.withColumnRenamed("id", "a"), "a").join(other, "b").where(at_least(least, "b_")).select("a", "b"), "print-near")
+    found = linked(met.select("g", "id"), components(near, "print-classes"), sketch, lambda b: at_least(least, b), lambda pairs: pairs, "print")
     roots = distinct.select(F.col("id").alias("root"), F.col("fingerprint").alias("class"))
     named = found.where("id <> root").join(roots, "root").select("id", "class")
     out = stored(distinct.join(named, "id", "left").select("fingerprint", F.coalesce("class", "fingerprint").alias("class")), "print-classes")
-    for table in (distinct, firsts, met, links):
+    for table in (distinct, firsts, met, sketch, near):
         discard(table)
     return out
 

@@ -27,3 +27,23 @@ def test_linked_groups_lose_no_link_and_write_few_pairs(spark, monkeypatch):
     assert {found.get(i, i) for _, i, _ in chain} == {1000}
     assert all(found.get(i, i) == i for _, i, _ in strangers)
     assert sum(written) < 10 * len(rows)
+
+
+def test_packed_fingerprints_are_alike_as_digits_are(spark):
+    import numpy as np
+
+    from loomgraph.llm import fingerprints
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 16, (1, fingerprints.SLOTS), np.uint8)
+    digits = np.repeat(base, 64, 0)
+    for i in range(64):
+        at = rng.permutation(fingerprints.SLOTS)[:i]
+        digits[i, at] = (digits[i, at] + rng.integers(1, 16, len(at))) % 16
+    prints = spark.createDataFrame(list(enumerate(fingerprints.as_hex(digits))), "id long, fingerprint string")
+    sketch = fingerprints.packed(prints)
+    other = sketch.select(*[F.col(c).alias(f"b_{c}") for c in sketch.columns])
+    for least in (0.8, 0.5, 0.0):
+        kept = {(r["id"], r["b_id"]) for r in sketch.join(other, F.col("id") < F.col("b_id")).where(fingerprints.at_least(least, "b_")).collect()}
+        want = {(i, j) for i in range(64) for j in range(i + 1, 64) if fingerprints.alike(digits[i][None], digits[j][None])[0] >= least}
+        assert kept == want, least
