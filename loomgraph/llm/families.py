@@ -129,6 +129,37 @@ def settled(groups: DataFrame, found: DataFrame, texts: DataFrame, compare: Step
             discard(last)
 
 
+def in_blocks(groups: DataFrame, found: DataFrame, texts: DataFrame, small: Step, small_rows: int, met: Step, rows: int, chars: int, label: str) -> DataFrame:
+    """``found`` (id, root) with every link between members of one of ``groups`` (g, id) added, in one round; no id is in two groups.
+
+    Groups with members of several components are settled: those of at most ``small_rows`` members by ``small`` from (family, id,
+    root, text). Members of larger ones are dealt out to blocks of about ``rows`` members, or ``chars`` characters if that is fewer;
+    the largest component has blocks of its own. Each two blocks meet, except for two of the largest component: ``met`` makes links (a, b)
+    from (g, id, root, block, others, text), ``others`` being the blocks that a member's block meets. So a task holds two blocks whatever the
+    size of a group, and a member is sent once for each block that its own one meets.
+    """
+    held = mixed(groups, found, label)
+    if held.isEmpty():
+        discard(held)
+        return found
+    by_root = held.join(texts.select("id", F.length("text").alias("chars")), "id").groupBy("g", "root").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / rows, size / chars)).cast("int")
+    sizes = by_root.groupBy("g").agg(F.max(F.struct("n", "root", "chars")).alias("main"), F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    sizes = sizes.select("g", "n", F.col("main.root").alias("main"), blocks(F.col("n") - F.col("main.n"), F.col("chars") - F.col("main.chars")).alias("outs"), blocks(F.col("main.n"), F.col("main.chars")).alias("mains"))
+    sizes = stored(sizes, f"{label}-sizes")
+    few = held.join(sizes.where(F.col("n") <= small_rows).select("g"), "g").join(texts, "id").select(F.col("g").alias("family"), "id", "root", "text")
+    many = held.join(sizes.where(F.col("n") > small_rows).drop("n"), "g")
+    main, at = F.col("root") == F.col("main"), lambda n: F.pmod(F.hash("id"), F.col(n))
+    many = many.withColumn("block", F.when(main, F.col("outs") + at("mains")).otherwise(at("outs")))
+    many = many.withColumn("others", F.sequence(F.lit(0), F.col("outs") - 1 + F.when(main, F.lit(0)).otherwise(F.col("mains"))))
+    links = stored(small(few).unionByName(met(many.join(texts, "id").select("g", "id", "root", "block", "others", "text"))), f"{label}-near")
+    if not links.isEmpty():
+        found = components(_edges(found).unionByName(links), f"{label}-classes")
+    for table in (held, sizes, links):
+        discard(table)
+    return found
+
+
 def places_apart(other: str, words: int) -> Column:
     """How many bits of p0, p1, ... (``words`` numbers) differ from those of the columns with ``other`` before their names."""
     return reduce(add, [F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"{other}p{i}"))) for i in range(words)])

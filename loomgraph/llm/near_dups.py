@@ -13,8 +13,8 @@ the whole texts verifies them.
 
 Equal texts are one from the start. A bucket is never expanded into its pairs: all its members are
 verified against its first, which leaves whole groups of copies in few components. Families of
-candidates that are still in several are settled exactly (see ``families``): small ones each within a task,
-larger ones by what their members differ in from a pivot.
+candidates that are still in several are settled exactly: small ones each within a task, larger ones
+in blocks (see ``families``), where sketches of the sets rule out most pairs before J_P is computed.
 """
 
 from __future__ import annotations
@@ -28,13 +28,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import components, own_columns, row_of, stored, text_key
-from loomgraph.llm.families import LAST, settled
+from loomgraph.llm.families import LAST, in_blocks
 from loomgraph.scratch import discard
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6  # a pair at 0.8 is missed once in 16,000 times; unrelated texts all but never meet
 BLOCK = 128  # a family of so many texts is linked within one task
+CELL = 512  # a larger one is dealt out in blocks of about so many texts, of which any two meet within one task,
+CELL_CHARS = 4_000_000  # and of about so many characters
+BITS = 1024, 65_536  # of a sketch, by how large the sets of a cell are
 _WORD = re.compile(r"\w+")
 
 
@@ -173,8 +176,8 @@ def _block(pair: pd.DataFrame) -> pd.DataFrame:
     alike = shared / np.maximum(1, sizes[:, None] + sizes[None] - shared)
     both_plain = plain[:, None] & plain[None]
     roots = pd.factorize(pair["root"])[0]
-    # x's term of J_P is at most min(a_x / sum a, b_x / sum b), as both sums over y are at least these; so J_P is at most what either covers
-    maybe = np.where(both_plain, alike >= SIMILARITY, np.minimum(covered, covered.T) >= SIMILARITY - 0.001)
+    covered = np.maximum(covered, 1e-9)
+    maybe = np.where(both_plain, alike >= SIMILARITY, 1 / covered + 1 / covered.T <= 1 + 1 / (SIMILARITY - 0.001))  # see ``_cell``
     maybe &= roots[:, None] != roots[None]
     up = list(range(len(sets)))
 
@@ -192,6 +195,59 @@ def _block(pair: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"], dtype=object) if links else none
 
 
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts as their shingles in bytes: ``hashes``, and ``counts``, empty where all are 1."""
+    for b in batches:
+        for start in range(0, len(b), 512):
+            part = b.iloc[start : start + 512]
+            sets = [shingles(t) for t in part["text"]]
+            yield part.drop(columns="text").assign(hashes=[h.tobytes() for h, _ in sets], counts=[b"" if (w == 1).all() else w.astype(np.int64).tobytes() for _, w in sets])
+
+
+def _sketches(sets: list[tuple[np.ndarray, np.ndarray]], bits: int) -> np.ndarray:
+    """A row of bits for each set: whether an odd number of its elements fall on a bit. Rows differ in no more bits than their sets in elements."""
+    out = np.zeros((len(sets), bits // 64), np.uint64)
+    place = _mix(np.concatenate([h for h, _ in sets])) % np.uint64(bits)
+    row = np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets])
+    np.bitwise_xor.at(out.ravel(), row * (bits // 64) + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return out
+
+
+def _cell(cell: pd.DataFrame) -> pd.DataFrame:
+    """Links between components among the texts of two blocks, or of one with itself, one link for each two components that have some.
+
+    Let c and d be the shares of the weights of a and b that are on shingles which both have. By the sums over
+    y of A and of B alone, x's term of J_P is at most q_x min(r / (1 + r (1 - d)), r / (r + 1 - c)), p and q being the normed weights and r = p_x / q_x.
+    That is concave in r, and the q_x sum up to d, the q_x r to c; so J_P is at most 1 / (1 / c + 1 / d - 1), which for sets is what it is.
+    As each shingle weighs 1 at least, the number of unshared ones bounds c and d, and sketches bound that number.
+    """
+    cell = cell.sort_values("id", ignore_index=True)
+    sets = []
+    for h, w in zip(cell["hashes"], cell["counts"]):
+        h = np.frombuffer(h, np.uint64)
+        sets.append((h, np.frombuffer(w, np.int64) if len(w) else np.ones(len(h), np.int64)))
+    sizes, weights = np.array([len(h) for h, _ in sets]), np.array([w.sum() for _, w in sets])
+    sketches = _sketches(sets, int(min(BITS[1], max(BITS[0], 2 ** np.ceil(np.log2(2 * np.percentile(weights, 75) + 1))))))
+    label = pd.factorize(cell["root"])[0]
+    ids = cell["id"].tolist()
+    ours, theirs = (np.flatnonzero(cell["block"] == cell[c]) for c in ("lo", "hi"))
+    within = cell["lo"].iat[0] == cell["hi"].iat[0]
+    links = []
+    for i in ours:
+        js = theirs[theirs > i] if within else theirs
+        js = js[label[js] != label[i]]
+        apart = np.maximum(np.bitwise_count(sketches[js] ^ sketches[i]).sum(1, dtype=np.int64), np.abs(sizes[js] - sizes[i]))
+        alone, other = (apart + sizes[i] - sizes[js]) / 2, (apart - sizes[i] + sizes[js]) / 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            far = alone / (weights[i] - alone) + other / (weights[js] - other)  # 1 / c + 1 / d - 2
+        maybe = np.flatnonzero(~(far > 1 / SIMILARITY - 1 + 1e-9))
+        for j in js[maybe[np.argsort(far[maybe], kind="stable")]]:
+            if label[i] != label[j] and probability_jaccard(sets[i], sets[j]) >= SIMILARITY:
+                links.append((ids[i], ids[j]))
+                label[label == label[j]] = label[i]
+    return pd.DataFrame(links or {"a": [], "b": []}, columns=["a", "b"], dtype=object)
+
+
 def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """What texts and their pivots differ in, for ``settled``: shingles that one of them has.
 
@@ -232,7 +288,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     texts = stored(texts.withColumnRenamed("key", "id"), "texts")
     links = stored(_verified(star, texts), "links")
     families = components(star, "families").select(F.xxhash64("root").alias("g"), "id")
-    found = settled(families, components(links, "classes"), texts, lambda beside: beside.mapInPandas(_compared, APART), _verified, "near", SIMILARITY, _linked, BLOCK)
+    found = in_blocks(families, components(links, "classes"), texts, _linked, BLOCK, _met, CELL, CELL_CHARS, "near")
     for table in (signed, star, texts, links):
         discard(table)
     joined = firsts.join(found.withColumnRenamed("id", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -255,6 +311,13 @@ def _linked(members: DataFrame) -> DataFrame:
     return members.groupBy("family").applyInPandas(lambda p: _block(p), "a binary, b binary")
 
 
+def _met(dealt: DataFrame) -> DataFrame:
+    """Links within and between blocks of larger families, from (g, id, root, block, others, text)."""
+    sets = dealt.mapInPandas(_sets, "g long, id binary, root binary, block int, others array<int>, hashes binary, counts binary")
+    cells = sets.withColumn("other", F.explode("others")).select("g", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "root", "hashes", "counts")
+    return cells.groupBy("g", "lo", "hi").applyInPandas(lambda p: _cell(p), "a binary, b binary")
+
+
 def key_of(text: str):
     """The 128-bit name of a column's text."""
     return F.unhex(text_key(F.col(text)))

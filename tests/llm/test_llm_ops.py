@@ -478,6 +478,46 @@ def test_near_dups_settle_heavy_and_plain_texts(spark):
     assert {i: found.get(key(i), key(i)) for i in range(len(texts))} == {i: key(top(i)) for i in range(len(texts))}
 
 
+def test_near_dups_settle_a_large_family_in_one_round(spark, monkeypatch):
+    """Texts that share a passage which outweighs their own words, edited copies, long and odd texts: blocks that meet lose no link, and their tables don't grow with the family."""
+    rng = random.Random(21)
+    passage, own = sentences(22, 1, 8)[0], sentences(23, 260, 160)
+    texts = [" ".join([passage] * 60 + own[k].split()[: rng.randrange(20, 160)]) for k in range(200)]
+    for base in own[200:203]:
+        for _ in range(40):
+            w = base.split()
+            for _ in range(rng.randrange(9)):
+                w[rng.randrange(len(w))] = f"v{rng.randrange(6)}"
+            texts.append(" ".join([passage] * rng.choice([0, 0, 1, 60]) + w))
+    texts += [" ".join(own[k % 40 : k % 40 + 20]) + f" end{k % 3}" * k for k in range(6)] + ["", "  ", "...", "one two", passage]
+    texts = list(dict.fromkeys(texts))
+    up = list(range(len(texts)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in near_pairs(texts):
+        a, b = sorted((top(i), top(j)))
+        up[b] = a
+    key = lambda i: b"%04d" % i
+    known = spark.createDataFrame([(key(i), t) for i, t in enumerate(texts)], "id binary, text string")
+    groups = spark.createDataFrame([(7, key(i)) for i in range(len(texts))], "g long, id binary")
+    made, real = [], families.stored
+    monkeypatch.setattr(families, "stored", lambda df, label: made.append(label) or real(df, label))
+    for linked in ([], [(key(i), key(top(i))) for i in range(0, len(texts), 3)]):
+        found = spark.createDataFrame(linked, "id binary, root binary")
+        found = families.in_blocks(groups, found, known, near_dups._linked, 20, near_dups._met, 60, 60_000, "near")
+        found = {bytes(r["id"]): bytes(r["root"]) for r in found.collect()}
+        assert {i: found.get(key(i), key(i)) for i in range(len(texts))} == {i: key(top(i)) for i in range(len(texts))}
+    made.clear()
+    monkeypatch.setattr(near_dups, "CELL", 60)
+    classes = near_dups.near_classes(documents(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    assert {r["class_id"] for r in classes.collect()} == {top(i) for i in range(len(texts))}
+    assert len(made) <= 3
+
+
 def test_probability_jaccard_and_its_estimate():
     rng = np.random.default_rng(2)
     for _ in range(5):
