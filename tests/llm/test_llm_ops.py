@@ -561,6 +561,27 @@ def test_neighbours(spark, tmp_path):
     assert neighbours.op8_neighbours(spark, str(tmp_path)).count() == 0
 
 
+def test_neighbours_keep_the_sample_off_the_driver(spark, monkeypatch):
+    """Centroids come from the vectors of the smallest hashes, and no vector is collected."""
+    from pyspark.sql import functions as F
+
+    x = np.random.default_rng(4).normal(size=(3000, 8))
+    groups = spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>").repartition(7)
+    want = [r["v"] for r in groups.orderBy(F.xxhash64("v"), "v").limit(300).collect()]
+    assert [r["v"] for r in neighbours.picked(groups, 3000, 300).collect()] == want
+    assert neighbours.picked(groups, 3000, 5000).count() == 3000 and neighbours.picked(groups.limit(0), 0, 300).count() == 0
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    frame, got = type(vectors), []
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: got.append((self.columns, rows := collect(self))) or rows)
+    out = neighbours.search(vectors, vectors.where("vec_id % 50 = 0"), sample_rows=300)
+    assert [(columns, len(rows)) for columns, rows in got] == [(["dims", "centroids"], 1)]
+    assert out.count() == 300
+    lists = np.frombuffer(got[0][1][0]["centroids"], np.float32).reshape(-1, 8)
+    kept = np.array([r["v"] for r in collect(vectors.select(F.col("embedding").cast("array<double>").alias("v")).orderBy(F.xxhash64("v"), "v").limit(300))])
+    assert (lists == neighbours.even_centroids(neighbours.unit(kept), -(-300 // min(neighbours.CENTROIDS, 3000 // neighbours.LIST_ROWS))).astype(np.float32)).all()
+
+
 def test_fingerprints(spark, tmp_path):
     texts = sentences(12, 20, 60) + ["", None, "é", "long " * 3000]
     rows = [(3 * i, t, "s") for i, t in enumerate(texts)] + [(None, "no id", "s"), (0, texts[0], "s")]
