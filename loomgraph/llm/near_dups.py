@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import components, own_columns, row_of, stored, text_key
@@ -38,6 +38,7 @@ BLOCK = 128  # a family of so many texts is linked within one task
 CELL = 512  # a larger one is dealt out in blocks of about so many texts, of which any two meet within one task,
 CELL_CHARS = 4_000_000  # and of about so many characters
 BITS = 1024, 65_536  # of a sketch, by how large the sets of a cell are
+PLACES = 2**24
 _WORD = re.compile(r"\w+")
 
 
@@ -281,10 +282,10 @@ def near_classes(docs: DataFrame) -> DataFrame:
     signed = keyed.select(F.col("key").alias("id"), "text").mapInPandas(_signed, "id binary, n int, buckets array<long>")
     signed = stored(signed.dropDuplicates(["id"]), "signed")
     buckets = signed.select("id", F.explode("buckets").alias("bucket"))
-    pivots = buckets.groupBy("bucket").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b < last").select("bucket", "b")
-    star = stored(buckets.join(pivots, "bucket").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "star")
+    firsts_of = buckets.withColumn("b", F.min("id").over(Window.partitionBy("bucket")))  # one shuffle; an aggregate would need two
+    star = stored(firsts_of.where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "star")
     wanted = star.select(F.col("a").alias("key")).unionByName(star.select(F.col("b").alias("key"))).distinct()
-    texts = keyed.select("key", "text").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    texts = likely(keyed.select("key", "text"), wanted).join(wanted, "key").groupBy("key").agg(F.first("text").alias("text"))
     texts = stored(texts.withColumnRenamed("key", "id"), "texts")
     links = stored(_verified(star, texts), "links")
     families = components(star, "families").select(F.xxhash64("root").alias("g"), "id")
@@ -318,6 +319,17 @@ def _met(dealt: DataFrame) -> DataFrame:
     return cells.groupBy("g", "lo", "hi").applyInPandas(lambda p: _cell(p), "a binary, b binary")
 
 
+def likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """All of ``rows`` (key, text) whose key is in ``wanted`` (key), and a few others: it spares the shuffle most texts.
+
+    Keys fall on ``PLACES`` bits, which are sent to each task as words, a row each: 4 MB at most, however many keys there are.
+    A semi join must not follow, as Spark would put it first.
+    """
+    at = lambda df: df.withColumn("place", F.pmod(F.xxhash64("key"), F.lit(PLACES))).withColumn("word", F.shiftright("place", 6)).withColumn("bit", F.expr("shiftleft(1L, int(place & 63))"))
+    words = at(wanted).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return at(rows).join(F.broadcast(words), "word").where("bits & bit <> 0").select(*rows.columns)
+
+
 def key_of(text: str):
     """The 128-bit name of a column's text."""
     return F.unhex(text_key(F.col(text)))

@@ -518,6 +518,17 @@ def test_near_dups_settle_a_large_family_in_one_round(spark, monkeypatch):
     assert len(made) <= 3
 
 
+def test_near_dups_shuffle_only_likely_texts(spark):
+    """Texts of unwanted keys are dropped before texts are joined with the wanted keys, all but a few."""
+    rows = spark.range(5000).selectExpr("unhex(lpad(hex(id), 32, '0')) as key", "cast(id as string) as text")
+    wanted = rows.where("cast(text as long) % 50 = 0").select("key")
+    got = near_dups.likely(rows, wanted)
+    assert got.columns == ["key", "text"] and got.join(wanted, "key").count() == 100 and got.count() < 110
+    assert near_dups.likely(rows, wanted.limit(0)).count() == 0
+    joined = got.hint("merge").join(wanted, "key")._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.index("bits") > joined.index("Join") and "LeftSemi" not in joined
+
+
 def test_probability_jaccard_and_its_estimate():
     rng = np.random.default_rng(2)
     for _ in range(5):
